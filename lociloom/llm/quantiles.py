@@ -6,13 +6,13 @@ ends that are values of the data, so ties resolve exactly. Counts, minima and ma
 come in any number of disjoint parts. Passes go on only for groups with an interval that still holds more than `enough` rows; the few
 rows of resolved intervals are fetched and ranked in one last pass.
 
-Groups that need passes are large, and there are few of them: a row is sent to one of SALTS parts of its group, intervals are copied to
-all parts, so a group that holds a third of the rows is counted by SALTS tasks.
+Groups that need passes are large: their rows are split over SALTS parts, and the intervals are copied to all parts, so a group that holds a
+third of the rows is counted by SALTS tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,11 +36,61 @@ def midpoint(lo: Column, hi: Column) -> Column:
     return F.when(m >= hi, lo).when(m < lo, lo).otherwise(m)
 
 
-def percentiles(tables: Sequence[DataFrame], group: str, measures: Sequence[str], probs: Sequence[float], scratch: Scratch, enough: int = 1024) -> DataFrame:
+def _targets(probs: Sequence[float]) -> list[tuple[int, float, bool]]:
+    """(index, probability, whether it is the upper rank) of each wanted rank."""
+    return [(2 * i + up, p, bool(up)) for i, p in enumerate(probs) for up in (0, 1)]
+
+
+def _rank(p: float, up: bool) -> Column:
+    at = (F.col("n") - 1) * F.lit(float(p))
+    return (F.ceil(at) if up else F.floor(at)).cast("bigint")
+
+
+def _same() -> Column:
+    return F.col("g").eqNullSafe(F.col("ig")) & (F.col("measure") == F.col("im"))
+
+
+def _bisect(rows: DataFrame, ends: DataFrame, probs: Sequence[float], enough: int, scratch: Scratch) -> DataFrame:
+    """ends(g, measure, n, least, most) with rank, below, lo and hi of each target, narrowed until resolved. rows has (g, measure, x)."""
+    targets = _targets(probs)
+    js = [j for j, _, _ in targets]
+    cols = [c for j, p, up in targets for c in (_rank(p, up).alias(f"rank{j}"), F.lit(0).cast("bigint").alias(f"below{j}"), F.col("n").alias(f"inside{j}"), F.col("least").alias(f"lo{j}"), F.col("most").alias(f"hi{j}"))]
+    state = scratch.save(ends.select("g", "measure", "n", *cols), "intervals")
+    open_ = F.lit(False)
+    for j in js:
+        open_ = open_ | ((F.col(f"inside{j}") > enough) & (F.col(f"lo{j}") < F.col(f"hi{j}")))
+    done = [state.filter(~open_)]
+    left = state.filter(open_)
+    while not left.isEmpty():
+        mids = left.select(F.col("g").alias("ig"), F.col("measure").alias("im"), *[F.col(f"{c}{j}") for j in js for c in ("lo", "hi")], *[midpoint(F.col(f"lo{j}"), F.col(f"hi{j}")).alias(f"mid{j}") for j in js])
+        sent = mids.withColumn("ip", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hit = rows.join(sent, _same() & (F.col("part") == F.col("ip")))
+        aggs = []
+        for j in js:
+            low, high = F.col("x").between(F.col(f"lo{j}"), F.col(f"mid{j}")), (F.col("x") > F.col(f"mid{j}")) & (F.col("x") <= F.col(f"hi{j}"))
+            aggs += [F.count(F.when(low, 1)).alias(f"c{j}"), F.max(F.when(low, F.col("x"))).alias(f"a{j}"), F.min(F.when(high, F.col("x"))).alias(f"b{j}")]
+        counted = hit.groupBy("g", "measure").agg(*aggs).withColumnsRenamed({"g": "ig", "measure": "im"})
+        cols = []
+        for j in js:
+            goes_low = F.col(f"rank{j}") < F.col(f"below{j}") + F.col(f"c{j}")
+            pick = lambda a, b, name: F.when(goes_low, a).otherwise(b).alias(name)  # noqa: B023, E731
+            below, c = F.col(f"below{j}"), F.col(f"c{j}")
+            cols += [F.col(f"rank{j}"), pick(below, below + c, f"below{j}"), pick(c, F.col(f"inside{j}") - c, f"inside{j}"), pick(F.col(f"lo{j}"), F.col(f"b{j}"), f"lo{j}"), pick(F.col(f"a{j}"), F.col(f"hi{j}"), f"hi{j}")]
+        state = scratch.save(left.join(counted, _same()).select("g", "measure", "n", *cols), "intervals")
+        done.append(state.filter(~open_))
+        left = state.filter(open_)
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return scratch.save(out, "resolved")
+
+
+def percentiles(tables: Sequence[DataFrame], group: str, measures: Sequence[str], probs: Sequence[float], scratch: Scratch, enough: int = 8192) -> DataFrame:
     """(group_key, measure, n, p0, p1, ...): linear percentiles of each measure per group over all tables together.
 
     Null and NaN values don't count; infinite ones do and must not meet the interpolation. A group without a value of a measure has no
-    row for it. A null group is a group. The tables must be disjoint parts of the data with the named columns.
+    row for it. A null group is a group. The tables must be disjoint parts of the data with the named columns. Groups of up to `enough`
+    values are resolved from the start, so their values are ranked at once; larger ones go through the passes.
     """
     stack = ", ".join(f"'{m}', cast(`{m}` as double)" for m in measures)
 
@@ -50,79 +100,31 @@ def percentiles(tables: Sequence[DataFrame], group: str, measures: Sequence[str]
     rows = tall(tables[0])
     for t in tables[1:]:
         rows = rows.unionByName(tall(t))
-    n_targets = 2 * len(probs)
+    targets = _targets(probs)
     ends = rows.groupBy("g", "measure").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("least"), F.max("x").alias("most"))
-    cols = []
-    for i, p in enumerate(probs):
-        at = (F.col("n") - 1) * F.lit(float(p))
-        for j, r in ((2 * i, F.floor(at)), (2 * i + 1, F.ceil(at))):
-            cols += [r.cast("bigint").alias(f"rank{j}"), F.lit(0).cast("bigint").alias(f"below{j}"), F.col("n").alias(f"inside{j}"), F.col("least").alias(f"lo{j}"), F.col("most").alias(f"hi{j}")]
-    state = scratch.save(ends.select("g", "measure", "n", *cols), "intervals")
-    resolved: list[DataFrame] = []
-
-    def pending_rule() -> Column:
-        rule = F.lit(False)
-        for j in range(n_targets):
-            rule = rule | ((F.col(f"inside{j}") > enough) & (F.col(f"lo{j}") < F.col(f"hi{j}")))
-        return rule
-
-    while True:
-        resolved.append(state.filter(~pending_rule()))
-        left = scratch.save(state.filter(pending_rule()), "pending")
-        if left.isEmpty():
-            break
-        parts = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        keyed = rows.withColumn("part", F.pmod(F.xxhash64("x", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
-        i = parts.withColumnsRenamed({"g": "ig", "measure": "im", "part": "ip"})
-        hit = keyed.join(i, F.col("g").eqNullSafe(F.col("ig")) & (F.col("measure") == F.col("im")) & (F.col("part") == F.col("ip")))
-        aggs = []
-        for j in range(n_targets):
-            inside = (F.col("x") >= F.col(f"lo{j}")) & (F.col("x") <= F.col(f"hi{j}"))
-            low = inside & (F.col("x") <= midpoint(F.col(f"lo{j}"), F.col(f"hi{j}")))
-            high = inside & (F.col("x") > midpoint(F.col(f"lo{j}"), F.col(f"hi{j}")))
-            aggs += [F.count(F.when(low, 1)).alias(f"c{j}"), F.max(F.when(low, F.col("x"))).alias(f"a{j}"), F.min(F.when(high, F.col("x"))).alias(f"b{j}")]
-        counted = hit.groupBy("g", "measure").agg(*aggs).withColumnsRenamed({"g": "cg", "measure": "cm"})
-        both = left.join(counted, F.col("g").eqNullSafe(F.col("cg")) & (F.col("measure") == F.col("cm")))
-        cols = []
-        for j in range(n_targets):
-            goes_low = F.col(f"rank{j}") < F.col(f"below{j}") + F.col(f"c{j}")
-            cols += [
-                F.col(f"rank{j}"),
-                F.when(goes_low, F.col(f"below{j}")).otherwise(F.col(f"below{j}") + F.col(f"c{j}")).alias(f"below{j}"),
-                F.when(goes_low, F.col(f"c{j}")).otherwise(F.col(f"inside{j}") - F.col(f"c{j}")).alias(f"inside{j}"),
-                F.when(goes_low, F.col(f"lo{j}")).otherwise(F.col(f"b{j}")).alias(f"lo{j}"),
-                F.when(goes_low, F.col(f"a{j}")).otherwise(F.col(f"hi{j}")).alias(f"hi{j}"),
-            ]
-        state = scratch.save(both.select("g", "measure", "n", *cols), "intervals")
-
-    done = resolved[0]
-    for r in resolved[1:]:
-        done = done.unionByName(r)
-    # each interval now holds at most `enough` rows, or one value; only its rows are fetched
-    d = done.withColumnsRenamed({"g": "ig", "measure": "im"})
-    big = d.filter(F.col("n") > 50 * enough).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    small = d.filter(F.col("n") <= 50 * enough)
-    same = F.col("g").eqNullSafe(F.col("ig")) & (F.col("measure") == F.col("im"))
-    wanted = F.lit(False)
-    values = []
-    for j in range(n_targets):
-        inside = (F.col("x") >= F.col(f"lo{j}")) & (F.col("x") <= F.col(f"hi{j}")) & (F.col(f"lo{j}") < F.col(f"hi{j}"))
-        wanted = wanted | inside
-        values.append(F.array_sort(F.collect_list(F.when(inside, F.col("x")))).alias(f"v{j}"))
-    keep = ["g", "measure", "x", *[f"{k}{j}" for j in range(n_targets) for k in ("lo", "hi")]]
-    near_small = rows.join(small, same).filter(wanted).select(*keep)
-    salted = rows.withColumn("part", F.pmod(F.xxhash64("x", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
-    near_big = salted.join(big, same & (F.col("part") == F.col("salt"))).filter(wanted).select(*keep)
-    lists = near_small.unionByName(near_big).groupBy("g", "measure").agg(*values).withColumnsRenamed({"g": "vg", "measure": "vm"})
-    final = done.join(lists, F.col("g").eqNullSafe(F.col("vg")) & (F.col("measure") == F.col("vm")), "left")
-
-    def value(j: int) -> Column:
-        at = (F.col(f"rank{j}") - F.col(f"below{j}") + 1).cast("int")
-        return F.when(F.col(f"lo{j}") == F.col(f"hi{j}"), F.col(f"lo{j}")).otherwise(F.try_element_at(f"v{j}", at))
-
-    out = []
-    for i, p in enumerate(probs):
-        at = (F.col("n") - 1) * F.lit(float(p))
-        a, b = value(2 * i), value(2 * i + 1)
-        out.append((a + (b - a) * (at - F.floor(at))).alias(f"p{i}"))
-    return final.select(F.col("g").alias("group_key"), "measure", "n", *out)
+    big = scratch.save(ends.filter(F.col("n") > enough), "large")
+
+    def result(df: DataFrame, value: Callable[[int], Column]) -> DataFrame:
+        out = []
+        for i, p in enumerate(probs):
+            at = (F.col("n") - 1) * F.lit(float(p))
+            out.append((value(2 * i) + (value(2 * i + 1) - value(2 * i)) * (at - F.floor(at))).alias(f"p{i}"))
+        return df.select(F.col("g").alias("group_key"), "measure", "n", *out)
+
+    def ranked(df: DataFrame) -> DataFrame:
+        lists = df.groupBy("g", "measure").agg(F.array_sort(F.collect_list("x")).alias("v")).withColumn("n", F.size("v").cast("bigint"))
+        at = {j: (_rank(p, up) + 1).cast("int") for j, p, up in targets}
+        return result(lists, lambda j: F.element_at("v", at[j]))
+
+    if big.isEmpty():
+        return ranked(rows)
+    parts = rows.withColumn("part", F.pmod(F.xxhash64("x", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+    keys = big.select(F.col("g").alias("ig"), F.col("measure").alias("im"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("ip"))
+    match = _same() & (F.col("part") == F.col("ip"))
+    hot = scratch.save(parts.join(keys, match, "left_semi"), "hot")
+    found = _bisect(hot, big, probs, enough, scratch)
+    inside = lambda j: F.col("x").between(F.col(f"lo{j}"), F.col(f"hi{j}")) & (F.col(f"lo{j}") < F.col(f"hi{j}"))
+    near = found.select(F.col("g").alias("ig"), F.col("measure").alias("im"), *[c for j, _, _ in targets for c in (f"lo{j}", f"hi{j}")], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("ip"))
+    lists = hot.join(near, match).groupBy("g", "measure").agg(*[F.array_sort(F.collect_list(F.when(inside(j), F.col("x")))).alias(f"v{j}") for j, _, _ in targets]).withColumnsRenamed({"g": "ig", "measure": "im"})
+    value = lambda j: F.when(F.col(f"lo{j}") == F.col(f"hi{j}"), F.col(f"lo{j}")).otherwise(F.try_element_at(f"v{j}", (F.col(f"rank{j}") - F.col(f"below{j}") + 1).cast("int")))
+    return ranked(parts.join(keys, match, "left_anti")).unionByName(result(found.join(lists, _same()), value))
