@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lociloom.queries import keyed
+from lociloom.queries import highorder, keyed, matrix, pairs
 
-QUERIES = {**keyed.QUERIES}
-ORACLES = {**keyed.ORACLES}
+QUERIES = {**keyed.QUERIES, **pairs.QUERIES, **matrix.QUERIES, **highorder.QUERIES}
+ORACLES = {**keyed.ORACLES, **pairs.ORACLES, **matrix.ORACLES, **highorder.ORACLES}
