@@ -33,21 +33,31 @@ PLACEHOLDERS = {
     ],
 }
 
-#: What may stand before and after a placeholder in place of content.
+#: What may stand before and after a placeholder in place of content. It is looked for at a delimiter's first character only.
+_FIRST = r"(?=[{$#<%@_\[&«~|*(（【])"
 _BEFORE = (
-    r"(?:(?:^|\n)(?:[ \t]*+(?:<p>|\d{1,3}[.)]|\[\d{1,6}\]|\(\d{1,3}\)|[\-*•]))*+[ \t]*+(?:[\p{L} .]{1,24}[:\-] ?|Ref\. )?+"
-    r"|[.!?。！？…][\"”')\]]? {0,2}|[)\]#〕>}】] |</?p>[ \t]*+)"
+    r"(?<=^|[\n.!?。！？…)\]#〕>}】][\"”']?[ \t]{0,3}"
+    r"|(?:^|\n)(?:[\p{L} .]{1,24}[:\-]|[\-*•]|\[\d{1,6}\]|\(\d{1,3}\)|\d{1,3}[.)])[ \t]{0,3})"
 )
 _AFTER = r"(?=[ \t]*+(?:$|\n|</|[\p{Lu}\p{Lo}\p{N}\[(<{#~|*@%$«【_&\\（]))"
-SPOT = _BEFORE + "(?:(?:" + "|".join(p for ps in PLACEHOLDERS.values() for p in ps) + r")[ \t]*+)++" + _AFTER
+SPOT = _FIRST + _BEFORE + "(?:(?:" + "|".join(p for ps in PLACEHOLDERS.values() for p in ps) + r")[ \t]*+)++" + _AFTER
 
-_LATIN = "lorem|ipsum|dolor|sit|amet|consectetur|adipiscing|elit|sed|eiusmod|tempor|incididunt|labore|dolore|magna|aliqua|enim|minim|veniam|quis|nostrud|exercitation|ullamco|laboris|nisi|aliquip|commodo|consequat|duis|aute|irure|reprehenderit|voluptate|velit|esse|cillum|fugiat|nulla|pariatur|excepteur|sint|occaecat|cupidatat|proident|sunt|culpa|officia|deserunt|mollit|anim|laborum|ut|et|ad|ex|ea|in|eu|non|qui|id|est|do"
+# fixed values: words of the usual dummy Latin
+_LATIN = (
+    "lorem|ipsum|dolor|dolore|sit|amet|consectetur|adipiscing|elit|sed|eiusmod|tempor|incididunt|labore|magna|aliqua|enim|minim|veniam|quis|nostrud|exercitation|ullamco|laboris|nisi|aliquip|commodo|consequat|duis|aute|irure"
+    "|reprehenderit|voluptate|velit|esse|cillum|fugiat|nulla|pariatur|excepteur|sint|occaecat|cupidatat|proident|sunt|culpa|officia|deserunt|mollit|anim|laborum|ut|et|ad|ex|ea|in|eu|non|qui|id|est|do"
+    "|porta|morbi|urna|felis|tellus|gravida|semper|dictum|ultrices|luctus|congue|vitae|mauris|pretium|pharetra|nibh|sapien|quam|lacus|varius|ornare|nunc|vestibulum|vivamus|viverra|vel|ac|at|nec|orci|odio|eget|turpis|massa|donec|integer|purus|libero|justo"
+)
 _SCRIPT = r"(?:active |client-side |the )?(?:javascript|js|scripts?|scripting|script execution)\b"
 
+_SWITCH = "(?:enable|activate|allow|turn on|switch on|permit|unblock|accept|re-enable)"
+_NOT = r"(?:cannot|can't|can not|could not|couldn't|did not|didn't|failed to|(?:is|are|was|were|'re) (?:currently )?unable to)"
+_SHOW = r"(?:display|show|open|load|retrieve|deliver|fetch|find|locate|render|return|access|process) (?:the|this|that|your|any|sheet|page|document)\b"
+
 #: Phrases that begin a sentence; accents are folded and letters lower before they are compared.
 STARTS = {
     "notice": [
-        rf"(?:please |you (?:need|have|must) (?:to )?|kindly )?(?:please )?(?:enable|activate|allow|turn on|switch on|permit) {_SCRIPT}",
+        rf"(?:please |you (?:need|have|must) (?:to )?|kindly )?(?:please )?{_SWITCH} {_SCRIPT}",
         r"javascript (?:is|has been|seems to be|appears to be|must be|needs to be) (?:disabled|required|turned off|switched off|blocked|enabled|necessary|not enabled|needed)",
         r"(?:notice ?[\-:–] ?)?this (?:site|page|app|application|document|section|content|viewer) (?:requires|needs|works only with|relies on|does not work without) (?:\w+ ){0,3}(?:javascript|script)",
         r"your browser (?:does not|doesn't|cannot) (?:support|run|execute|display)",
@@ -62,7 +72,9 @@ STARTS = {
         r"(?:http )?error \d{3}\b|status \d{3}\.|[45]\d\d (?:bad gateway|not found|internal server error|forbidden|service unavailable|gateway time-?out|unauthorized|bad request)",
         r"internal server error *(?=\n|$|[.<])",
         r"(?:the )?service (?:is )?(?:temporarily |currently )?(?:unavailable|not available) *(?=[.!<\n]|$)",
-        r"(?:sorry, )?(?:we|you) ?(?:'re|are)? ?(?:can't|cannot|can not|couldn't|could not|unable to) (?:find|locate|open|load|display|show) (?:that|this|the) ",
+        rf"(?:sorry, )?(?:we|the (?:server|gateway|service|system|site|host|viewer|application)) ?{_NOT} {_SHOW}",
+        rf"(?:sorry, )?(?:it (?:was|is) not possible to|unable to|failed to) {_SHOW}",
+        r"an? (?:unexpected |unknown |internal |server )?error (?:has )?occurred|(?:please )?contact the help ?desk|request failed *(?=[.!<\n]|$)|<title>\d{3}</title>",
         r"the (?:requested (?:page|document|publication|file|url)|(?:page|document) you (?:asked for|requested|are looking for)) (?:could not|was not|cannot|can't|no longer|does not|is not|has been)",
         r"access denied *(?=[.!<\n]|$)|you do not have permission|your session has (?:expired|timed out|ended)|too many requests *(?=[.!<\n]|$)",
         r"(?:document )?server (?:is )?under maintenance|oops|something went wrong|the upstream (?:host|server)|some content cannot be displayed|the full text service did not",
@@ -75,27 +87,38 @@ STARTS = {
     ],
     "filler": [
         rf"(?:{_LATIN})(?:,? (?:{_LATIN})){{3,}}",
-        r"(?:asdf|qwerty|jkl|blah|bla)(?:[ ,]+(?:asdf|qwerty|jkl|blah|bla)){2,}|x{4,}(?: x{3,})+|text(?: text){2,}",
-        r"this is (?:a )?(?:sample|dummy|filler|placeholder|example) text|(?:dummy|sample|filler) text for|placeholder (?:paragraph|text|sentence)\b|this paragraph only shows|body copy goes|sample sentence number",
+        r"(?:asdf|qwerty|jkl|blah|bla)(?:[ ,]+(?:asdf|qwerty|jkl|blah|bla)){2,}|x{4,}(?: x{3,})+|(?:text|test)(?: (?:text|test)){2,}",
+        r"this is (?:a )?(?:sample|dummy|filler|placeholder|example) text|(?:dummy|sample|filler) text for|placeholder (?:paragraph|text|sentence)\b|this paragraph only shows|body copy goes|sample sentence number|nothing in this section is",
         r"dies ist ein (?:blindtext|mustertext|fulltext|beispieltext)|nur ein (?:mustertext|blindtext|beispieltext)|hier steht (?:spater|bald) ",
         r"(?:ceci est un )?(?:faux texte|texte (?:d'exemple|de remplissage|factice))|(?:este es un )?texto de (?:relleno|ejemplo|muestra)",
-        r"此处为示例|这里是填充|此处为占位",
+        r"此处为示例|这里是填充|此处为占位|ここに(?:サンプル|本文|文章|テキスト)",
     ],
 }
-#: Phrases that count wherever they stand, outside quotes.
+#: Phrases that count wherever they stand, outside quotes, and the lines of a web page's navigation.
 ANYWHERE = [
-    rf"(?:, |\bplease |\bneed to |\bhave to )(?:enable|activate|allow|turn on|switch on|permit) {_SCRIPT}",
+    rf"(?:, |\bplease |\bneed to |\bhave to ){_SWITCH} {_SCRIPT}",
     r"because (?:script execution|javascript|scripting) is (?:blocked|disabled|off)|page works only with script|not possible without js\b",
-    r"javascript ?を有効に(?:して|する)|スクリ[プフ]゚?トの実行か?゛?が?必要|(?:用の|これは)?[ダタ]゙?ミーテキスト(?:で|て)|浏览器已?(?:禁用|不支持)|示例文字|填充文本|错误\d{3}：|页面(?:不存在|未找到)。",
+    r"javascript ?を有効に(?:して|する)|スクリ[プフ]゚?トの実行か?゛?が?必要|[タダ]゙?ミーテキスト[でて]|浏览器已?(?:禁用|不支持)|示例文字|填充文本|错误\d{3}：|页面(?:不存在|未找到)。",
+    r"(?:^|\n)[ \t]*+(?:\p{L}++(?: \| \p{L}++){2,3}|< ?\p{L}++ \| \p{L}++ ?>|back to results|\(c\) document service)[ \t]*+(?=\n|$)",
 ]
-#: Words of which one is in every phrase; for the cheap test.
+#: Beginnings of words of which one is in every phrase and which are rare elsewhere; for the cheap test.
 WORDS = [
-    "script", "browser", "viewer", "if nothing happens", "error", "status ", "gateway", "not found", "forbidden", "unavailable", "not available", "timeout", "unauthorized", "bad request",
-    "find that", "find the", "unable to", "the requested", "you asked for", "you requested", "looking for", "denied", "permission", "session", "requests", "maintenance", "oops", "went wrong", "upstream",
-    "displayed", "did not", "traceback", "exception", "warning:", "ocr_failed", "try again", "reload", "return to the", "fehler", "seite", "verweigert", "sitzung", "dienst", "versuchen", "erreur", "la page",
-    "refus", "indisponible", "essayer", "gina", "denegado", "servicio", "vuelva a", "ntelo", "エラー", "お探し", "セッション", "混み合", "拒否", "错误", "您", "会话", "服务器", "拒绝", "lorem", "dolor", "amet", "elit", "asdf", "qwerty", "blah",
-    "xxxx", "text text", " text", "paragraph", "body copy", "sample sentence", "blindtext", "mustertext", "lltext", "beispieltext", "hier steht", "texte", "texto", "示例", "填充", "占位", "を有効", "スクリ", "ミーテキ", "浏览器", "页面", "请",
+    "javascript", "script", "noscript", "browser", "viewer", "error", "gateway", "server", "unavailable", "denied", "permission", "session", "requested", "requests", "oops", "wrong", "display", "retrieve", "deliver", "desk", "traceback", "exception",
+    "warning", "ocr_failed", "reload", "try again", "start page", "fehler", "angeforderte", "verweigert", "sitzung", "dienst", "blindtext", "mustertext", "fulltext", "fülltext", "beispieltext", "endgültige", "erreur", "refus", "indisponible", "factice",
+    "faux texte", "exemple", "remplissage", "denegado", "servicio", "relleno", "solicitada", "caducado", "lorem", "dolor", "amet", "tellus", "asdf", "qwerty", "blah", "xxxx", "text text", "test test", "nothing in this", "sample text", "sample sentence", "dummy", "paragraph", "body copy",
+    "page", "seite", "página", "pagina", "cannot", "can't", "could not", "unable", "failed", "not possible", "document service", "back to", "java", "keyerror",
 ]
+CJK_WORDS = ["エラー", "お探し", "セッション", "混み合", "拒否", "错误", "您", "会话", "服务器", "拒绝", "示例", "填充", "占位", "有効", "スクリ", "ミーテキ", "ここに", "浏览器", "启用", "开启", "页面"]
+
+
+def _by_first(words: list[str]) -> str:
+    """An alternation that looks at a word's first character once."""
+    heads = sorted({w[0] for w in words})
+    return "|".join(f"{h}(?:{'|'.join(w[1:] for w in words if w[0] == h)})" for h in heads)
+
+
+RARE = rf"(?<![a-z])(?:{_by_first(WORDS)})| \| "
+CJK_RARE = "|".join(CJK_WORDS)
 
 _ACCENTS = ("áàâäãéèêëíìîïóòôöúùûüçñ’", "aaaaaeeeeiiiioooouuuucn'")
 _CODE = r"(?s)```.*?```|<pre\b.*?</pre>|<code\b.*?</code>"
@@ -108,14 +131,14 @@ def _spaced(pattern: str) -> str:
 
 
 def _phrases() -> str:
-    begin = r"(?:(?:^|\n)(?:[ \t]*+(?:</?\w+>|\d{1,3}[.)]|\[\d{1,6}\]|\(\d{1,3}\)|[\-*•]))*+[ \t]*+(?:[a-z .]{1,24}[:\-] ?|ref\. )?+|[.!?;:。！？；：…|>)\]#}】〕]\s*+)"
+    begin = r"(?:(?:^|\n)(?:[ \t]*+(?:</?\w+>|\d{1,3}[.)]|\[\d{1,6}\]|\(\d{1,3}\)|[\-*•]))*+[ \t]*+(?:[a-z .]{1,24}[:\-] ?|ref\. )?|[.!?;:。！？；：…|>)\]#}】〕]\s*+)"
     starts = "|".join(p for ps in STARTS.values() for p in ps)
     return f"{begin}(?:{_spaced(starts)})|{_spaced('|'.join(ANYWHERE))}"
 
 
 def _folded(text: Column) -> Column:
     """Lower case without accents, invisible characters, soft hyphens and hyphenated line breaks."""
-    plain = F.translate(F.lower(text), *_ACCENTS)
+    plain = F.translate(F.lower(text), _ACCENTS[0] + "\u00a0\u3000\u2009\u202f", _ACCENTS[1] + "    ")
     return F.regexp_replace(plain, "[\u00ad\u200b-\u200f\u2060\ufeff\u0300-\u036f]|(?<=\\p{L})-\n(?=\\p{Ll})", "")
 
 
@@ -136,15 +159,9 @@ def has_residue(text: Column) -> Column:
     exists() over one element binds a value that is used many times, so that it is computed once.
     """
 
-    def any_word(low: Column) -> Column:
-        found = F.lit(False)
-        for w in WORDS:
-            found = found | F.contains(low, F.lit(w))
-        return found
-
     def judge(t: Column) -> Column:
         spot = t.rlike(SPOT) & _content(t).rlike(SPOT)
-        maybe = F.exists(F.array(F.lower(t)), any_word)
+        maybe = F.lower(t).rlike(RARE) | (t.rlike("[\u3040-\u30ff\u4e00-\u9fff]") & t.rlike(CJK_RARE))
         return spot | F.when(maybe, _content(_folded(t)).rlike(_phrases())).otherwise(False)
 
     return F.coalesce(F.exists(F.array(text), judge), F.lit(False))
