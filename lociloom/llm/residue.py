@@ -148,9 +148,9 @@ def _content(text: Column) -> Column:
 
 
 def _repaired(text: Column) -> Column:
-    """UTF-8 that was read as Latin-1, read rightly; other texts as they are."""
+    """UTF-8 that was read as Latin-1, read rightly, with marks for what isn't UTF-8; other texts as they are."""
     wrong = text.rlike("[\u00c2-\u00f4][\u0080-\u00bf]") & ~text.rlike("[^\\x00-\u00ff]")
-    return F.when(wrong, F.decode(F.encode(F.when(wrong, text), "ISO-8859-1"), "UTF-8")).otherwise(text)
+    return F.when(wrong, F.make_valid_utf8(F.encode(F.when(wrong, text), "ISO-8859-1").cast("string"))).otherwise(text)
 
 
 def has_residue(text: Column) -> Column:

@@ -30,3 +30,9 @@ def test_very_long_and_empty_table(spark):
     df = spark.createDataFrame([(1, FILL * 20_000), (2, FILL * 20_000 + "\n{{summary}}\n")], "doc_id long, text string")
     assert [r.doc_id for r in with_residue(df).collect()] == [2]
     assert with_residue(df.limit(0)).count() == 0
+
+
+def test_wrong_encodings(spark):
+    latin = lambda t: t.encode().decode("latin-1")
+    rows = [(1, latin("Beschreibung\nDer Dienst ist vorübergehend nicht erreichbar.")), (2, latin("Abrégé é") + "\u00e9x\u00c3"), (3, latin("摘要 会话已过期，请重新登录。")[:-1])]
+    assert [r.doc_id for r in with_residue(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()] == [1]
