@@ -25,9 +25,8 @@ def major_allele(alleles: Column, symbols: tuple = ALLELES) -> Column:
 
 
 def major_indicator(alleles: Column, symbols: tuple = ALLELES) -> Column:
-    """1 where the major allele stands."""
-    m = major_allele(alleles, symbols)
-    return F.transform(alleles, lambda x: (x == m).cast("tinyint"))
+    """1 where the major allele stands. The outer transform() binds the major allele, so that it isn't found again for every sample."""
+    return F.transform(F.array(major_allele(alleles, symbols)), lambda m: F.transform(alleles, lambda x: (x == m).cast("tinyint")))[0]
 
 
 def is_binary(x: Column) -> Column:
