@@ -11,7 +11,7 @@ from lociloom.operators import thresholds as T
 from lociloom.plans import highorder as H
 from lociloom.plans.batch import shard
 from lociloom.plans.vp import restore_physical, run_vp
-from lociloom.queries.fixtures import COMPARISON, comparison, snp, weights
+from lociloom.queries.fixtures import CALLS, COMPARISON, GWES_CLASS, all_pairs_sql, binary_sql, comparison, distance_sql, snp, weights
 from lociloom.queries.tables import table
 from lociloom.scratch import Scratch
 
@@ -49,18 +49,18 @@ def bimodality(spark: SparkSession, d: str) -> DataFrame:
 
 def bootstrap_iqr_thresholds(spark: SparkSession, d: str) -> DataFrame:
     t = T.stable(T.bootstrap_fences(_rows(spark, d), "g", CFG), "g", CFG)
-    return t.select("g", F.round("stable_upper", 6).alias("stable_upper"), F.round("stable_lower", 6).alias("stable_lower"))
+    return t.select("g", F.round("stable_upper", 9).alias("stable_upper"), F.round("stable_lower", 9).alias("stable_lower"))
 
 
 def tail_quantile_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     t = T.stable(T.bootstrap_tails(_rows(spark, d), "g", CFG), "g", CFG)
-    return t.select("g", F.round("stable_upper", 6).alias("stable_upper"), F.round("stable_lower", 6).alias("stable_lower"))
+    return t.select("g", F.round("stable_upper", 9).alias("stable_upper"), F.round("stable_lower", 9).alias("stable_lower"))
 
 
 def directional_combine(spark: SparkSession, d: str) -> DataFrame:
     rows = _rows(spark, d)
     t = T.combine(T.stable(T.bootstrap_fences(rows, "g", CFG), "g", CFG), T.stable(T.bootstrap_tails(rows, "g", CFG), "g", CFG), T.extremes(rows, "g"), "g")
-    return t.select("g", F.round("stable_upper", 6).alias("stable_upper"), F.round("stable_lower", 6).alias("stable_lower"), "upper_source", "lower_source")
+    return t.select("g", F.round("stable_upper", 9).alias("stable_upper"), F.round("stable_lower", 9).alias("stable_lower"), "upper_source", "lower_source")
 
 
 def stability_annotate(spark: SparkSession, d: str) -> DataFrame:
@@ -90,7 +90,7 @@ def first_known_scores(spark: SparkSession, d: str) -> DataFrame:
     return compare.first_known(m.select(F.least("locus1", "locus2").alias("locus1"), F.greatest("locus1", "locus2").alias("locus2"), "background", ok("v_f"), ok("v_h")).groupBy("locus1", "locus2", "background").agg(F.min("v_f").alias("v_f"), F.min("v_h").alias("v_h")), "background", ["v_f", "v_h"])
 
 
-VP = VpConfig(weight_model="NW", threshold=0.3, maf=0.05)
+VP = VpConfig(weight_model="NW", threshold=0.1, maf=0.05)
 
 
 def vp_pipeline(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +111,7 @@ def highorder_pipeline(spark: SparkSession, d: str) -> DataFrame:
     full = run_vp(m, VP, s)
     first = shard(table(spark, d, "backgrounds")).join(m.select("locus"), "locus", "left_semi").orderBy("ordinal").first()
     high = run_vp(s.save(H.split_by_background(m, first.locus, 1), "sub"), VP, s)
-    cfg = HighOrderConfig(method="iqr", bootstrap=50, sample_size=5000, min_rows=1)
+    cfg = HighOrderConfig(method="iqr", bootstrap=50, sample_size=5000, min_rows=1, k_upper=0.5, k_lower=0.5, min_abs=0.05)
     c = H.compare(full, high, cfg, s)
     chosen = s.save(c.selection.rows.filter("direction <> 'not_selected'"), "chosen")
     return H.restore_selected(chosen, full, high, s.save(c.selection.thresholds, "thresholds"), cfg)
@@ -165,14 +165,22 @@ ORACLES = {
         s AS (SELECT chrom, avg((diff < 0)::INT) AS negative, avg((diff > 0)::INT) AS positive FROM r GROUP BY chrom)
         SELECT chrom, round(lm, 6) AS left_mode, round(rm, 6) AS right_mode, round(valley, 6) AS valley, round(valley / peak, 6) AS valley_ratio, round(negative, 6) AS negative, round(positive, 6) AS positive,
           negative >= 0.05 AND positive >= 0.05 AND lm <= -0.15 AND rm >= 0.15 AND rm - lm >= 0.3 AND valley / peak <= 0.5 AS bimodal FROM v JOIN s USING (chrom)""",
-    "bootstrap_iqr_thresholds": f"WITH {_R}, {_fences('g')} SELECT grp AS g, round(stable_upper, 6) AS stable_upper, round(stable_lower, 6) AS stable_lower FROM fs",
-    "tail_quantile_bootstrap": f"WITH {_R}, {_TAILS} SELECT grp AS g, round(stable_upper, 6) AS stable_upper, round(stable_lower, 6) AS stable_lower FROM ts",
+    "bootstrap_iqr_thresholds": f"WITH {_R}, {_fences('g')} SELECT grp AS g, round(stable_upper, 9) AS stable_upper, round(stable_lower, 9) AS stable_lower FROM fs",
+    "tail_quantile_bootstrap": f"WITH {_R}, {_TAILS} SELECT grp AS g, round(stable_upper, 9) AS stable_upper, round(stable_lower, 9) AS stable_lower FROM ts",
     "directional_combine": f"""WITH {_R}, {_fences('g')}, {_TAILS}, en AS (SELECT g AS grp, min(diff) AS least_, max(diff) AS most FROM r GROUP BY g),
         j AS (SELECT grp, fs.stable_upper AS iu, fs.stable_lower AS il, ts.stable_upper AS qu, ts.stable_lower AS ql, fs.stable_upper <= most AND fs.stable_upper <= 1 AS oku, fs.stable_lower >= least_ AND fs.stable_lower >= -1 AS okl
           FROM fs JOIN ts USING (grp) JOIN en USING (grp))
-        SELECT grp AS g, round(CASE WHEN oku AND qu > iu THEN qu ELSE iu END, 6) AS stable_upper, round(CASE WHEN okl AND ql < il THEN ql ELSE il END, 6) AS stable_lower,
+        SELECT grp AS g, round(CASE WHEN oku AND qu > iu THEN qu ELSE iu END, 9) AS stable_upper, round(CASE WHEN okl AND ql < il THEN ql ELSE il END, 9) AS stable_lower,
           CASE WHEN NOT oku THEN 'iqr_bootstrap_out_of_range_empty' WHEN qu > iu THEN 'quantile_bootstrap' ELSE 'iqr_bootstrap' END AS upper_source,
           CASE WHEN NOT okl THEN 'iqr_bootstrap_out_of_range_empty' WHEN ql < il THEN 'quantile_bootstrap' ELSE 'iqr_bootstrap' END AS lower_source FROM j""",
+    "vp_pipeline": f"""WITH {CALLS}, {binary_sql('snp', 'sb')},
+        kp AS (SELECT locus FROM sb GROUP BY locus HAVING least(sum(x), count(*) - sum(x)) / count(*) >= 0.05 AND least(sum(x), count(*) - sum(x)) >= 5),
+        bt AS (SELECT locus, string_agg(x::VARCHAR, '' ORDER BY sample_pos) AS bits FROM sb WHERE locus IN (SELECT locus FROM kp) GROUP BY locus),
+        rp AS (SELECT min(locus) AS locus FROM bt GROUP BY bits), vb AS (SELECT * FROM sb WHERE locus IN (SELECT locus FROM rp)), {all_pairs_sql('vb', 'weights')},
+        an AS (SELECT locus1, locus2, v, {distance_sql()} AS geno_dis, {GWES_CLASS} AS chrom FROM sc WHERE v >= 0.1),
+        th AS (SELECT quantile_cont(v, 0.75) + 1.5 * (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) AS t FROM an WHERE (chrom = 'chr1' AND geno_dis > 5000) OR (chrom = 'chr2' AND geno_dis > 17500))
+        SELECT locus1, locus2, round(v, 6) AS v, geno_dis, (geno_dis >= 0 AND geno_dis < 3000)::INT AS "LD" FROM an CROSS JOIN th
+        WHERE v > t AND ((chrom = 'chr1' AND geno_dis > 5000) OR (chrom = 'chr2' AND geno_dis > 17500) OR geno_dis = -1)""",
     "first_known_scores": """WITH t AS (SELECT least(locus1, locus2) AS locus1, greatest(locus1, locus2) AS locus2, background, CASE WHEN v_f BETWEEN 0 AND 1 AND NOT isnan(v_f) THEN v_f END AS v_f,
         CASE WHEN v_h BETWEEN 0 AND 1 AND NOT isnan(v_h) THEN v_h END AS v_h FROM df_merged WHERE locus1 IS NOT NULL AND locus2 IS NOT NULL),
         u AS (SELECT locus1, locus2, background, min(v_f) AS v_f, min(v_h) AS v_h FROM t GROUP BY ALL)
