@@ -28,9 +28,12 @@ def binarise(matrix: DataFrame, alleles: str = "alleles") -> DataFrame:
 
 def minor_filter(binary: DataFrame, maf: float = 0.02, min_mac: int = 5, one_sided: bool = False) -> DataFrame:
     """Loci whose minor count is at least maf of the samples and min_mac; one_sided takes 1 as the major state."""
-    n, c = F.size("x"), E.ones(F.col("x"))
-    minor = (n - c) if one_sided else F.least(c, n - c)
-    return binary.filter((minor / n >= maf) & (minor >= min_mac))
+    def passes(n: Column, c: Column) -> Column:
+        minor = (n - c) if one_sided else F.least(c, n - c)
+        return (minor / n >= maf) & (minor >= min_mac)
+
+    # exists() over one element binds the row and its count, which are used several times
+    return binary.filter(F.exists(F.array("x"), lambda x: F.exists(F.array(E.ones(x)), lambda c: passes(F.size(x), c))))
 
 
 def weight_row(weights: DataFrame) -> DataFrame:

@@ -2,8 +2,27 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once, so that its functions run there without being installed."""
+    if spark.sparkContext.applicationId in _SHIPPED:
+        return
+    home = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="spark-")) / f"{home.name}.zip"  # served by the driver, not read by executors from there
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f.relative_to(home.parent))
+    spark.sparkContext.addPyFile(str(target))
+    _SHIPPED.add(spark.sparkContext.applicationId)
+
 
 def build_session(master: str | None = None, app: str = "lociloom", shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
     """AQE with skew handling, UTC, Arrow. On a cluster leave `master` to spark-submit."""
@@ -20,4 +39,6 @@ def build_session(master: str | None = None, app: str = "lociloom", shuffle_part
     } | conf
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    return b.config(map=settings).getOrCreate()
+    spark = b.config(map=settings).getOrCreate()
+    ship(spark)
+    return spark

@@ -55,9 +55,12 @@ def long_matrix(calls: DataFrame, samples: DataFrame, missing: str = "-") -> Dat
     """
     n = samples.agg(F.max("sample_pos") + 1).first()[0]
     one = calls.groupBy("locus", "sample_pos").agg(F.min("allele").alias("allele"))
-    bag = one.groupBy("locus").agg(F.map_from_entries(F.collect_list(F.struct("sample_pos", "allele"))).alias("bag"))
-    every = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda s: F.coalesce(F.try_element_at("bag", s), F.lit(missing)))
-    return bag.select("locus", F.col("locus").alias("row_pos"), every.alias("alleles"))
+    e = one.groupBy("locus").agg(F.array_sort(F.collect_list(F.struct(F.col("sample_pos").cast("int").alias("at"), "allele"))).alias("e"))
+    gap = lambda k: F.array_repeat(F.lit(missing), k)
+    before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get("e", i - 1)["at"])
+    parts = F.transform("e", lambda x, i: F.concat(gap(x["at"] - before(i) - 1), F.array(x["allele"])))
+    tail = gap(F.lit(n - 1) - F.element_at("e", -1)["at"])
+    return e.select("locus", F.col("locus").alias("row_pos"), F.concat(F.flatten(parts), tail).alias("alleles"))
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
