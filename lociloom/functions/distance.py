@@ -40,7 +40,11 @@ def ld_flag(distance: Column, ld: int = 3000) -> Column:
     return F.when((distance >= 0) & (distance < ld), 1).otherwise(0).cast("tinyint")
 
 
-def gene_places(genes: DataFrame, intervals: DataFrame, contigs: DataFrame, g: GenomeConfig = GenomeConfig(), chr2_name: str = "NC_004605") -> DataFrame:
+# fixed value: accession of the second chromosome in the gene tables
+CHR2_NAME = "NC_004605"
+
+
+def gene_places(genes: DataFrame, intervals: DataFrame, contigs: DataFrame, g: GenomeConfig = GenomeConfig(), chr2_name: str = CHR2_NAME) -> DataFrame:
     """(locus_id, mid, start, end, contig) from genes(locus_id, g), intervals(qacc, sstart, send, sacc) and contigs(qacc, sacc).
 
     Positions on chromosome 2 are shifted; a gene only in contigs has just a contig; one in neither has nulls.

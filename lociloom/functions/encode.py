@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,18 +17,29 @@ def encode_alleles(alleles: Column) -> Column:
     return F.transform(alleles, lambda a: F.when(F.length(a) != 1, F.raise_error(F.concat(F.lit("not one symbol: "), a))).when(F.instr(F.lit(SYMBOLS), a) > 0, F.instr(F.lit(SYMBOLS), a) - 1).otherwise(F.raise_error(F.concat(F.lit("unknown allele: "), F.coalesce(a, F.lit("null"))))).cast("tinyint"))
 
 
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def major_allele(alleles: Column, symbols: tuple = ALLELES) -> Column:
     """The most frequent symbol; on a tie the one that occurs first. The gap competes like any other."""
-    def count(symbol: str) -> Column:
-        return F.size(F.filter(alleles, lambda x: x == F.lit(symbol)))
+    def most(a: Column) -> Column:
+        def count(symbol: str) -> Column:
+            return F.size(F.filter(a, lambda x: x == F.lit(symbol)))
 
-    seen = F.array(*[F.struct(count(s).alias("n"), (-F.array_position(alleles, F.lit(s))).alias("at"), F.lit(s).alias("s")) for s in symbols])
-    return F.array_max(F.filter(seen, lambda t: t["n"] > 0))["s"]
+        seen = F.array(*[F.struct(count(s).alias("n"), (-F.array_position(a, F.lit(s))).alias("at"), F.lit(s).alias("s")) for s in symbols])
+        return F.array_max(F.filter(seen, lambda t: t["n"] > 0))["s"]
+
+    return _bind(alleles, most)
 
 
 def major_indicator(alleles: Column, symbols: tuple = ALLELES) -> Column:
-    """1 where the major allele stands. The outer transform() binds the major allele, so that it isn't found again for every sample."""
-    return F.transform(F.array(major_allele(alleles, symbols)), lambda m: F.transform(alleles, lambda x: (x == m).cast("tinyint")))[0]
+    """1 where the major allele stands."""
+    def mark(a: Column) -> Column:
+        return _bind(major_allele(a, symbols), lambda m: F.transform(a, lambda x: (x == m).cast("tinyint")))
+
+    return _bind(alleles, mark)
 
 
 def is_binary(x: Column) -> Column:

@@ -120,7 +120,6 @@ def highorder_pipeline(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {q.__name__: q for q in (chromosome_class_highorder, diff_iqr_filter, diff_histogram, smoothed_histogram, bimodality, bootstrap_iqr_thresholds, tail_quantile_bootstrap, directional_combine, stability_annotate, select_auto, kde_difference, first_known_scores, vp_pipeline, vp_restored, highorder_pipeline)}
 
 _R = f"{COMPARISON}, r AS (SELECT * FROM cmp WHERE chrom IS NOT NULL)"
-_Q = "quantile_cont({v}, {p})"
 
 
 def _boot(group: str, where: str, salt: str, name: str, least: int = 0) -> str:
@@ -142,9 +141,6 @@ _TAILS = f"""{_boot('g', 'diff > 0', 'p', 'bp', 100)}, {_boot('g', 'diff < 0', '
   tu AS (SELECT grp, quantile_cont(u, 0.8) AS stable_upper FROM (SELECT grp, rep, quantile_cont(diff, 0.95) AS u FROM bp GROUP BY ALL) GROUP BY grp),
   tl AS (SELECT grp, quantile_cont(l, 0.2) AS stable_lower FROM (SELECT grp, rep, quantile_cont(diff, 0.05) AS l FROM bn GROUP BY ALL) GROUP BY grp),
   ts AS (SELECT * FROM tu JOIN tl USING (grp))"""
-_HIST = """ends AS (SELECT chrom, least(-1, min(diff)) AS lo, greatest(1, max(diff)) AS hi FROM r GROUP BY chrom),
-  hc AS (SELECT chrom, least(127, floor((diff - lo) / ((hi - lo) / 128)))::INT AS bin, count(*) AS n FROM r JOIN ends USING (chrom) GROUP BY ALL),
-  hi AS (SELECT chrom, i::INT AS bin, lo + (i + 0.5) * (hi - lo) / 128 AS centre, coalesce(n, 0) AS n FROM ends CROSS JOIN range(128) t(i) LEFT JOIN hc USING (chrom) WHERE hc.bin IS NULL OR true)"""
 _HIST = """ends AS (SELECT chrom, least(-1, min(diff)) AS lo, greatest(1, max(diff)) AS hi FROM r GROUP BY chrom),
   hc AS (SELECT chrom, least(127, floor((diff - lo) / ((hi - lo) / 128)))::INT AS bin, count(*) AS n FROM r JOIN ends USING (chrom) GROUP BY ALL),
   hi AS (SELECT e.chrom, i::INT AS bin, lo + (i + 0.5) * (hi - lo) / 128 AS centre, coalesce(n, 0) AS n FROM ends e CROSS JOIN range(128) t(i) LEFT JOIN hc ON hc.chrom = e.chrom AND hc.bin = i)"""
