@@ -5,11 +5,14 @@ ended, and a line's end or a new sentence follows. Inside a sentence it is spoke
 strings are blanked first, so that tutorials and cited messages don't count. Filler, messages and notices are phrases per language that
 stand as a sentence of their own.
 
-Everything is a built-in expression over whole texts. A cheap test for the phrases' words keeps the phrase patterns off most texts.
+Everything is a built-in expression over whole texts. The phrase patterns are tried on every text.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,30 +99,11 @@ STARTS = {
 }
 #: Phrases that count wherever they stand, outside quotes, and the lines of a web page's navigation.
 ANYWHERE = [
-    rf"(?:, |\bplease |\bneed to |\bhave to ){_SWITCH} {_SCRIPT}",
-    r"because (?:script execution|javascript|scripting) is (?:blocked|disabled|off)|page works only with script|not possible without js\b",
+    rf"(?=[,pnh])(?:, |\bplease |\bneed to |\bhave to ){_SWITCH} {_SCRIPT}",
+    r"(?=[bpn])(?:because (?:script execution|javascript|scripting) is (?:blocked|disabled|off)|page works only with script|not possible without js\b)",
     r"javascript ?を有効に(?:して|する)|スクリ[プフ]゚?トの実行か?゛?が?必要|[タダ]゙?ミーテキスト[でて]|浏览器已?(?:禁用|不支持)|示例文字|填充文本|错误\d{3}：|页面(?:不存在|未找到)。",
     r"(?:^|\n)[ \t]*+(?:\p{L}++(?: \| \p{L}++){2,3}|< ?\p{L}++ \| \p{L}++ ?>|back to results|\(c\) document service)[ \t]*+(?=\n|$)",
 ]
-#: Beginnings of words of which one is in every phrase and which are rare elsewhere; for the cheap test.
-WORDS = [
-    "javascript", "script", "noscript", "browser", "viewer", "error", "gateway", "server", "unavailable", "denied", "permission", "session", "requested", "requests", "oops", "wrong", "display", "retrieve", "deliver", "desk", "traceback", "exception",
-    "warning", "ocr_failed", "reload", "try again", "start page", "fehler", "angeforderte", "verweigert", "sitzung", "dienst", "blindtext", "mustertext", "fulltext", "fülltext", "beispieltext", "endgültige", "erreur", "refus", "indisponible", "factice",
-    "faux texte", "exemple", "remplissage", "denegado", "servicio", "relleno", "solicitada", "caducado", "lorem", "dolor", "amet", "tellus", "asdf", "qwerty", "blah", "xxxx", "text text", "test test", "nothing in this", "sample text", "sample sentence", "dummy", "paragraph", "body copy",
-    "page", "seite", "página", "pagina", "cannot", "can't", "could not", "unable", "failed", "not possible", "document service", "back to", "java", "keyerror",
-]
-CJK_WORDS = ["エラー", "お探し", "セッション", "混み合", "拒否", "错误", "您", "会话", "服务器", "拒绝", "示例", "填充", "占位", "有効", "スクリ", "ミーテキ", "ここに", "浏览器", "启用", "开启", "页面"]
-
-
-def _by_first(words: list[str]) -> str:
-    """An alternation that looks at a word's first character once."""
-    heads = sorted({w[0] for w in words})
-    return "|".join(f"{h}(?:{'|'.join(w[1:] for w in words if w[0] == h)})" for h in heads)
-
-
-RARE = rf"(?<![a-z])(?:{_by_first(WORDS)})| \| "
-CJK_RARE = "|".join(CJK_WORDS)
-
 _ACCENTS = ("áàâäãéèêëíìîïóòôöúùûüçñ’", "aaaaaeeeeiiiioooouuuucn'")
 _CODE = r"(?s)```.*?```|<pre\b.*?</pre>|<code\b.*?</code>"
 _QUOTED = r"\"[^\"\n]{1,600}\"|“[^”\n]{1,600}”|「[^」\n]{1,300}」|(?<!\p{L})'[^'\n]{1,200}'(?!\p{L})"
@@ -143,8 +127,14 @@ def _folded(text: Column) -> Column:
 
 
 def _content(text: Column) -> Column:
-    """Text with code blocks and quoted strings blanked."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "&quot;", '"'), _CODE, " code "), _QUOTED, '"quoted"')
+    """Text with code blocks and quoted strings blanked. A text without an opening mark is passed on as it is."""
+
+    def blank(value: Column, marks: list[str], pattern: str, by: str) -> Column:
+        has = lambda t: reduce(or_, [t.contains(m) for m in marks])
+        return F.transform(F.array(value), lambda t: F.when(has(t), F.regexp_replace(t, pattern, by)).otherwise(t))[0]
+
+    code = blank(F.replace(text, F.lit("&quot;"), F.lit('"')), ["```", "<pre", "<code"], _CODE, " code ")
+    return blank(code, ['"', "“", "「", "'"], _QUOTED, '"quoted"')
 
 
 def _repaired(text: Column) -> Column:
@@ -161,8 +151,7 @@ def has_residue(text: Column) -> Column:
 
     def judge(t: Column) -> Column:
         spot = t.rlike(SPOT) & _content(t).rlike(SPOT)
-        maybe = F.lower(t).rlike(RARE) | (t.rlike("[\u3040-\u30ff\u4e00-\u9fff]") & t.rlike(CJK_RARE))
-        return spot | F.when(maybe, _content(_folded(t)).rlike(_phrases())).otherwise(False)
+        return spot | _content(_folded(t)).rlike(_phrases())
 
     return F.coalesce(F.exists(F.array(text), judge), F.lit(False))
 

@@ -36,3 +36,9 @@ def test_wrong_encodings(spark):
     latin = lambda t: t.encode().decode("latin-1")
     rows = [(1, latin("Beschreibung\nDer Dienst ist vorübergehend nicht erreichbar.")), (2, latin("Abrégé é") + "\u00e9x\u00c3"), (3, latin("摘要 会话已过期，请重新登录。")[:-1])]
     assert [r.doc_id for r in with_residue(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()] == [1]
+
+
+def test_phrases_need_no_other_word(spark):
+    alone = ["In order to see the claims, unblock JS and refresh.", "To continue, allow JS and refresh.", "404 Not Found", "403 Forbidden", "400 Bad Request", "Status 404.", "This is a placeholder text", "Filler text for the frame", "Please ena-\nble JS"]
+    df = spark.createDataFrame(list(enumerate(alone)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in with_residue(df).collect()) == list(range(len(alone)))
