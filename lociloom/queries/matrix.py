@@ -81,6 +81,20 @@ def subgroup_alleles(spark: SparkSession, d: str) -> DataFrame:
     return sub.select("locus", E.major_allele(F.col("alleles")).alias("major"), F.size("alleles").alias("n"))
 
 
+def subgroup_alleles_all(spark: SparkSession, d: str) -> DataFrame:
+    """Major allele of every locus among the samples of each background's both states; a state without samples has no rows."""
+    m = Scratch(spark, "splits").save(snp(spark, d), "snp")
+    return split_alleles(m, shard(table(spark, d, "backgrounds")))
+
+
+def split_alleles(m: DataFrame, backgrounds: DataFrame) -> DataFrame:
+    masks = m.join(backgrounds.select("locus"), "locus").select(F.col("locus").alias("background"), E.major_indicator(F.col("alleles")).alias("mask"))
+    both = masks.withColumn("state", F.explode(F.array(F.lit(1), F.lit(0)))).filter(F.exists("mask", lambda v: v == F.col("state")))
+    kept = F.filter(F.zip_with("alleles", "mask", lambda v, k: F.when(k == F.col("state"), v)), lambda v: v.isNotNull())
+    sub = m.crossJoin(both).select("background", "state", "locus", kept.alias("alleles"))
+    return sub.select("background", "state", "locus", E.major_allele(F.col("alleles")).alias("major"), F.size("alleles").alias("n"))
+
+
 def shard_backgrounds(spark: SparkSession, d: str) -> DataFrame:
     return shard(table(spark, d, "backgrounds"), 2, 1).select("ordinal", "locus")
 
@@ -95,7 +109,7 @@ def within_pattern_entropy(spark: SparkSession, d: str) -> DataFrame:
     return m.filter("locus = representative").select("representative", F.round("within_pattern_v", 6).alias("within_pattern_v"))
 
 
-QUERIES = {q.__name__: q for q in (allele_encode, major_allele_binary, maf_mac_filter, weighted_marginals, sample_similarity, scc_components, scc_weights, hcc_weights, ess_screen, background_split, subgroup_alleles, shard_backgrounds, pattern_collapse, within_pattern_entropy)}
+QUERIES = {q.__name__: q for q in (allele_encode, major_allele_binary, maf_mac_filter, weighted_marginals, sample_similarity, scc_components, scc_weights, hcc_weights, ess_screen, background_split, subgroup_alleles, subgroup_alleles_all, shard_backgrounds, pattern_collapse, within_pattern_entropy)}
 
 _SNPB = f"{CALLS}, {binary_sql('snp', 'sb')}"
 _SIM = f"""{EVENTS}, sim AS (SELECT a.sample_pos AS s1, b.sample_pos AS s2, count(*) / (SELECT count(DISTINCT locus) FROM ge) AS sim FROM ge a JOIN ge b USING (locus, allele) WHERE a.sample_pos < b.sample_pos GROUP BY ALL),

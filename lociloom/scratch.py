@@ -47,6 +47,10 @@ class Scratch:
         if path:
             self._delete(path)
 
+    def clear(self) -> None:
+        """Delete all tables of the call."""
+        self._delete(self.root)
+
     def _delete(self, path: str) -> None:
         try:
             jvm = self.spark.sparkContext._jvm

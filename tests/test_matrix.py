@@ -4,6 +4,7 @@ import pytest
 from lociloom.functions import encode as E
 from lociloom.operators import weights as wt
 from lociloom.operators.matrix import binarise, check_weights, minor_filter, with_row_position
+from lociloom.queries.matrix import split_alleles
 from lociloom.plans.batch import fingerprint, load_full, run_batch, save_full, shard, signature
 from lociloom.scratch import Scratch
 from lociloom.sources.readers import header, long_matrix, read_backgrounds, read_matrix, read_pairs, read_weights
@@ -124,3 +125,9 @@ def test_batch_resumes_and_isolates_failures(spark, tmp_path):
     assert load_full(spark, f"{out}/full", "other") is None and load_full(spark, f"{out}/full", sign)["pairs"].count() == 3
     delete(spark, f"{out}/full", f"{out}/1", keep=f"{out}/1/1/pairs")
     assert not exists(spark, f"{out}/full") and exists(spark, f"{out}/1/1/pairs")
+
+
+def test_alleles_of_all_subgroups(spark):
+    m = spark.createDataFrame([(1, 0, list("AATT")), (2, 1, list("CGGG")), (3, 2, list("AAAA"))], "locus long, row_pos long, alleles array<string>")
+    out = {(r.background, r.state, r.locus): (r.major, r.n) for r in split_alleles(m, m.filter("locus <> 2").select("locus")).collect()}
+    assert out == {(1, 1, 1): ("A", 2), (1, 1, 2): ("C", 2), (1, 1, 3): ("A", 2), (1, 0, 1): ("T", 2), (1, 0, 2): ("G", 2), (1, 0, 3): ("A", 2), (3, 1, 1): ("A", 4), (3, 1, 2): ("G", 4), (3, 1, 3): ("A", 4)}

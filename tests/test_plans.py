@@ -3,7 +3,7 @@ import pytest
 
 from lociloom.config import HighOrderConfig, VpConfig
 from lociloom.operators import gwes, stability, thresholds
-from lociloom.plans.highorder import compare, restore_selected, split_by_background
+from lociloom.plans.highorder import compare, restore_selected, run_backgrounds, split_by_background
 from lociloom.plans.vp import restore_physical, run_vp
 from lociloom.scratch import Scratch
 from lociloom.streaming.backgrounds import run_stream
@@ -46,6 +46,17 @@ def test_subgroup_analysis(spark, matrix):
     assert out.filter("change_direction is null or abs(diff - (v_h - v_f)) > 1e-12").count() == 0
 
 
+def test_all_backgrounds_in_both_states(spark, matrix, tmp_path):
+    s = Scratch(spark, "t")
+    few = matrix.withColumn("alleles", F.when(F.col("locus") == 1000, F.expr("transform(sequence(1, 60), i -> if(i <= 50, 'A', 'T'))")).otherwise(F.col("alleles")))
+    ho = HighOrderConfig(method="iqr", bootstrap=20, sample_size=1000, min_rows=1, k_upper=0, k_lower=0)
+    out = run_backgrounds(few, [1000, 121_000], VpConfig(k=0.1, threshold=0.1, weight_model="NW"), ho, f"file://{tmp_path}/runs", s).collect()
+    status = {(r.background, r.state): r.status for r in out}
+    assert status == {(1000, 1): "done", (1000, 0): "too_few", (121_000, 1): "done", (121_000, 0): "done"}
+    assert {(r.background, r.state) for r in out if r.locus1 is not None} == {(1000, 1), (121_000, 1), (121_000, 0)}
+    assert all("10 samples" in r.message for r in out if r.background == 1000)
+
+
 def comparison(spark, bimodal):
     rng = np.random.default_rng(2026)
     n = 1500
