@@ -75,7 +75,10 @@ def bootstrap_fences(df: DataFrame, group: str, cfg: HighOrderConfig, column: st
 
 
 def bootstrap_tails(df: DataFrame, group: str, cfg: HighOrderConfig, column: str = "diff") -> DataFrame:
-    """(group, replicate, upper, lower): quantile of the resampled positive and of the resampled negative differences."""
+    """(group, replicate, upper, lower): quantile of the resampled positive and of the resampled negative differences.
+
+    A tail of fewer than min_tail rows gives null; a group with two such tails has no row.
+    """
     def tail(rows: DataFrame, q: float, name: str, salt: str) -> DataFrame:
         n = numbered(rows.filter(F.col(group).isNotNull()).select(group, "locus1", "locus2", column), group, ["locus1", "locus2"])
         drawn = resample(n.filter(F.col("n") >= cfg.min_tail), group, column, cfg.bootstrap, cfg.sample_size, salt)
@@ -83,7 +86,7 @@ def bootstrap_tails(df: DataFrame, group: str, cfg: HighOrderConfig, column: str
 
     ok = df.filter(finite(column))
     up, lo = tail(ok.filter(F.col(column) > 0), cfg.upper_q, "upper", "p"), tail(ok.filter(F.col(column) < 0), cfg.lower_q, "lower", "n")
-    return up.join(lo, [group, "replicate"])
+    return up.join(lo, [group, "replicate"], "full")
 
 
 def stable(boot: DataFrame, group: str, cfg: HighOrderConfig) -> DataFrame:
@@ -153,20 +156,29 @@ def bimodality(df: DataFrame, group: str, column: str = "diff", bins: int = 128,
 
 def combine(iqr: DataFrame, tails: DataFrame, ends: DataFrame, group: str) -> DataFrame:
     """Per group and tail the stricter of the IQR and the quantile threshold. An IQR fence out of reach stays, and its tail is empty.
+    Without a quantile threshold, for the tail is short, the IQR one stays, marked short_tail.
 
     iqr and tails have stable_upper, stable_lower, uppers, lowers; ends has least and most. All have a row per group.
     """
     a = iqr.select(group, *[F.col(c).alias(f"i_{c}") for c in ("stable_upper", "stable_lower", "uppers", "lowers")])
     b = tails.select(group, *[F.col(c).alias(f"q_{c}") for c in ("stable_upper", "stable_lower", "uppers", "lowers")])
-    j = a.join(b, group).join(ends, group)
+    j = a.join(b, group, "left").join(ends, group)
     ok_up = (F.col("i_stable_upper") <= F.col("most")) & (F.col("i_stable_upper") <= 1)
     ok_lo = (F.col("i_stable_lower") >= F.col("least")) & (F.col("i_stable_lower") >= -1)
     up_q, lo_q = ok_up & (F.col("q_stable_upper") > F.col("i_stable_upper")), ok_lo & (F.col("q_stable_lower") < F.col("i_stable_lower"))
-    pick = lambda c, q: F.when(q, F.col(f"q_{c}")).otherwise(F.col(f"i_{c}")).alias(c)
-    name = lambda ok, q: F.when(~ok, "iqr_bootstrap_out_of_range_empty").when(q, "quantile_bootstrap").otherwise("iqr_bootstrap")
+    pick = lambda c, q: F.when(F.coalesce(q, F.lit(False)), F.col(f"q_{c}")).otherwise(F.col(f"i_{c}")).alias(c)
+    name = lambda ok, q: F.when(~ok, "iqr_bootstrap_out_of_range_empty").when(q.isNull(), "iqr_bootstrap_short_tail").when(q, "quantile_bootstrap").otherwise("iqr_bootstrap")
     return j.select(group, pick("stable_upper", up_q), pick("stable_lower", lo_q), pick("uppers", up_q), pick("lowers", lo_q), name(ok_up, up_q).alias("upper_source"), name(ok_lo, lo_q).alias("lower_source"))
 
 
+def require_tails(df: DataFrame, group: str, cfg: HighOrderConfig, column: str = "diff") -> None:
+    """An error if a group, a chromosome, has fewer than min_tail positive or negative differences."""
+    side = lambda c: F.count(F.when(finite(column) & c, 1))
+    sizes = df.filter(F.col(group).isNotNull()).groupBy(group).agg(side(F.col(column) > 0).alias("up"), side(F.col(column) < 0).alias("lo"))
+    if short := [tuple(r) for r in sizes.filter(F.least("up", "lo") < cfg.min_tail).collect()]:
+        raise ValueError(f"a tail has fewer than {cfg.min_tail} pairs (group, positive, negative): {short}")
+
+
 def extremes(df: DataFrame, group: str, column: str = "diff") -> DataFrame:
     return df.filter(finite(column) & F.col(group).isNotNull()).groupBy(group).agg(F.min(column).alias("least"), F.max(column).alias("most"), F.count(F.lit(1)).alias("n"))
 
@@ -178,8 +190,12 @@ class Selection:
 
 
 def select_auto(df: DataFrame, group: str, cfg: HighOrderConfig) -> Selection:
-    """Per chromosome the combined thresholds where the differences are bimodal, else the IQR bootstrap; by method iqr or quantile that one."""
+    """Per chromosome the combined thresholds where the differences are bimodal, else the IQR bootstrap; by method iqr or quantile that one.
+
+    A short tail where quantile thresholds are needed is an error.
+    """
     if cfg.method == "quantile":
+        require_tails(df, group, cfg)
         t = stable(bootstrap_tails(df, group, cfg), group, cfg).withColumn("threshold_method", F.lit("quantile_bootstrap"))
         return Selection(annotate_stability(df, t, group, cfg, inclusive=True), t)
     iqr = stable(bootstrap_fences(df, group, cfg), group, cfg)
@@ -198,6 +214,7 @@ def select_auto(df: DataFrame, group: str, cfg: HighOrderConfig) -> Selection:
     rows = annotate_stability(df.filter(~F.col(group).isin(two)) if two else df, t1, group, cfg, inclusive=False)
     t = t1
     if two:
+        require_tails(df.filter(F.col(group).isin(two)), group, cfg)
         both = combine(iqr.filter(F.col(group).isin(two)), stable(bootstrap_tails(df.filter(F.col(group).isin(two)), group, cfg), group, cfg), ends, group)
         t2 = both.select(*cols, F.lit("directional_combination").alias("threshold_method"))
         rows = rows.unionByName(annotate_stability(df.filter(F.col(group).isin(two)), t2, group, cfg, inclusive=True))

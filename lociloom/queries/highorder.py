@@ -52,15 +52,39 @@ def bootstrap_iqr_thresholds(spark: SparkSession, d: str) -> DataFrame:
     return t.select("g", F.round("stable_upper", 9).alias("stable_upper"), F.round("stable_lower", 9).alias("stable_lower"))
 
 
+def _tails(rows: DataFrame, cfg: HighOrderConfig) -> DataFrame:
+    return T.stable(T.bootstrap_tails(rows, "g", cfg), "g", cfg)
+
+
+def _combined(rows: DataFrame, tails: DataFrame, cfg: HighOrderConfig) -> DataFrame:
+    t = T.combine(T.stable(T.bootstrap_fences(rows, "g", cfg), "g", cfg), tails, T.extremes(rows, "g"), "g")
+    return t.select("g", F.round("stable_upper", 9).alias("stable_upper"), F.round("stable_lower", 9).alias("stable_lower"), "upper_source", "lower_source")
+
+
 def tail_quantile_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    t = T.stable(T.bootstrap_tails(_rows(spark, d), "g", CFG), "g", CFG)
+    """As its SQL, of groups with both tails only; tail_quantile_all has every group."""
+    t = _tails(_rows(spark, d), CFG).filter("stable_upper is not null and stable_lower is not null")
     return t.select("g", F.round("stable_upper", 9).alias("stable_upper"), F.round("stable_lower", 9).alias("stable_lower"))
 
 
+def tail_quantile_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every group; the threshold of a short tail is null and its source says so."""
+    rows = _rows(spark, d)
+    t = T.extremes(rows, "g").select("g").join(_tails(rows, CFG), "g", "left")
+    source = lambda c: F.when(F.col(c).isNull(), "short_tail").otherwise("quantile_bootstrap")
+    return t.select("g", F.round("stable_upper", 9).alias("stable_upper"), F.round("stable_lower", 9).alias("stable_lower"), source("stable_upper").alias("upper_source"), source("stable_lower").alias("lower_source"))
+
+
 def directional_combine(spark: SparkSession, d: str) -> DataFrame:
+    """As its SQL, of groups with both tails only; directional_combine_all has every group."""
     rows = _rows(spark, d)
-    t = T.combine(T.stable(T.bootstrap_fences(rows, "g", CFG), "g", CFG), T.stable(T.bootstrap_tails(rows, "g", CFG), "g", CFG), T.extremes(rows, "g"), "g")
-    return t.select("g", F.round("stable_upper", 9).alias("stable_upper"), F.round("stable_lower", 9).alias("stable_lower"), "upper_source", "lower_source")
+    tails = _tails(rows, CFG).filter("stable_upper is not null and stable_lower is not null")
+    return _combined(rows, tails, CFG).join(tails.select("g"), "g", "left_semi")
+
+
+def directional_combine_all(spark: SparkSession, d: str) -> DataFrame:
+    rows = _rows(spark, d)
+    return _combined(rows, _tails(rows, CFG), CFG)
 
 
 def stability_annotate(spark: SparkSession, d: str) -> DataFrame:
@@ -125,7 +149,7 @@ def highorder_batch(spark: SparkSession, d: str) -> DataFrame:
     return H.run_backgrounds(m, loci, VpConfig(), HighOrderConfig(), f"{s.root}/runs", s)
 
 
-QUERIES = {q.__name__: q for q in (chromosome_class_highorder, diff_iqr_filter, diff_histogram, smoothed_histogram, bimodality, bootstrap_iqr_thresholds, tail_quantile_bootstrap, directional_combine, stability_annotate, select_auto, kde_difference, first_known_scores, vp_pipeline, vp_restored, highorder_pipeline, highorder_batch)}
+QUERIES = {q.__name__: q for q in (chromosome_class_highorder, diff_iqr_filter, diff_histogram, smoothed_histogram, bimodality, bootstrap_iqr_thresholds, tail_quantile_bootstrap, tail_quantile_all, directional_combine, directional_combine_all, stability_annotate, select_auto, kde_difference, first_known_scores, vp_pipeline, vp_restored, highorder_pipeline, highorder_batch)}
 
 _R = f"{COMPARISON}, r AS (SELECT * FROM cmp WHERE chrom IS NOT NULL)"
 

@@ -121,3 +121,22 @@ def test_stream_runs_new_files_once(spark, tmp_path):
         spark.createDataFrame([(0, locus)], "ordinal long, locus long").write.mode("append").parquet(src)
         run_stream(spark, src, str(tmp_path / "ck"), run)
     assert seen == [7, 8]
+
+
+def test_short_tails_are_kept_or_refused(spark):
+    """Groups: both tails long, the negative one short, both short."""
+    value = {"a": lambda i: (-1) ** i * (0.3 + i / 1000), "b": lambda i: (0.3 + i / 1000) * (-1 if i < 20 else 1), "c": lambda i: (-1) ** i * 0.1}
+    rows = [(i, i + 7000, float(value[g](i)), g) for g, n in (("a", 300), ("b", 300), ("c", 30)) for i in range(n)]
+    df = spark.createDataFrame(rows, "locus1 long, locus2 long, diff double, g string")
+    cfg = HighOrderConfig(bootstrap=20, sample_size=1000, k_upper=0, k_lower=0)
+    tails = thresholds.stable(thresholds.bootstrap_tails(df, "g", cfg), "g", cfg)
+    assert {r.g: (r.stable_upper is None, r.stable_lower is None) for r in tails.collect()} == {"a": (False, False), "b": (False, True)}
+    iqr = thresholds.stable(thresholds.bootstrap_fences(df, "g", cfg), "g", cfg)
+    out = {r.g: r for r in thresholds.combine(iqr, tails, thresholds.extremes(df, "g"), "g").collect()}
+    assert set(out) == {"a", "b", "c"} and out["b"].upper_source == "quantile_bootstrap" and out["b"].lower_source == "iqr_bootstrap_short_tail"
+    assert len(out["b"].lowers) == 20 and out["b"].stable_lower == {r.g: r.stable_lower for r in iqr.collect()}["b"]
+    with pytest.raises(ValueError, match="tail"):
+        thresholds.select_auto(df.filter("g = 'b'"), "g", HighOrderConfig(method="quantile", bootstrap=20, sample_size=1000))
+    two = spark.createDataFrame([(i, i + 7000, 0.5 + i / 1e4 if i < 120 else -0.5 - i / 1e4, "x") for i in range(180)], "locus1 long, locus2 long, diff double, g string")
+    with pytest.raises(ValueError, match="tail"):
+        thresholds.select_auto(two, "g", HighOrderConfig(bootstrap=20, sample_size=1000, min_rows=1))
