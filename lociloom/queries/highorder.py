@@ -15,7 +15,9 @@ from lociloom.queries.fixtures import CALLS, COMPARISON, GWES_CLASS, all_pairs_s
 from lociloom.queries.tables import table
 from lociloom.scratch import Scratch
 
-CFG = HighOrderConfig(bootstrap=20, sample_size=1000)
+CFG = HighOrderConfig()
+#: What the SQL of bootstrap_iqr_thresholds, tail_quantile_bootstrap and directional_combine draws; the queries named _all draw by CFG.
+SQL_CFG = HighOrderConfig(bootstrap=20, sample_size=1000)
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
@@ -48,6 +50,12 @@ def bimodality(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bootstrap_iqr_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    t = T.stable(T.bootstrap_fences(_rows(spark, d), "g", SQL_CFG), "g", SQL_CFG)
+    return t.select("g", F.round("stable_upper", 9).alias("stable_upper"), F.round("stable_lower", 9).alias("stable_lower"))
+
+
+def bootstrap_iqr_all(spark: SparkSession, d: str) -> DataFrame:
+    """At default settings, by background's chromosome."""
     t = T.stable(T.bootstrap_fences(_rows(spark, d), "g", CFG), "g", CFG)
     return t.select("g", F.round("stable_upper", 9).alias("stable_upper"), F.round("stable_lower", 9).alias("stable_lower"))
 
@@ -63,7 +71,7 @@ def _combined(rows: DataFrame, tails: DataFrame, cfg: HighOrderConfig) -> DataFr
 
 def tail_quantile_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """As its SQL, of groups with both tails only; tail_quantile_all has every group."""
-    t = _tails(_rows(spark, d), CFG).filter("stable_upper is not null and stable_lower is not null")
+    t = _tails(_rows(spark, d), SQL_CFG).filter("stable_upper is not null and stable_lower is not null")
     return t.select("g", F.round("stable_upper", 9).alias("stable_upper"), F.round("stable_lower", 9).alias("stable_lower"))
 
 
@@ -78,8 +86,8 @@ def tail_quantile_all(spark: SparkSession, d: str) -> DataFrame:
 def directional_combine(spark: SparkSession, d: str) -> DataFrame:
     """As its SQL, of groups with both tails only; directional_combine_all has every group."""
     rows = _rows(spark, d)
-    tails = _tails(rows, CFG).filter("stable_upper is not null and stable_lower is not null")
-    return _combined(rows, tails, CFG).join(tails.select("g"), "g", "left_semi")
+    tails = _tails(rows, SQL_CFG).filter("stable_upper is not null and stable_lower is not null")
+    return _combined(rows, tails, SQL_CFG).join(tails.select("g"), "g", "left_semi")
 
 
 def directional_combine_all(spark: SparkSession, d: str) -> DataFrame:
@@ -149,7 +157,7 @@ def highorder_batch(spark: SparkSession, d: str) -> DataFrame:
     return H.run_backgrounds(m, loci, VpConfig(), HighOrderConfig(), f"{s.root}/runs", s)
 
 
-QUERIES = {q.__name__: q for q in (chromosome_class_highorder, diff_iqr_filter, diff_histogram, smoothed_histogram, bimodality, bootstrap_iqr_thresholds, tail_quantile_bootstrap, tail_quantile_all, directional_combine, directional_combine_all, stability_annotate, select_auto, kde_difference, first_known_scores, vp_pipeline, vp_restored, highorder_pipeline, highorder_batch)}
+QUERIES = {q.__name__: q for q in (chromosome_class_highorder, diff_iqr_filter, diff_histogram, smoothed_histogram, bimodality, bootstrap_iqr_thresholds, bootstrap_iqr_all, tail_quantile_bootstrap, tail_quantile_all, directional_combine, directional_combine_all, stability_annotate, select_auto, kde_difference, first_known_scores, vp_pipeline, vp_restored, highorder_pipeline, highorder_batch)}
 
 _R = f"{COMPARISON}, r AS (SELECT * FROM cmp WHERE chrom IS NOT NULL)"
 

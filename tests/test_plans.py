@@ -140,3 +140,20 @@ def test_short_tails_are_kept_or_refused(spark):
     two = spark.createDataFrame([(i, i + 7000, 0.5 + i / 1e4 if i < 120 else -0.5 - i / 1e4, "x") for i in range(180)], "locus1 long, locus2 long, diff double, g string")
     with pytest.raises(ValueError, match="tail"):
         thresholds.select_auto(two, "g", HighOrderConfig(bootstrap=20, sample_size=1000, min_rows=1))
+
+
+def test_bootstrap_queries_draw_by_default_settings(spark):
+    """Brute force over all 200 replicates of a group's full size."""
+    from hashlib import md5
+
+    from lociloom.queries import highorder as Q
+
+    assert Q.CFG == HighOrderConfig() and (Q.CFG.bootstrap, Q.CFG.sample_size) == (200, 100_000)
+    v = np.random.default_rng(5).normal(0.05, 0.4, 1200)
+    df = spark.createDataFrame([(i, i + 7000, float(x), "g") for i, x in enumerate(v)], "locus1 long, locus2 long, diff double, g string")
+    ups = []
+    for r in range(200):
+        q1, q3 = np.quantile(v[[int(md5(f"b:{r}:{i}".encode()).hexdigest()[:8], 16) % 1200 for i in range(1200)]], [0.25, 0.75])
+        ups.append(max(max(q3, 0) + 1.5 * (q3 - q1), 0.15))
+    got = thresholds.stable(thresholds.bootstrap_fences(df, "g", Q.CFG), "g", Q.CFG).first()
+    assert np.allclose(sorted(ups), got.uppers) and got.stable_upper == pytest.approx(np.quantile(ups, 0.8))
