@@ -13,13 +13,28 @@ from lociloom.sources.readers import long_matrix
 KINDS = {"view": "A", "click": "T", "purchase": "C", "signup": "G"}
 
 
-def event_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """Users as loci, their first 40 events as samples, the kind of event as allele."""
+def _event_rows(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     k = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
     allele = F.coalesce(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])[F.col("event_type")], F.lit("-"))
-    few = e.select(F.col("user_id").cast("bigint").alias("locus"), k.alias("k"), allele.alias("allele")).filter("k <= 40")
-    return few.groupBy("locus").agg(F.array_sort(F.collect_list(F.struct("k", "allele")))["allele"].alias("alleles")).select("locus", F.col("locus").alias("row_pos"), "alleles")
+    return e.select(F.col("user_id").cast("bigint").alias("locus"), k.alias("k"), allele.alias("allele"))
+
+
+def _event_arrays(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("locus").agg(F.array_sort(F.collect_list(F.struct("k", "allele")))["allele"].alias("alleles")).select("locus", F.col("locus").alias("row_pos"), "alleles")
+
+
+def event_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Users as loci, their first 40 events as samples, as in EVENTS; the kind of event as allele."""
+    return _event_arrays(_event_rows(spark, d).filter("k <= 40"))
+
+
+def padded_events(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """Users as loci and all their events as samples, gaps up to the longest user; and the number of samples."""
+    rows = _event_rows(spark, d)
+    width = rows.agg(F.coalesce(F.max("k"), F.lit(0))).first()[0]
+    gaps = F.array_repeat(F.lit("-"), F.lit(width) - F.size("alleles"))
+    return _event_arrays(rows).withColumn("alleles", F.concat("alleles", gaps)), width
 
 
 def vector_matrix(spark: SparkSession, d: str, dims: int = 64) -> DataFrame:

@@ -11,7 +11,7 @@ from lociloom.operators import weights as wt
 from lociloom.operators.matrix import binarise, marginals, minor_filter
 from lociloom.plans.batch import shard
 from lociloom.plans.highorder import split_by_background
-from lociloom.queries.fixtures import CALLS, EVENTS, STEPS, VECTORS, binary_sql, event_matrix, snp, step_weights, vector_matrix, weights
+from lociloom.queries.fixtures import CALLS, EVENTS, STEPS, VECTORS, binary_sql, event_matrix, padded_events, snp, step_weights, vector_matrix, weights
 from lociloom.queries.tables import table
 from lociloom.scratch import Scratch
 
@@ -40,18 +40,26 @@ def sample_similarity(spark: SparkSession, d: str) -> DataFrame:
     return wt.similarity(snp(spark, d)).select("s1", "s2", "same", F.round("sim", 6).alias("sim"))
 
 
-def _clusters(spark: SparkSession, d: str) -> DataFrame:
+def _clusters(spark: SparkSession, events: DataFrame, n: int) -> DataFrame:
     s = Scratch(spark, "scc")
-    sim = s.save(wt.similarity(event_matrix(spark, d)), "similarity")
-    return wt.scc(sim, spark.range(40).select(F.col("id").cast("int").alias("sample_pos")), LINK, s)
+    sim = s.save(wt.similarity(events), "similarity")
+    return wt.scc(sim, spark.range(n).select(F.col("id").cast("int").alias("sample_pos")), LINK, s)
 
 
 def scc_components(spark: SparkSession, d: str) -> DataFrame:
-    return _clusters(spark, d).select("sample", "cluster")
+    return _clusters(spark, event_matrix(spark, d), 40).select("sample", "cluster")
+
+
+def scc_components_all(spark: SparkSession, d: str) -> DataFrame:
+    return _clusters(spark, *padded_events(spark, d)).select("sample", "cluster")
 
 
 def scc_weights(spark: SparkSession, d: str) -> DataFrame:
-    return wt.cluster_weights(_clusters(spark, d)).select("sample_pos", F.round("weight", 6).alias("weight"))
+    return wt.cluster_weights(_clusters(spark, event_matrix(spark, d), 40)).select("sample_pos", F.round("weight", 6).alias("weight"))
+
+
+def scc_weights_all(spark: SparkSession, d: str) -> DataFrame:
+    return wt.cluster_weights(_clusters(spark, *padded_events(spark, d))).select("sample_pos", F.round("weight", 6).alias("weight"))
 
 
 def hcc_weights(spark: SparkSession, d: str) -> DataFrame:
@@ -104,12 +112,23 @@ def pattern_collapse(spark: SparkSession, d: str) -> DataFrame:
     return m.select("locus", F.col("row_position"), "pattern_group", "representative", "pattern_size")
 
 
+def pattern_collapse_all(spark: SparkSession, d: str) -> DataFrame:
+    """Of the given allele matrix."""
+    m = patterns.with_group_number(patterns.collapse(binarise(snp(spark, d)).select("locus", "row_pos", "x")))
+    return m.select("locus", F.col("row_position"), "pattern_group", "representative", "pattern_size")
+
+
+def within_pattern_entropy_all(spark: SparkSession, d: str) -> DataFrame:
+    m = patterns.collapse(marginals(binarise(snp(spark, d)).select("locus", "row_pos", "x"), weights(spark, d)))
+    return m.filter("locus = representative").select("representative", F.round("within_pattern_v", 6).alias("within_pattern_v"))
+
+
 def within_pattern_entropy(spark: SparkSession, d: str) -> DataFrame:
     m = patterns.collapse(marginals(vector_matrix(spark, d, 7), step_weights(spark, 7)))
     return m.filter("locus = representative").select("representative", F.round("within_pattern_v", 6).alias("within_pattern_v"))
 
 
-QUERIES = {q.__name__: q for q in (allele_encode, major_allele_binary, maf_mac_filter, weighted_marginals, sample_similarity, scc_components, scc_weights, hcc_weights, ess_screen, background_split, subgroup_alleles, subgroup_alleles_all, shard_backgrounds, pattern_collapse, within_pattern_entropy)}
+QUERIES = {q.__name__: q for q in (allele_encode, major_allele_binary, maf_mac_filter, weighted_marginals, sample_similarity, scc_components, scc_weights, hcc_weights, ess_screen, background_split, subgroup_alleles, subgroup_alleles_all, shard_backgrounds, pattern_collapse, within_pattern_entropy, scc_components_all, scc_weights_all, pattern_collapse_all, within_pattern_entropy_all)}
 
 _SNPB = f"{CALLS}, {binary_sql('snp', 'sb')}"
 _SIM = f"""{EVENTS}, sim AS (SELECT a.sample_pos AS s1, b.sample_pos AS s2, count(*) / (SELECT count(DISTINCT locus) FROM ge) AS sim FROM ge a JOIN ge b USING (locus, allele) WHERE a.sample_pos < b.sample_pos GROUP BY ALL),

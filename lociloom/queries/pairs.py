@@ -9,7 +9,7 @@ from lociloom.functions import distance as D
 from lociloom.operators import compare, gwes, patterns, stability
 from lociloom.operators import pairs as P
 from lociloom.operators.matrix import binarise, marginals
-from lociloom.queries.fixtures import EVENTS, GWES_CLASS, PAIRS, STEPS, VECTORS, all_pairs_sql, binary_sql, clean_pairs, distance_sql, event_matrix, score_sql, step_weights, vector_matrix
+from lociloom.queries.fixtures import EVENTS, GWES_CLASS, PAIRS, STEPS, VECTORS, all_pairs_sql, binary_sql, clean_pairs, distance_sql, event_matrix, padded_events, score_sql, step_weights, vector_matrix, snp, weights
 from lociloom.queries.tables import table
 from lociloom.scratch import Scratch
 
@@ -20,8 +20,8 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select("locus1", "locus2", F.round("v", 6).alias("v"))
 
 
-def _uniform(spark: SparkSession) -> DataFrame:
-    return spark.range(40).select(F.col("id").cast("int").alias("sample_pos"), F.lit(1.0).alias("weight"))
+def _uniform(spark: SparkSession, n: int = 40) -> DataFrame:
+    return spark.range(n).select(F.col("id").cast("int").alias("sample_pos"), F.lit(1.0).alias("weight"))
 
 
 def epistasis_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -29,6 +29,12 @@ def epistasis_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(P.all_pairs(binarise(event_matrix(spark, d)), _uniform(spark), GE_T))
 
 
+def epistasis_all(spark: SparkSession, d: str) -> DataFrame:
+    """The flagship over all events."""
+    e, n = padded_events(spark, d)
+    return _rounded(P.all_pairs(binarise(e), _uniform(spark, n), GE_T))
+
+
 def weighted_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(P.all_pairs_sql(vector_matrix(spark, d), step_weights(spark, 64), GB_T))
 
@@ -142,10 +148,18 @@ def missing_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def complete_comparison(spark: SparkSession, d: str) -> DataFrame:
     """Events' matrix against its first 20 samples as the subgroup."""
+    return _completed(spark, event_matrix(spark, d), 40)
+
+
+def complete_comparison_all(spark: SparkSession, d: str) -> DataFrame:
+    return _completed(spark, *padded_events(spark, d))
+
+
+def _completed(spark: SparkSession, events: DataFrame, n: int) -> DataFrame:
     s = Scratch(spark, "complete")
-    e = s.save(event_matrix(spark, d), "events")
+    e = s.save(events, "events")
     full, high = s.save(binarise(e), "full"), s.save(binarise(e.withColumn("alleles", F.slice("alleles", 1, 20))), "high")
-    wf, wh = _uniform(spark), _uniform(spark).filter("sample_pos < 20")
+    wf, wh = _uniform(spark, n), _uniform(spark, n).filter("sample_pos < 20")
     f, h = s.save(P.all_pairs(full, wf, 0.3), "pf"), s.save(P.all_pairs(high, wh, 0.4), "ph")
     c = compare.complete_comparison(f, h, full, wf, high, wh)
     return c.select("locus1", "locus2", F.round("v_f", 6).alias("v_f"), F.round("v_h", 6).alias("v_h"), F.round("diff", 6).alias("diff"))
@@ -159,6 +173,22 @@ def _collapsed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Scrat
     return s.save(P.all_pairs(patterns.representatives(x, m), w, 0.5), "pairs"), m, s
 
 
+def _collapsed_snp(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs of representatives and the pattern map of the given allele matrix with its weights."""
+    s = Scratch(spark, "restore")
+    x = s.save(binarise(snp(spark, d)).select("locus", "row_pos", "x"), "x")
+    m = s.save(patterns.collapse(marginals(x, weights(spark, d))), "map")
+    return s.save(P.all_pairs(patterns.representatives(x, m), weights(spark, d), 0.5), "pairs"), m
+
+
+def restore_between_all(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(patterns.restore_between(*_collapsed_snp(spark, d)))
+
+
+def restore_within_all(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(patterns.restore_within(_collapsed_snp(spark, d)[1], 0.9))
+
+
 def restore_between(spark: SparkSession, d: str) -> DataFrame:
     pairs, m, _ = _collapsed(spark, d)
     return _rounded(patterns.restore_between(pairs, m))
@@ -170,14 +200,23 @@ def restore_within(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pair_bootstrap_stability(spark: SparkSession, d: str) -> DataFrame:
+    return _resampled(spark, event_matrix(spark, d), 40, 20)
+
+
+def pair_bootstrap_all(spark: SparkSession, d: str) -> DataFrame:
+    """All events and 100 replicates, the default."""
+    return _resampled(spark, *padded_events(spark, d), 100)
+
+
+def _resampled(spark: SparkSession, events: DataFrame, n: int, replicates: int) -> DataFrame:
     s = Scratch(spark, "boot")
-    x = s.save(binarise(event_matrix(spark, d)), "x")
-    c = s.save(P.all_pairs(x, _uniform(spark), 0.35), "pairs")
-    b = stability.pair_bootstrap(c, x, _uniform(spark), 0.3, 40, 20)
+    x = s.save(binarise(events), "x")
+    c = s.save(P.all_pairs(x, _uniform(spark, n), 0.35), "pairs")
+    b = stability.pair_bootstrap(c, x, _uniform(spark, n), 0.3, n, replicates)
     return b.select("locus1", "locus2", "bootstrap_pass_count", "bootstrap_valid_count", F.round("bootstrap_v_mean", 6).alias("mean"), F.round("bootstrap_v_std", 6).alias("std"), "stable")
 
 
-QUERIES = {q.__name__: q for q in (epistasis_pairs, weighted_pairs, block_kernel_pairs, selected_pairs, score_survival, adaptive_threshold, snp_distance, gene_places, gene_distance, linear_circular_distance, chromosome_class_gwes, gwes_iqr_threshold, gwes_filter, gwes_single_chr, gwes_kde_threshold, plot_classes, merge_pairs_full_outer, missing_pairs, complete_comparison, restore_between, restore_within, pair_bootstrap_stability)}
+QUERIES = {q.__name__: q for q in (epistasis_pairs, epistasis_all, complete_comparison_all, restore_between_all, restore_within_all, pair_bootstrap_all, weighted_pairs, block_kernel_pairs, selected_pairs, score_survival, adaptive_threshold, snp_distance, gene_places, gene_distance, linear_circular_distance, chromosome_class_gwes, gwes_iqr_threshold, gwes_filter, gwes_single_chr, gwes_kde_threshold, plot_classes, merge_pairs_full_outer, missing_pairs, complete_comparison, restore_between, restore_within, pair_bootstrap_stability)}
 
 _GE = f"{EVENTS}, {binary_sql('ge', 'gx')}, uw AS (SELECT i::INT AS sample_pos, 1.0::DOUBLE AS weight FROM range(40) t(i))"
 _GB = f"{VECTORS}, {STEPS}"

@@ -4,6 +4,7 @@ import pytest
 from lociloom.functions import encode as E
 from lociloom.operators import weights as wt
 from lociloom.operators.matrix import binarise, check_weights, minor_filter, with_row_position
+from lociloom.queries.fixtures import padded_events
 from lociloom.queries.matrix import split_alleles
 from lociloom.plans.batch import fingerprint, load_full, run_batch, save_full, shard, signature
 from lociloom.scratch import Scratch
@@ -131,3 +132,11 @@ def test_alleles_of_all_subgroups(spark):
     m = spark.createDataFrame([(1, 0, list("AATT")), (2, 1, list("CGGG")), (3, 2, list("AAAA"))], "locus long, row_pos long, alleles array<string>")
     out = {(r.background, r.state, r.locus): (r.major, r.n) for r in split_alleles(m, m.filter("locus <> 2").select("locus")).collect()}
     assert out == {(1, 1, 1): ("A", 2), (1, 1, 2): ("C", 2), (1, 1, 3): ("A", 2), (1, 0, 1): ("T", 2), (1, 0, 2): ("G", 2), (1, 0, 3): ("A", 2), (3, 1, 1): ("A", 4), (3, 1, 2): ("G", 4), (3, 1, 3): ("A", 4)}
+
+
+def test_all_events_are_samples(spark, tmp_path):
+    rows = [(u * 1000 + i, u, i, "click" if i < 40 else "signup") for u, n in ((1, 45), (2, 42)) for i in range(n)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    m, n = padded_events(spark, str(tmp_path))
+    got = {r.locus: "".join(r.alleles) for r in m.collect()}
+    assert n == 45 and got == {1: "T" * 40 + "G" * 5, 2: "T" * 40 + "G" * 2 + "-" * 3}
