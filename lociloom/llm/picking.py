@@ -22,8 +22,9 @@ def pick(df: DataFrame, keys: Sequence[str], quota: str, total: str, u: str, scr
     share = F.least(F.lit(1.0), (q + 8 * F.sqrt(q) + 64) / n)
     rows = df.filter(q > 0).withColumn("__thr", share)
     near = scratch.save(rows.filter(F.col(u) <= F.col("__thr")), "near")
-    short = near.groupBy(*keys).agg(F.count(F.lit(1)).alias("__c"), F.first(quota).alias("__q")).filter("__c < __q").select(*keys)
-    if not short.isEmpty():  # of probability below 1e-12
+    wanted = rows.groupBy(*keys).agg(F.first(quota).alias("__q"))
+    short = wanted.join(near.groupBy(*keys).agg(F.count(F.lit(1)).alias("__c")), list(keys), "left").filter("coalesce(__c, 0) < __q").select(*keys)
+    if not short.isEmpty():  # of probability below 1e-12, unless rows share their u
         near = scratch.save(rows.join(short, list(keys), "left_semi").withColumn("__thr", F.lit(1.0)).unionByName(near.join(short, list(keys), "left_anti")), "near")
     parts = F.ceil(q / BUCKET_ROWS)
     near = near.withColumn("__bucket", F.least(parts - 1, F.floor(F.col(u) / F.col("__thr") * parts)).cast("int"))

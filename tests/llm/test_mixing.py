@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from lociloom.llm.mixing import Mix, fit, subset
+from lociloom.llm.picking import pick
 from lociloom.llm.tokens import VOCABULARY
 from lociloom.scratch import Scratch
 
@@ -53,3 +54,10 @@ def test_mix(spark):
 def test_empty(spark):
     mix = Mix(spark.createDataFrame([], "doc_id long, source string, text string"), spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int"), Scratch(spark, "t"))
     assert mix.documents().count() == 0 and [r.used_tokens for r in mix.report().collect()] == [0]
+
+
+def test_pick_of_a_key_whose_rows_share_their_u(spark):
+    rows = [("a", i, 0.99, 5, 1000) for i in range(1000)] + [("b", i, (i + 0.5) / 1000, 5, 1000) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k string, id int, u double, q long, n long")
+    out = pick(df, ["k"], "q", "n", "u", Scratch(spark, "t")).collect()
+    assert sorted(r.k for r in out) == ["a"] * 5 + ["b"] * 5 and {r.id for r in out if r.k == "b"} == set(range(5))
