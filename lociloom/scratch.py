@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _LOCAL: dict[str, str] = {}
 
@@ -41,6 +41,12 @@ class Scratch:
         back._scratch_path = path
         return back
 
+    def save_counting(self, df: DataFrame, name: str, *counts: Column) -> tuple[DataFrame, dict]:
+        """save() and the named aggregates of the rows, taken while they are written."""
+        seen = Observation()
+        back = self.save(df.observe(seen, *counts), name)
+        return back, seen.get
+
     def drop(self, df: DataFrame) -> None:
         """Delete a table that nothing reads any longer."""
         path = getattr(df, "_scratch_path", None)
