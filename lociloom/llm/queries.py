@@ -14,6 +14,7 @@ from lociloom.scratch import Scratch
 
 SAMPLE_SIZE = 100_000
 PROBS = (0.1, 0.5, 0.9)
+WIDTH = 2**-10  # of the cells of stored summaries
 ALLELES = ("A", "T", "C", "G", "-")
 
 
@@ -53,20 +54,38 @@ def p3_reservoir_sample(spark: SparkSession, d: str) -> DataFrame:
     return reservoir.sample_batches(rows.select("background", "locus1", "locus2", "diff", "batch_no", "loaded_at"), "batch_no", SAMPLE_SIZE, Scratch(spark, "p3"), seed=11).drop("loaded_at")
 
 
-def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles of diff, v_h and v_f per background over valid rows, each pair once per background."""
-    s = Scratch(spark, "p4")
-    m = table(spark, d, "df_merged").select("background", "locus1", "locus2", "v_f", "v_h", "diff")
+def _measured(spark: SparkSession, d: str, s: Scratch) -> DataFrame:
+    """Valid rows of df_merged, each pair once per background, with the first piece it came in."""
+    m = table(spark, d, "df_merged").select("background", "locus1", "locus2", "v_f", "v_h", "diff", "batch_no")
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
     ok = m.filter(finite("v_f") & finite("v_h") & finite("diff") & F.col("v_f").between(0, 1) & F.col("v_h").between(0, 1))
     # F.least skips nulls, so a pair with one null locus stays distinct by its count of nulls
     nulls = F.col("locus1").isNull().cast("int") + F.col("locus2").isNull().cast("int")
-    once = ok.groupBy("background", F.least("locus1", "locus2").alias("a"), F.greatest("locus1", "locus2").alias("b"), nulls.alias("nulls")).agg(F.min(F.struct("v_f", "v_h", "diff")).alias("x"))
-    rows = s.save(once.select("background", "x.v_f", "x.v_h", "x.diff"), "pairs")
-    out = quantiles.percentiles([rows], "background", ("diff", "v_h", "v_f"), PROBS, s)
+    once = ok.groupBy("background", F.least("locus1", "locus2").alias("a"), F.greatest("locus1", "locus2").alias("b"), nulls.alias("nulls")).agg(F.min(F.struct("v_f", "v_h", "diff")).alias("x"), F.min("batch_no").alias("batch_no"))
+    return s.save(once.select("background", "x.v_f", "x.v_h", "x.diff", "batch_no"), "pairs")
+
+
+MEASURES = ("diff", "v_h", "v_f")
+
+
+def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of diff, v_h and v_f per background over valid rows, each pair once per background."""
+    s = Scratch(spark, "p4")
+    out = quantiles.percentiles([_measured(spark, d, s)], "background", MEASURES, PROBS, s)
     return out.select(F.col("group_key").alias("background"), "measure", "n", *[F.round(f"p{i}", 9).alias(f"p{int(p * 100)}") for i, p in enumerate(PROBS)])
 
 
+def p4_batch_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """The same within WIDTH from a summary of each piece (batch_no): summaries are stored by piece, then combined without the rows."""
+    s = Scratch(spark, "p4b")
+    rows = _measured(spark, d, s)
+    tall = quantiles.summary(rows.withColumn("piece", F.struct("batch_no", "background")), "piece", MEASURES, WIDTH)
+    stored = s.save(tall.select(F.col("g.batch_no").alias("batch_no"), F.col("g.background").alias("g"), "measure", "cell", "n", "least", "most"), "summaries")
+    out = quantiles.bounds(quantiles.merge(stored), PROBS)
+    ends = [F.round(f"p{i}_{e}", 9).alias(f"p{int(p * 100)}_{e}") for i, p in enumerate(PROBS) for e in ("low", "high")]
+    return out.select(F.col("group_key").alias("background"), "measure", "n", *ends)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     m = F.col("measure")
     hit = ((m == "diff") & (F.abs("p50") >= 0.15)) | ((m == "v_h") & (F.col("p90") >= 0.70)) | ((m == "v_f") & (F.col("p10") <= 0.05))
@@ -93,7 +112,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.with_residue(table(spark, d, "documents").select("doc_id", "text")).select("doc_id")
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p2_found, p2_frequency, p2_allele_ngrams, p3_reservoir_sample, p4_found, p4_percentiles, p6_ids, p7_mix, p7_shares, p8_found)}
+QUERIES = {q.__name__: q for q in (p1_found, p2_found, p2_frequency, p2_allele_ngrams, p3_reservoir_sample, p4_found, p4_percentiles, p4_batch_bounds, p6_ids, p7_mix, p7_shares, p8_found)}
 
 _CALLS = """calls AS (SELECT locus, sample_pos, upper(allele) AS allele FROM snp_matrix
     WHERE locus IS NOT NULL AND upper(allele) IN ('A', 'T', 'C', 'G', '-') AND sample_pos IN (SELECT sample_pos FROM weights))"""
@@ -105,6 +124,9 @@ _ONCE = """WITH once AS (SELECT background, least(locus1, locus2) AS a, greatest
     tall AS (SELECT background, 'diff' AS measure, x.diff AS v FROM once UNION ALL SELECT background, 'v_h', x.v_h FROM once UNION ALL SELECT background, 'v_f', x.v_f FROM once),
     q AS (SELECT background, measure, count(*) AS n, round(quantile_cont(v, 0.1), 9) AS p10, round(quantile_cont(v, 0.5), 9) AS p50, round(quantile_cont(v, 0.9), 9) AS p90 FROM tall GROUP BY ALL)"""
 
+_CELLS = f"""{_ONCE}, z AS (SELECT background, measure, v, min(v) OVER w AS least_, max(v) OVER w AS most_ FROM tall WINDOW w AS (PARTITION BY background, measure, floor(v / {WIDTH})))"""
+_ENDS = ", ".join(f"round(quantile_cont({e}_, {p}), 9) AS p{int(p * 100)}_{n}" for p in PROBS for e, n in (("least", "low"), ("most", "high")))
+
 ORACLES = {
     "p1_found": """
         WITH RECURSIVE l AS (SELECT DISTINCT locus1 AS a, locus2 AS b FROM final_pairs
@@ -124,6 +146,7 @@ ORACLES = {
               UNION ALL SELECT locus, t1, t2, t3, 3 FROM s WHERE t3 IS NOT NULL)
         SELECT t1, t2, t3, n_terms, count(*) AS n_occurrences, count(DISTINCT locus) AS n_records FROM g GROUP BY ALL""",
     "p4_percentiles": f"{_ONCE} SELECT * FROM q",
+    "p4_batch_bounds": f"{_CELLS} SELECT background, measure, count(*) AS n, {_ENDS} FROM z GROUP BY ALL",
     "p4_found": f"""{_ONCE} SELECT background, measure FROM q
         WHERE (measure = 'diff' AND abs(p50) >= 0.15) OR (measure = 'v_h' AND p90 >= 0.70) OR (measure = 'v_f' AND p10 <= 0.05)""",
 }
