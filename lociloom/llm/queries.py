@@ -49,9 +49,28 @@ def p2_allele_ngrams(spark: SparkSession, d: str) -> DataFrame:
     return frequency.prefix_counts(s, "locus", ["t1", "t2", "t3"], Scratch(spark, "p2n"))
 
 
-def p3_reservoir_sample(spark: SparkSession, d: str) -> DataFrame:
+def _finite_differences(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "df_merged").filter(F.col("diff").isNotNull() & ~F.isnan("diff") & (F.abs("diff") < F.lit(float("inf"))))
-    return reservoir.sample_batches(rows.select("background", "locus1", "locus2", "diff", "batch_no", "loaded_at"), "batch_no", SAMPLE_SIZE, Scratch(spark, "p3"), seed=11).drop("loaded_at")
+    return rows.select("background", "locus1", "locus2", "diff", "batch_no", "loaded_at")
+
+
+def p3_reservoir_sample(spark: SparkSession, d: str) -> DataFrame:
+    """All pieces wait: their counts are drawn in order, the surviving rows chosen in one pass."""
+    return reservoir.sample_batches(_finite_differences(spark, d), "batch_no", SAMPLE_SIZE, Scratch(spark, "p3"), seed=11).drop("loaded_at")
+
+
+def p3_arrivals(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces arrive one after another, each a folder; the sample after every piece is kept in the shared folder."""
+    s = Scratch(spark, "p3a")
+    rows = _finite_differences(spark, d)
+    folder = f"{s.root}/pieces"
+    rows.withColumn("piece", F.col("batch_no")).write.partitionBy("piece").parquet(folder)
+    pieces = spark.read.schema(rows.withColumn("piece", F.col("batch_no")).schema).parquet(folder)
+    r = reservoir.Reservoir(SAMPLE_SIZE, s, seed=11)
+    r.update(rows.limit(0))
+    for (piece,) in rows.select("batch_no").distinct().orderBy("batch_no").collect():  # a row per piece
+        r.update(pieces.filter(F.col("piece").eqNullSafe(F.lit(piece))).drop("piece"))
+    return r.result().drop("loaded_at")
 
 
 def _measured(spark: SparkSession, d: str, s: Scratch) -> DataFrame:
@@ -112,7 +131,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.with_residue(table(spark, d, "documents").select("doc_id", "text")).select("doc_id")
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p2_found, p2_frequency, p2_allele_ngrams, p3_reservoir_sample, p4_found, p4_percentiles, p4_batch_bounds, p6_ids, p7_mix, p7_shares, p8_found)}
+QUERIES = {q.__name__: q for q in (p1_found, p2_found, p2_frequency, p2_allele_ngrams, p3_reservoir_sample, p3_arrivals, p4_found, p4_percentiles, p4_batch_bounds, p6_ids, p7_mix, p7_shares, p8_found)}
 
 _CALLS = """calls AS (SELECT locus, sample_pos, upper(allele) AS allele FROM snp_matrix
     WHERE locus IS NOT NULL AND upper(allele) IN ('A', 'T', 'C', 'G', '-') AND sample_pos IN (SELECT sample_pos FROM weights))"""
