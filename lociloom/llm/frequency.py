@@ -6,8 +6,9 @@ One pass then keeps a stack with the counts and record sets of the prefixes that
 without it arrives. The stack works on whole Arrow batches: per depth, runs of equal prefixes are summed at once, and only the
 open run at the end of a batch is carried over.
 
-A first term that holds more than HOT of the suffixes is split by record over SALTS tasks. A record's suffixes stay together, so counts
-and record counts of the parts add up.
+A first term with more than ROWS_PER_TASK counted suffixes is split by record into as many parts as its count asks for, so that no task
+has much more, however large a term is. A record's suffixes stay together, so counts and record counts of the parts add up, and the record set of an open prefix
+is no larger than its part. Only terms above 1/HOT_TERMS of the suffixes are told apart from the others, at most HOT_TERMS by counting.
 """
 
 from __future__ import annotations
@@ -22,17 +23,39 @@ from pyspark.sql import types as T
 
 from lociloom.scratch import Scratch
 
-HOT, SALTS = 0.005, 32
+ROWS_PER_TASK = 2**18
+HOT_TERMS = 20_000
+
+
+class Records:
+    """Distinct records of an open prefix. New ones wait until they outnumber the known ones, so that a record is sorted a few times only."""
+
+    def __init__(self, first: np.ndarray) -> None:
+        self.known, self.waiting, self.n = first, [], 0
+
+    def add(self, more: np.ndarray) -> None:
+        self.waiting.append(more)
+        self.n += len(more)
+        if self.n > len(self.known):
+            self._settle()
+
+    def _settle(self) -> None:
+        self.known, self.waiting, self.n = np.unique(np.concatenate([self.known, *self.waiting])), [], 0
+
+    def size(self) -> int:
+        if self.waiting:
+            self._settle()
+        return len(self.known)
 
 
 def _stack(batches: Iterator[pa.RecordBatch], depth: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     last: tuple | None = None  # terms and length of the last row so far
     open_n = [0] * (depth + 1)
-    open_rec: list[np.ndarray | None] = [None] * (depth + 1)  # None: no prefix of this depth is open
+    open_rec: list[Records | None] = [None] * (depth + 1)  # None: no prefix of this depth is open
 
     def close(d: int, out: list) -> None:
         if open_rec[d] is not None:
-            out.append((d, [last[0][j] for j in range(d)], open_n[d], len(open_rec[d])))
+            out.append((d, [last[0][j] for j in range(d)], open_n[d], open_rec[d].size()))
             open_rec[d], open_n[d] = None, 0
 
     for b in batches:
@@ -64,19 +87,19 @@ def _stack(batches: Iterator[pa.RecordBatch], depth: int, schema: pa.Schema) ->
             names, code = np.unique(rec[at], return_inverse=True)
             pairs = np.unique(seg.astype(np.int64) * len(names) + code)
             per = np.bincount(pairs // len(names), minlength=len(first)).astype(np.int64)
-            if open_rec[d] is not None:  # the first run goes on from the batch before
-                mine = names[pairs[pairs // len(names) == 0] % len(names)]
-                both = np.union1d(open_rec[d], mine)
-                count[0] += open_n[d]
-                per[0] = len(both)
-                open_rec[d], open_n[d] = both, int(count[0])
+            of_run = lambda r: names[pairs[pairs // len(names) == r] % len(names)]  # noqa: B023, E731
             stays_open = at[-1] == k - 1
             done = len(first) - 1 if stays_open else len(first)
-            if stays_open and not (done == 0 and open_rec[d] is not None):
-                open_rec[d] = names[pairs[pairs // len(names) == done] % len(names)]
-                open_n[d] = int(count[done])
-            elif not stays_open:
-                open_rec[d], open_n[d] = None, 0
+            goes_on = open_rec[d] is not None  # the first run began in a batch before
+            if goes_on:
+                open_rec[d].add(of_run(0))
+                count[0] += open_n[d]
+                open_n[d] = int(count[0])
+                if done:
+                    per[0] = open_rec[d].size()
+                    open_rec[d], open_n[d] = None, 0
+            if stays_open and not (goes_on and done == 0):
+                open_rec[d], open_n[d] = Records(of_run(done)), int(count[done])
             blocks.append((d, [x[at][first][:done] for x in terms[:d]], count[:done], per[:done]))
         yield from _emit(blocks, single, depth, schema)
         last = ([x[k - 1] for x in terms], int(size[k - 1]))
@@ -105,10 +128,17 @@ def prefix_counts(suffixes: DataFrame, record: str, terms: list[str], scratch: S
     depth = len(terms)
     ts = [f"t{j}" for j in range(depth)]
     slim = suffixes.select(*[F.col(c).alias(t) for c, t in zip(terms, ts)], F.col(record).alias("rec")).filter(F.col("t0").isNotNull() & F.col("rec").isNotNull())
-    counted = scratch.save(slim.groupBy(*ts, "rec").agg(F.count(F.lit(1)).alias("n")), "suffixes")
-    hot = [x for x in (counted.stat.freqItems(["t0"], HOT).first() or [[]])[0] or []]
-    salt = F.when(F.col("t0").isin(hot), F.pmod(F.xxhash64("rec"), F.lit(SALTS))).otherwise(F.lit(0)) if hot else F.lit(0)
-    routed = counted.withColumn("salt", salt.cast("int")).repartition("t0", "salt")
+    counted, seen = scratch.save_counting(slim.groupBy(*ts, "rec").agg(F.count(F.lit(1)).alias("n")), "suffixes", F.count(F.lit(1)).alias("rows"))
+    cut = max(ROWS_PER_TASK, seen["rows"] // HOT_TERMS)
+    large, found = scratch.save_counting(counted.groupBy(F.col("t0").alias("hot")).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > cut), "hot", F.count(F.lit(1)).alias("n"))
+    hot = found["n"] > 0
+    salt = F.lit(0)
+    tagged = counted
+    if hot:
+        parts_of = F.broadcast(large.select("hot", F.ceil(F.col("c") / ROWS_PER_TASK).alias("parts")))  # at most HOT_TERMS rows
+        tagged = counted.join(parts_of, F.col("t0") == F.col("hot"), "left").drop("hot")
+        salt = F.coalesce(F.pmod(F.xxhash64("rec"), F.col("parts")), F.lit(0))
+    routed = tagged.withColumn("salt", salt.cast("int")).repartition("t0", "salt")
     ordered = routed.sortWithinPartitions("salt", *[F.col(t).desc_nulls_last() for t in ts])
     kinds = {f.name: f.dataType for f in counted.schema}
     zero = {t: F.lit("") if isinstance(kinds[t], T.StringType) else F.lit(0).cast(kinds[t]) for t in ts}

@@ -1,6 +1,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from lociloom.llm import frequency
@@ -30,10 +31,10 @@ def run(spark, rows, schema, terms):
     return got
 
 
-@pytest.mark.parametrize("hot", [0.005, 0.9])
+@pytest.mark.parametrize("rows_per_task", [20, 2**18])
 @pytest.mark.parametrize("batch", [7, 10_000])
-def test_ngrams(spark, monkeypatch, hot, batch):
-    monkeypatch.setattr(frequency, "HOT", hot)
+def test_ngrams(spark, monkeypatch, rows_per_task, batch):
+    monkeypatch.setattr(frequency, "ROWS_PER_TASK", rows_per_task)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     rng = random.Random(batch)
     rows = []
@@ -48,7 +49,23 @@ def test_ngrams(spark, monkeypatch, hot, batch):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
 
 
-def test_single_values_with_a_hot_one(spark):
+def test_record_sets_are_settled_a_few_times():
+    """One term with all rows, in many batches: every record is counted once, and the set is sorted a logarithmic number of times."""
+    sorts = []
+    real = frequency.Records._settle
+    rng = random.Random(4)
+    r = frequency.Records(np.array([0]))
+    r._settle = lambda: sorts.append(1) or real(r)
+    want = {0}
+    for _ in range(2_000):
+        more = sorted({rng.randrange(10**6) for _ in range(50)})
+        want.update(more)
+        r.add(np.array(more))
+    assert r.size() == len(want) and len(sorts) < 40
+
+
+def test_single_values_with_a_hot_one(spark, monkeypatch):
+    monkeypatch.setattr(frequency, "ROWS_PER_TASK", 10)
     rows = [(5, i % 50) for i in range(3000)] + [(i, i % 3) for i in range(100, 160)] + [(None, 3), (9, None)]
     assert run(spark, rows, "x long, n int", ["x"]) == brute(rows)
 
