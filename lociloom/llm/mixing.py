@@ -2,7 +2,7 @@
 
 Documents are counted by source and exact token length. A source's budget is met by full passes over its documents; the rest is first
 spread over the lengths in proportion, so that lengths keep their distribution, and what then remains, less than a window, is fitted
-exactly by a bounded-knapsack dynamic program over the lengths that are left. The planned number of documents of each length is chosen
+exactly by a bounded-knapsack dynamic program over the lengths that are left (where only longer documents are left, in units first). The planned number of documents of each length is chosen
 by a seeded hash of the document's id.
 
 Only the histogram of one source is in one task, at most a row per distinct length; documents are never gathered.
@@ -63,10 +63,15 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, repeats: int, seed
                 rest -= int(lengths[i])
         if rest == before:
             break
-    some = [int(i) for i in order if lengths[i] <= rest and extra[i] < counts[i]]
-    if rest <= 64 * WINDOW and some:
-        take, _ = subset([int(lengths[i]) for i in some], [int(counts[i] - extra[i]) for i in some], rest)
+    while some := [int(i) for i in order if lengths[i] <= rest and extra[i] < counts[i]]:
+        unit = -(-rest // WINDOW)  # 1 within the window; above it lengths are first rounded up to units, and the rest is fitted again
+        take, _ = subset([-(-int(lengths[i]) // unit) for i in some], [int(counts[i] - extra[i]) for i in some], rest // unit)
+        if not any(take):
+            take[int(np.argmax(lengths[some]))] = 1
         extra[some] += np.array(take, dtype=np.int64)
+        rest -= int((lengths[some] * np.array(take)).sum())
+        if unit == 1:
+            break
     return passes, extra
 
 
@@ -107,7 +112,7 @@ class Mix:
         rows = self.sized.join(self.plan, ["source", "n_tokens"])
         bits = 2.0**53
         u = (F.pmod(F.xxhash64("doc_id", F.lit(self.seed)), F.lit(int(bits))) + F.lit(0.5)) / F.lit(bits)
-        chosen = pick(rows.withColumn("u", u), ["source", "n_tokens"], "extra", "n", "u", self.scratch).select("uid", F.lit(1).alias("more"))
+        chosen = pick(rows.withColumn("u", u), self.plan, ["source", "n_tokens"], "extra", "n", "u", self.scratch).select("uid", F.lit(1).alias("more"))
         copies = F.col("passes") + F.coalesce("more", F.lit(0))
         return rows.join(chosen, "uid", "left").withColumn("copies", copies.cast("int")).filter("copies > 0").select("doc_id", "source", "n_tokens", "copies")
 

@@ -9,6 +9,7 @@ from lociloom.llm.mixing import Mix, fit, subset
 from lociloom.llm.picking import pick
 from lociloom.llm.tokens import VOCABULARY
 from lociloom.scratch import Scratch
+from pyspark.sql import functions as F
 
 
 def test_subset_equals_brute_force():
@@ -59,5 +60,18 @@ def test_empty(spark):
 def test_pick_of_a_key_whose_rows_share_their_u(spark):
     rows = [("a", i, 0.99, 5, 1000) for i in range(1000)] + [("b", i, (i + 0.5) / 1000, 5, 1000) for i in range(1000)]
     df = spark.createDataFrame(rows, "k string, id int, u double, q long, n long")
-    out = pick(df, ["k"], "q", "n", "u", Scratch(spark, "t")).collect()
+    out = pick(df, df.groupBy("k").agg(F.first("q").alias("q")), ["k"], "q", "n", "u", Scratch(spark, "t")).collect()
     assert sorted(r.k for r in out) == ["a"] * 5 + ["b"] * 5 and {r.id for r in out if r.k == "b"} == set(range(5))
+
+
+def test_only_long_documents_are_left():
+    """What the window's program can't hold is fitted in units, then exactly."""
+    rng = np.random.default_rng(3)
+    lengths = np.unique(rng.integers(40_000, 900_000, 60))
+    counts = np.full(len(lengths), 2)
+    budget = int(lengths.sum() * 0.9) + 17
+    passes, extra = fit(lengths, counts, budget, 1)
+    used = int((lengths * extra).sum())
+    assert passes == 0 and (extra <= counts).all() and 0 <= budget - used < lengths.min()
+    passes, extra = fit(np.array([100_000]), np.array([3]), 250_001, 1)
+    assert extra.tolist() == [2]
