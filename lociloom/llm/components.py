@@ -20,9 +20,11 @@ from lociloom.scratch import Scratch
 HOT_PARTS = 500
 
 
-def _send(rows: DataFrame, key: str, told: DataFrame, told_key: str, weight: str, total: int) -> DataFrame:
-    """rows joined with told (unique on told_key), hot keys from a broadcast of at most HOT_PARTS rows."""
+def _send(rows: DataFrame, key: str, told: DataFrame, told_key: str, weight: str, total: int, heaviest: int) -> DataFrame:
+    """rows joined with told (unique on told_key), hot keys from a broadcast of at most HOT_PARTS rows (times three)."""
     cut = max(total // HOT_PARTS, 1000)
+    if heaviest <= cut:
+        return rows.join(told, F.col(key) == F.col(told_key))
     hot = told.filter(F.col(weight) > cut)
     hot_keys = F.broadcast(hot.select(F.col(told_key).alias("__hot")))
     cold_rows = rows.join(hot_keys, F.col(key) == F.col("__hot"), "left_anti")
@@ -43,33 +45,37 @@ def linked_groups(edges: DataFrame, a: str, b: str, scratch: Scratch) -> DataFra
         return df.select(F.least(p, q).alias("x"), F.greatest(p, q).alias("y")).filter(F.col("x") != F.col("y")).distinct()
 
     pa, pb = F.col(a), F.col(b)
-    und = scratch.save(undirected(pa, pb, edges.filter(pa.isNotNull() & pb.isNotNull())), "edges")
-    forest: list[DataFrame] = []
-    while (n := und.count()) > 0:
+    rows = F.count(F.lit(1)).alias("n")
+    und, seen = scratch.save_counting(undirected(pa, pb, edges.filter(pa.isNotNull() & pb.isNotNull())), "edges", rows)
+    forest: list[tuple[DataFrame, int]] = []  # vertices that dropped out in a round, and their number
+    while n := seen["n"]:
         nb = halves(und)
-        least = scratch.save(nb.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("deg")), "least")
-        told = _send(nb, "u", least.withColumnRenamed("u", "k"), "k", "deg", 2 * n).select(F.col("v").alias("u"), "m")
+        least, hub = scratch.save_counting(nb.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("deg")), "least", F.max("deg").alias("most"))
+        told = _send(nb, "u", least.withColumnRenamed("u", "k"), "k", "deg", 2 * n, hub["most"]).select(F.col("v").alias("u"), "m")
         heard = scratch.save(told.unionByName(least.select("u", "m")).distinct(), "heard")
-        best = scratch.save(heard.groupBy("u").agg(F.min("m").alias("h"), F.count(F.lit(1)).alias("cnt"), F.max(F.col("m") == F.col("u")).alias("stays")), "best")
-        forest.append(best.filter(~F.col("stays")).select(F.col("u").alias("child"), F.col("h").alias("parent")))
+        best, took = scratch.save_counting(
+            heard.groupBy("u").agg(F.min("m").alias("h"), F.count(F.lit(1)).alias("cnt"), F.max(F.col("m") == F.col("u")).alias("stays")), "best", F.max("cnt").alias("most"), F.count(F.when(~F.col("stays"), 1)).alias("out")
+        )
+        forest.append((best, took["out"]))
         many = best.filter("cnt > 1").select(F.col("u").alias("k"), "h", "cnt")
-        links = _send(heard, "u", many, "k", "cnt", 3 * n)
-        following = scratch.save(undirected(F.col("m"), F.col("h"), links), "edges")
+        following, seen = scratch.save_counting(undirected(F.col("m"), F.col("h"), _send(heard, "u", many, "k", "cnt", 3 * n, took["most"])), "edges", rows)
         for old in (und, least, heard):
             scratch.drop(old)
         und = following
     if not forest:
         return und.select(F.col("x").alias("vertex"), F.col("x").alias("group_id"))
     known: DataFrame | None = None
-    for tree in reversed(forest):
+    for best, out in reversed(forest):
+        tree = best.filter(~F.col("stays")).select(F.col("u").alias("child"), F.col("h").alias("parent"))
         if known is None:
-            labelled = tree.select(F.col("child").alias("vertex"), F.col("parent").alias("group_id"))
+            level = scratch.save(tree.select(F.col("child").alias("vertex"), F.col("parent").alias("group_id")), "known")
         else:
-            sizes = scratch.save(tree.groupBy("parent").agg(F.count(F.lit(1)).alias("kids")), "kids")
+            sizes, hub = scratch.save_counting(tree.groupBy("parent").agg(F.count(F.lit(1)).alias("kids")), "kids", F.max("kids").alias("most"))
             above = sizes.join(known, F.col("parent") == F.col("vertex"), "left").select(F.col("parent").alias("k"), F.coalesce("group_id", "parent").alias("g"), "kids")
-            labelled = _send(tree, "parent", above, "k", "kids", tree.count()).select(F.col("child").alias("vertex"), F.col("g").alias("group_id"))
-        new = scratch.save(labelled if known is None else known.unionByName(labelled), "known")
-        known = new
+            level = scratch.save(_send(tree, "parent", above, "k", "kids", out, hub["most"] or 0).select(F.col("child").alias("vertex"), F.col("g").alias("group_id")), "known")
+            scratch.drop(sizes)
+        scratch.drop(best)
+        known = level if known is None else known.unionByName(level)  # every level is written once
     roots = known.select(F.col("group_id").alias("vertex"), "group_id").distinct()
     return known.unionByName(roots)
 
