@@ -1,8 +1,8 @@
 """Texts with unfilled placeholders, filler text, error messages or script notices in place of content.
 
 Placeholders are found by a grammar per delimiter. A find counts only where content belongs: it starts where a line, a sentence or a formula
-ended, and a line's end or a new sentence follows. Inside a sentence it is spoken of, as in a patent on templates. Code blocks and quoted
-strings are blanked first, so that tutorials and cited messages don't count. Filler, messages and notices are phrases per language that
+ended, and a line's end or a new sentence follows. Inside a sentence it is spoken of, as in a patent on templates, and a line in which many are
+spoken of for each that stands explains them. Code blocks and quoted strings are blanked first, so that tutorials and cited messages don't count. Filler, messages and notices are phrases per language that
 stand as a sentence of their own.
 
 Everything is a built-in expression over whole texts. The phrase patterns are tried on every text.
@@ -10,40 +10,45 @@ Everything is a built-in expression over whole texts. The phrase patterns are tr
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_ID = r"[\p{L}\p{N}_][\p{L}\p{N} _.\-]{0,40}"
+# a name of any length on one line
+_ID = r"[\p{L}\p{N}_][\p{L}\p{N} _.\-]*+"
 
-#: Grammars by delimiter.
+#: Grammars by delimiter. Everything between delimiters may be of any length on one line.
 PLACEHOLDERS = {
-    "braces": [rf"\{{\{{\{{? ?{_ID} ?\}}?\}}\}}", rf"\$\{{ ?{_ID} ?\}}", rf"#\{{ ?{_ID} ?\}}", r"\{[\p{L}_][\p{L}\p{N} _.\-]{2,40}\}"],
-    "tags": [rf"<%=? ?{_ID} ?%>", rf"<\?=? ?\$?{_ID} ?\?>", rf"\{{% ?\p{{L}}+ {_ID} ?%\}}", rf"&lt;{_ID}&gt;", rf"<<{_ID}>>", rf"«{_ID}»"],
-    "marks": [rf"%\({_ID}\)[sd]", rf"%%{_ID}%%", r"%[A-Z_]{2,30}%", rf"@@{_ID}@@", r"__[\p{L}\p{N}][\p{L}\p{N} _.\-]{0,40}__", rf"\[\[{_ID}\]\]", r"\$\p{L}[\p{L}_.\-]{3,40}\$", rf"~~{_ID}~~", rf"\|\*{_ID}\*\|"],
+    "braces": [rf"\{{\{{\{{? ?{_ID}\}}?\}}\}}", rf"\$\{{ ?{_ID}\}}", rf"#\{{ ?{_ID}\}}", r"\{[\p{L}_][\p{L}\p{N} _.\-]{2,}+\}"],
+    "tags": [rf"<%=? ?{_ID}%>", rf"<\?=? ?\$?{_ID}\?>", rf"\{{% ?\p{{L}}++ {_ID}%\}}", rf"&lt;{_ID}&gt;", rf"<<{_ID}>>", rf"«{_ID}»"],
+    "marks": [rf"%\({_ID}\)[sd]", rf"%%{_ID}%%", r"%[A-Z_]{2,}+%", rf"@@{_ID}@@", r"__[\p{L}\p{N}](?:[\p{L}\p{N} .\-]|_(?!_))*+__", rf"\[\[{_ID}\]\]", r"\$\p{L}[\p{L}_.\-]{3,}+\$", rf"~~{_ID}~~", rf"\|\*{_ID}\*\|"],
     "orders": [
-        r"\*\*\* ?[^*\n]{2,60}(?:MISSING|FILL IN|TODO|TBD)[^*\n]{0,30}\*\*\*",
-        r"\[(?i:insert|insertar|insérer|einfügen|your|please|todo|tbd|enter|add|fill|hier|introduzca|saisir|inserte)\b[^\]\n]{1,60}\]",
+        r"\*\*\* ?[^*\n]{2,}?(?:MISSING|FILL IN|TODO|TBD)[^*\n]*+\*\*\*",
+        r"\[(?i:insert|insertar|insérer|einfügen|your|please|todo|tbd|enter|add|fill|hier|introduzca|saisir|inserte)\b[^\]\n]++\]",
         rf"\[{_ID}: ?[xX]{{3,}}\]",
-        r"\[[^\]\n]{1,50} (?i:here|einfügen|eingeben|ici|aquí)\]",
-        r"< ?(?i:enter|insert|click to add|introduzca|inserte|saisir|saisissez|type|your) [^<>\n]{1,50}>",
-        r"<[^<>\n]{1,50} (?i:goes here|here|eingeben|einfügen|ici|aquí) ?>",
-        r"\([^()\n]{1,60} (?i:to be (?:completed|supplied|added|filled in|inserted|provided)[^()\n]{0,30}|noch zu ergänzen|noch einzufügen|à compléter|à insérer|por completar|a completar|pendiente)\)",
-        r"[（(][^（）()\n]{1,40}(?:待填写|待补充|待定|後で記入|未記入|記入予定|要記入)[）)]",
-        r"【(?:请在此|此处|ここに|こちらに)[^】\n]{1,40}】",
+        r"\[[^\]\n]++(?<=. (?i:here|einfügen|eingeben|ici|aquí))\]",
+        r"< ?(?i:enter|insert|click to add|introduzca|inserte|saisir|saisissez|type|your) [^<>\n]++>",
+        r"<[^<>\n]++(?<=. (?i:goes here|here|eingeben|einfügen|ici|aquí) ?)>",
+        r"\([^()\n]++(?<=. (?i:to be (?:completed|supplied|added|filled in|inserted|provided)[^()\n]{0,30}|noch zu ergänzen|noch einzufügen|à compléter|à insérer|por completar|a completar|pendiente))\)",
+        r"[（(][^（）()\n]++(?<=.(?:待填写|待补充|待定|後で記入|未記入|記入予定|要記入))[）)]",
+        r"【(?:请在此|此处|ここに|こちらに)[^】\n]++】",
     ],
 }
 
 #: What may stand before and after a placeholder in place of content. It is looked for at a delimiter's first character only.
 _FIRST = r"(?=[{$#<%@_\[&«~|*(（【])"
 _BEFORE = (
-    r"(?<=^|[\n.!?。！？…)\]#〕>}】][\"”']?[ \t]{0,3}"
+    r"(?<=(?:^|[\n.!?。！？…)\]#〕>}】][\"”']?)[ \t]{0,3}"
     r"|(?:^|\n)(?:[\p{L} .]{1,24}[:\-]|[\-*•]|\[\d{1,6}\]|\(\d{1,3}\)|\d{1,3}[.)])[ \t]{0,3})"
 )
 _AFTER = r"(?=[ \t]*+(?:$|\n|</|[\p{Lu}\p{Lo}\p{N}\[(<{#~|*@%$«【_&\\（]))"
-SPOT = _FIRST + _BEFORE + "(?:(?:" + "|".join(p for ps in PLACEHOLDERS.values() for p in ps) + r")[ \t]*+)++" + _AFTER
+_ANY = "(?:" + "|".join(p for ps in PLACEHOLDERS.values() for p in ps) + ")"
+SPOT = _FIRST + _BEFORE + f"(?:{_ANY}[ \\t]*+)++" + _AFTER
+#: Density: a line that speaks of at least so many placeholders for each that stands in it explains them, as a tutorial does.
+SPOKEN_OF = 2
 
 # fixed values: words of the usual dummy Latin
 _LATIN = (
@@ -57,6 +62,23 @@ _SWITCH = "(?:enable|activate|allow|turn on|switch on|permit|unblock|accept|re-e
 _NOT = r"(?:cannot|can't|can not|could not|couldn't|did not|didn't|failed to|(?:is|are|was|were|'re) (?:currently )?unable to)"
 _SHOW = r"(?:display|show|open|load|retrieve|deliver|fetch|find|locate|render|return|access|process) (?:the|this|that|your|any|sheet|page|document)\b"
 
+# Words of the notice grammar: what is to run, what it takes, and who is spoken to. A sentence with all three is a notice.
+_NOUN = r"(?<!\p{L})(?:java ?script|js|scripts|scripting|script execution|skripte)(?!\p{L})|javascript|スクリフ?゚?プ?ト|脚本"
+_TAKES = r"(?:enabl|activ|allow|turn|switch|permit|unblock|block|disabl|requir|need|necess|must|without|aktivier|einschalt|eingeschaltet|erlaub|benotig|erforder|brauch|deaktiv|habilit|autoris|requi|necesit|desactiv|启用|开启|打开|禁用|需要|不支持|有効|必要|許可|無効)"
+_YOU = (
+    r"(?:[ \t]*+java ?script(?!\p{L})|[ \t]*+(?:in order )?(?:to|for full) |[^.!?。！？\n]*?(?:(?<!\p{L})(?:you|your|please|we're|sorry|this (?:web ?)?(?:site|page|app|application|document|viewer)"
+    r"|sie|ihr|ihrem|ihren|bitte|diese[rs]? (?:seite|anwendung|website|dokument)|vous|votre|veuillez|cette (?:page|application)|ce (?:site|document)|su navegador|por favor|esta (?:pagina|aplicacion)|este (?:sitio|documento)|necesita)(?!\p{L})"
+    r"|[请您]|此页|本页|本网站|このヘ?゚?ペ?ーシ?゛?ジ?|このサイト|お使い|してくた?゛?だ?さい))"
+)
+NOTICE = rf"(?:^|[.!?。！？\n>])(?=[^.!?。！？\n]*?(?:{_NOUN}))(?=[^.!?。！？\n]*?{_TAKES})(?={_YOU})"
+# Words of the message grammar: things of a web page, and how they fail.
+_THING = r"(?:(?:the|this|our|your|that) )?(?:requested |web |remote |document )*(?:page|site|website|document|file|url|server|servers|service|system|connection|request|session|app|application|viewer|publication|database|content)(?: you (?:requested|are looking for|asked for))?"
+_FAILS = (
+    r"(?:(?:is|was|are|were|isn't|aren't|has|have|seems|appears|to be|been|currently|temporarily|momentarily|no longer|not) ){1,4}(?:unavailable|available|found|working|responding|reachable|loading|accessible|overloaded|expired|failed|timed out|offline|down|down for maintenance|under maintenance|broken)"
+    r"|timed out|failed|has failed|did not respond|does not respond|(?:could not|cannot|can't|couldn't) be (?:loaded|found|displayed|reached|opened|retrieved|processed)"
+)
+_END = r"(?: (?:right now|at the moment|at this time|at present|for now|on our end|due to \w+(?: \w+)?))?[ \t]*+(?=[.!;<\n]|$)"
+
 #: Phrases that begin a sentence; accents are folded and letters lower before they are compared.
 STARTS = {
     "notice": [
@@ -72,6 +94,12 @@ STARTS = {
         r"请(?:启用|开启|打开) ?(?:javascript|脚本)|您的浏览器",
     ],
     "message": [
+        rf"(?:sorry, |oops, )?{_THING} (?:{_FAILS}){_END}",
+        r"(?:http )?(?:status|error)(?: code)? ?:? ?[45]\d\d\b|[45]\d\d(?: [a-z]+){0,2} (?:error|timeout|denied|unavailable|forbidden|refused)\b|(?:sorry, )?something went wrong",
+        r"(?:es ist )?ein (?:\w+ )?fehler (?:ist )?aufgetreten|(?:die|diese) (?:seite|datei|anfrage) (?:konnte|kann) (?:leider )?nicht|(?:der|unser) (?:server|dienst) (?:antwortet nicht|ist (?:uberlastet|in wartung))",
+        r"une erreur (?:\w+ )?(?:est survenue|s'est produite)|(?:le|notre) (?:serveur|service|site) (?:est (?:en (?:cours de )?maintenance|indisponible|surcharge)|ne repond pas)|(?:la|cette) page (?:n'a pas pu|ne peut pas) etre",
+        r"(?:se ha producido|ha ocurrido) un error|(?:el|nuestro) (?:servidor|servicio|sitio) (?:no (?:responde|esta disponible)|esta en mantenimiento)|(?:la|esta) pagina no (?:se puede|se pudo|esta disponible)",
+        r"(?:系统|网络|未知|内部)错误(?=[，。；！\s]|$)|请稍[后候]再试|(?:システム|サーハ?゛?バ?ー|予期しない|不明な|内部)エラー(?:か?゛?が?発生|て?゛?で?す)|しは?゛?ば?らくしてから",
         r"(?:http )?error \d{3}\b|status \d{3}\.|[45]\d\d (?:bad gateway|not found|internal server error|forbidden|service unavailable|gateway time-?out|unauthorized|bad request)",
         r"internal server error *(?=\n|$|[.<])",
         r"(?:the )?service (?:is )?(?:temporarily |currently )?(?:unavailable|not available) *(?=[.!<\n]|$)",
@@ -89,10 +117,13 @@ STARTS = {
         r"エラー ?\d{3}|お探しのペ|セッションの有効期限|サ[ーｰ]ハ?゛?バ?ーか?゛?が?混み合|アクセスが拒否|错误 ?\d{3}|您访问的页面|会话已|服务器(?:繁忙|错误|维护)|拒绝访问|访问被拒绝",
     ],
     "filler": [
-        rf"(?:{_LATIN})(?:,? (?:{_LATIN})){{3,}}",
+        rf"(?:{_LATIN})(?:,? (?:{_LATIN})){{3,}}|lorem ipsum dolor",
+        r"(?:please )?(?:insert|add|type|enter|put|paste|write) (?:your |the |an? )?(?:own )?(?:abstract|title|text|description|claims?|summary|name|content)(?: text)? here",
+        r"(?:sample|dummy|filler|example|mock) (?:paragraph|sentence|content|copy) (?:for|to|only|goes|used)\b|text to (?:be (?:replaced|supplied|added|inserted)|follow|come)\b|(?:content|abstract|description|text|title) (?:to follow|coming soon|goes here|to come)\b",
+        r"platzhaltertext\b|text (?:folgt|wird (?:spater|noch) (?:ersetzt|erganzt|eingefugt))|texte (?:provisoire|bidon|a (?:remplacer|completer|venir))|texto (?:provisional|ficticio|por (?:reemplazar|completar)|pendiente)",
         r"(?:asdf|qwerty|jkl|blah|bla)(?:[ ,]+(?:asdf|qwerty|jkl|blah|bla)){2,}|x{4,}(?: x{3,})+|(?:text|test)(?: (?:text|test)){2,}",
         r"this is (?:a )?(?:sample|dummy|filler|placeholder|example) text|(?:dummy|sample|filler) text for|placeholder (?:paragraph|text|sentence)\b|this paragraph only shows|body copy goes|sample sentence number|nothing in this section is",
-        r"dies ist ein (?:blindtext|mustertext|fulltext|beispieltext)|nur ein (?:mustertext|blindtext|beispieltext)|hier steht (?:spater|bald) ",
+        r"dies ist ein (?:blindtext|mustertext|fulltext|beispieltext)|nur ein (?:mustertext|blindtext|beispieltext)|hier steht (?:spater|bald)\b",
         r"(?:ceci est un )?(?:faux texte|texte (?:d'exemple|de remplissage|factice))|(?:este es un )?texto de (?:relleno|ejemplo|muestra)",
         r"此处为示例|这里是填充|此处为占位|ここに(?:サンプル|本文|文章|テキスト)",
     ],
@@ -106,12 +137,13 @@ ANYWHERE = [
 ]
 _ACCENTS = ("áàâäãéèêëíìîïóòôöúùûüçñ’", "aaaaaeeeeiiiioooouuuucn'")
 _CODE = r"(?s)```.*?```|<pre\b.*?</pre>|<code\b.*?</code>"
-_QUOTED = r"\"[^\"\n]{1,600}\"|“[^”\n]{1,600}”|「[^」\n]{1,300}」|(?<!\p{L})'[^'\n]{1,200}'(?!\p{L})"
+_QUOTED = r"\"[^\"\n]++\"|“[^”\n]++”|「[^」\n]++」|(?<!\p{L})'[^'\n]++'(?!\p{L})"
 
 
 def _spaced(pattern: str) -> str:
-    """A space in a phrase also stands for a line break or several spaces."""
-    return pattern.replace(" ", r"\s+").replace(r"\s+?", r"\s*").replace(r"\s+*", r"\s*")
+    """A space in a phrase, outside brackets, also stands for a line break or several spaces."""
+    spaces = re.sub(r"\[[^\]]*\]| ", lambda m: m[0] if m[0] != " " else r"\s+", pattern)
+    return spaces.replace(r"\s+?", r"\s*").replace(r"\s+*", r"\s*")
 
 
 def _phrases() -> str:
@@ -120,6 +152,11 @@ def _phrases() -> str:
     return f"{begin}(?:{_spaced(starts)})|{_spaced('|'.join(ANYWHERE))}"
 
 
+def _notice(folded: Column) -> Column:
+    """The notice grammar where its noun occurs at all, as the grammar demands."""
+    return F.when(folded.rlike(_NOUN), folded.rlike(_spaced(NOTICE))).otherwise(False)
+
+
 def _folded(text: Column) -> Column:
     """Lower case without accents, invisible characters, soft hyphens and hyphenated line breaks."""
     plain = F.translate(F.lower(text), _ACCENTS[0] + "\u00a0\u3000\u2009\u202f", _ACCENTS[1] + "    ")
@@ -143,6 +180,11 @@ def _repaired(text: Column) -> Column:
     return F.when(wrong, F.make_valid_utf8(F.encode(F.when(wrong, text), "ISO-8859-1").cast("string"))).otherwise(text)
 
 
+def _stands(line: Column) -> Column:
+    """True for a line with a placeholder in place of content that doesn't speak of many more."""
+    return line.rlike(SPOT) & (F.regexp_count(line, F.lit(_FIRST + _ANY)) <= (1 + SPOKEN_OF) * F.regexp_count(line, F.lit(SPOT.replace(")++", ")"))))
+
+
 def has_residue(text: Column) -> Column:
     """True where content is missing and a placeholder, filler, message or notice stands instead; null and empty texts give false.
 
@@ -150,8 +192,9 @@ def has_residue(text: Column) -> Column:
     """
 
     def judge(t: Column) -> Column:
-        spot = t.rlike(SPOT) & _content(t).rlike(SPOT)
-        return spot | _content(_folded(t)).rlike(_phrases())
+        spot = t.rlike(SPOT) & F.exists(F.split(_content(t), "\n"), _stands)
+        said = F.exists(F.array(_content(_folded(t))), lambda x: x.rlike(_phrases()) | _notice(x))
+        return spot | said
 
     return F.coalesce(F.exists(F.array(text), judge), F.lit(False))
 
