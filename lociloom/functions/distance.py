@@ -58,9 +58,11 @@ def gene_places(genes: DataFrame, intervals: DataFrame, contigs: DataFrame, g: G
     )
 
 
-def gene_distance(pairs: DataFrame, places: DataFrame, g: GenomeConfig = GenomeConfig()) -> DataFrame:
+def gene_distance(pairs: DataFrame, places: DataFrame, g: GenomeConfig = GenomeConfig(), middle: str | None = None) -> DataFrame:
     """pairs(locus1, locus2, ...) with geno_dis, where ids from the genome's total on are genes looked up in places.
 
+    `middle` names a column for the middle of the first locus's gene.
+
     Between two bases as snp_distance. A base inside a gene has 0; else it is the least distance to the gene's start and end, and, if the
     gene comes first, to its middle as well. Two genes: -1 across chromosomes, 0 if they overlap, else the shorter gap; 0 on the same contig.
     """
@@ -90,7 +92,7 @@ def gene_distance(pairs: DataFrame, places: DataFrame, g: GenomeConfig = GenomeC
         .when(ga & gb & (c("contig_1") == c("contig_2")), 0)
         .otherwise(-1)
     )
-    return j.select(*pairs.columns, out.cast("bigint").alias("geno_dis"))
+    return j.select(*pairs.columns, out.cast("bigint").alias("geno_dis"), *([c("mid_1").alias(middle)] if middle else []))
 
 
 def gwes_class(a: Column, b: Column, g: GenomeConfig = GenomeConfig(), mid1: Column | None = None) -> Column:

@@ -2,30 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociloom.config import GenomeConfig
-from lociloom.functions.distance import gwes_class, ld_flag, linear_distance, snp_distance
+from lociloom.functions.distance import gene_distance, gwes_class, ld_flag, linear_distance, snp_distance
+from lociloom.operators.ranks import quantiles
 
 GRID = 512
 
 
-def annotate(pairs: DataFrame, g: GenomeConfig = GenomeConfig()) -> DataFrame:
-    """Adds geno_dis and LD to (locus1, locus2, v, ...) where both are bases."""
-    d = snp_distance(F.col("locus1"), F.col("locus2"), g)
-    return pairs.withColumn("geno_dis", d).withColumn("LD", ld_flag(F.col("geno_dis")))
+def annotate(pairs: DataFrame, g: GenomeConfig = GenomeConfig(), places: DataFrame | None = None) -> DataFrame:
+    """Adds geno_dis, LD and chrom, the chromosome of the outlier threshold, to (locus1, locus2, v, ...).
+
+    With places of genes, pairs with a gene are looked up there, and two genes belong to the chromosome of the first one. Without, an id above
+    the genome gives -2. Pairs of two bases, usually most, are not joined.
+    """
+    a, b = F.col("locus1"), F.col("locus2")
+    bases = pairs if places is None else pairs.filter((a < g.total) & (b < g.total))
+    out = bases.withColumn("geno_dis", snp_distance(a, b, g)).withColumn("chrom", gwes_class(a, b, g))
+    if places is not None:
+        near = gene_distance(pairs.filter((a >= g.total) | (b >= g.total)), places, g, middle="__mid")
+        out = out.unionByName(near.withColumn("chrom", gwes_class(a, b, g, F.col("__mid"))).drop("__mid"))
+    return out.withColumn("LD", ld_flag(F.col("geno_dis")))
 
 
-def beyond_ld(pairs: DataFrame, ld_chr1: int = 5000, ld_chr2: int = 17500, g: GenomeConfig = GenomeConfig()) -> DataFrame:
-    c = gwes_class(F.col("locus1"), F.col("locus2"), g)
-    return pairs.withColumn("chrom", c).filter(((F.col("chrom") == "chr1") & (F.col("geno_dis") > ld_chr1)) | ((F.col("chrom") == "chr2") & (F.col("geno_dis") > ld_chr2)))
+def beyond_ld(pairs: DataFrame, ld_chr1: int = 5000, ld_chr2: int = 17500) -> DataFrame:
+    """Annotated pairs beyond linkage on one chromosome."""
+    return pairs.filter(((F.col("chrom") == "chr1") & (F.col("geno_dis") > ld_chr1)) | ((F.col("chrom") == "chr2") & (F.col("geno_dis") > ld_chr2)))
 
 
 def quartiles(df: DataFrame, column: str = "v") -> tuple[float, float] | None:
     """Exact first and third quartile, or None without values."""
-    r = df.agg(F.percentile(F.col(column), F.array(F.lit(0.25), F.lit(0.75))).alias("q")).first()
-    return None if r.q is None else (float(r.q[0]), float(r.q[1]))
+    q = quantiles(df, column, (0.25, 0.75))
+    return None if q is None else (q[0], q[1])
 
 
 def iqr_threshold(values: DataFrame, k: float = 1, column: str = "v") -> float:
@@ -39,20 +53,26 @@ def iqr_threshold(values: DataFrame, k: float = 1, column: str = "v") -> float:
 def kde_peak(values: DataFrame, column: str = "v", bandwidth: str | float = "scott", grid: int = GRID) -> float | None:
     """Where the Gaussian density of the values is largest on an even grid of `grid` points; None below two values or without spread.
 
-    Values are first counted exactly per distinct value, so the grid meets distinct values only, and each task sums its own part.
+    Every task adds up the density of its own values on the grid, and `grid` numbers per task are summed.
     """
-    x = F.col(column)
+    x = F.col(column).cast("double")
     r = values.agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.stddev_samp(x).alias("sd")).first()
     if r.n < 2 or not r.sd:
         return None
     factor = {"scott": r.n ** (-0.2), "silverman": (r.n * 0.75) ** (-0.2)}.get(bandwidth, bandwidth)
-    h, step = float(factor) * r.sd, (r.hi - r.lo) / (grid - 1)
-    counted = values.groupBy(x.alias("x")).agg(F.count(F.lit(1)).alias("c")).filter("x is not null")
-    points = counted.select("x", "c", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i"))
-    z = (F.lit(r.lo) + F.col("i") * F.lit(step) - F.col("x")) / F.lit(h)
-    heights = points.groupBy("i").agg(F.sum(F.col("c") * F.exp(-0.5 * z * z)).alias("height"))
-    i = heights.agg(F.max_by("i", F.struct("height", -F.col("i"))).alias("i")).first().i
-    return r.lo + i * step
+    h, lo, step = float(factor) * r.sd, r.lo, (r.hi - r.lo) / (grid - 1)
+
+    def heights(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        points, total = lo + np.arange(grid)[:, None] * step, np.zeros(grid)
+        for pdf in batches:
+            v, c = np.unique(pdf.x.to_numpy(), return_counts=True)
+            for k in range(0, len(v), 2048):
+                total += np.exp(-0.5 * ((points - v[k : k + 2048]) / h) ** 2) @ c[k : k + 2048]
+        yield pd.DataFrame({"i": np.arange(grid), "height": total})
+
+    parts = values.select(x.alias("x")).filter("x is not null").mapInPandas(heights, "i int, height double")
+    i = parts.groupBy("i").agg(F.sum("height").alias("height")).agg(F.max_by("i", F.struct("height", -F.col("i"))).alias("i")).first().i
+    return lo + i * step
 
 
 def kde_threshold(values: DataFrame, margin: float, column: str = "v", bandwidth: str | float = "scott", fallback_k: int = 3) -> float:
@@ -60,19 +80,27 @@ def kde_threshold(values: DataFrame, margin: float, column: str = "v", bandwidth
     return iqr_threshold(values, fallback_k, column) if peak is None else peak + margin
 
 
-def final_filter(pairs: DataFrame, threshold: float, ld_chr1: int = 5000, ld_chr2: int = 17500, cross: bool = True, g: GenomeConfig = GenomeConfig()) -> DataFrame:
-    """Pairs above the threshold (strictly) beyond linkage on one chromosome or, with cross, between chromosomes; -2 is dropped."""
-    c = gwes_class(F.col("locus1"), F.col("locus2"), g)
-    d = F.col("geno_dis")
+def final_filter(pairs: DataFrame, threshold: float, ld_chr1: int = 5000, ld_chr2: int = 17500, cross: bool = True) -> DataFrame:
+    """Annotated pairs above the threshold (strictly) beyond linkage on one chromosome or, with cross, between chromosomes; -2 is dropped."""
+    c, d = F.col("chrom"), F.col("geno_dis")
     far = ((c == "chr1") & (d > ld_chr1)) | ((c == "chr2") & (d > ld_chr2))
     return pairs.filter((F.coalesce(far, F.lit(False)) | ((d == -1) & F.lit(cross))) & (F.col("v") > threshold))
 
 
-def run_gwes(pairs: DataFrame, k: float = 1, ld_chr1: int = 5000, ld_chr2: int = 17500, margin: float | None = None, g: GenomeConfig = GenomeConfig()) -> tuple[DataFrame, DataFrame, float]:
-    """(filtered, annotated, threshold) of scored pairs on two chromosomes."""
-    a = annotate(pairs.select("locus1", "locus2", "v"), g)
-    t = iqr_threshold(beyond_ld(a, ld_chr1, ld_chr2, g), k) if margin is None else kde_threshold(a.filter("geno_dis >= 0"), margin)
-    return final_filter(a, t, ld_chr1, ld_chr2, g=g), a, t
+def run_gwes(pairs: DataFrame, k: float = 1, ld_chr1: int = 5000, ld_chr2: int = 17500, margin: float | None = None, g: GenomeConfig = GenomeConfig(), places: DataFrame | None = None) -> tuple[DataFrame, DataFrame, float]:
+    """(filtered, annotated, threshold) of scored pairs on two chromosomes, with genes at the given places. pairs should be a written table."""
+    a = annotate(standard_columns(pairs), g, places)
+    t = iqr_threshold(beyond_ld(a, ld_chr1, ld_chr2), k) if margin is None else kde_threshold(a.filter("geno_dis >= 0"), margin)
+    return final_filter(a, t, ld_chr1, ld_chr2), a, t
+
+
+def standard_columns(pairs: DataFrame) -> DataFrame:
+    """(locus1, locus2, v): the named columns, else the first three."""
+    if {"locus1", "locus2", "v"} <= set(pairs.columns):
+        return pairs.select("locus1", "locus2", "v")
+    if len(pairs.columns) < 3:
+        raise ValueError("pairs need three columns: two loci and a score")
+    return pairs.toDF(*[f"c{i}" for i in range(len(pairs.columns))]).selectExpr("try_cast(c0 as bigint) as locus1", "try_cast(c1 as bigint) as locus2", "cast(c2 as double) as v")
 
 
 def run_gwes_single(pairs: DataFrame, length: int, k: float = 1, ld: int = 1) -> tuple[DataFrame, float]:

@@ -42,6 +42,13 @@ def weight_row(weights: DataFrame) -> DataFrame:
     return weights.agg(ordered["weight"].alias("w"), F.sum(F.col("weight").cast("double")).alias("total"))
 
 
+def check_unique(matrix: DataFrame) -> None:
+    """An error if a locus has several rows."""
+    twice = [r.locus for r in matrix.groupBy("locus").count().filter("count > 1").limit(5).collect()]
+    if twice:
+        raise ValueError(f"loci that occur twice: {twice}")
+
+
 def check_weights(samples: DataFrame, weights: DataFrame) -> None:
     """Every sample has one finite weight that isn't negative, and they don't add up to 0."""
     j = samples.select("sample_pos").join(weights, "sample_pos", "left")

@@ -1,4 +1,4 @@
-"""Scores of pairs of loci: all pairs, as SQL or in tiles, and selected pairs."""
+"""Scores of pairs of loci: all pairs in tiles, and selected pairs."""
 
 from __future__ import annotations
 
@@ -6,12 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociloom.functions.encode import weighted_ones
 from lociloom.functions.score import CLIP, pair_score, tile_scores
-from lociloom.operators.matrix import entropy_bound, marginals, to_long
+from lociloom.operators.matrix import entropy_bound, marginals
+from lociloom.scratch import Scratch
 
 PAIRS = "locus1 long, locus2 long, v double"
 
@@ -23,53 +25,68 @@ def normalised(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least(a, b).alias("locus1"), F.greatest(a, b).alias("locus2"), *rest)
 
 
-def all_pairs_sql(binary: DataFrame, weights: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """Exact relational form: self-join on the sample, joint weight by pair, then the score. For small matrices and checks."""
-    m = marginals(binary, weights).select("locus", "row_pos", "dp", "total").filter((F.col("dp") > 0) & (F.col("dp") < F.col("total")))
-    ones = to_long(binary).filter("x = 1").join(weights.select("sample_pos", F.col("weight").cast("double").alias("weight")), "sample_pos")
-    a, b = ones.alias("a"), ones.alias("b")
-    joint = a.join(b, (F.col("a.sample_pos") == F.col("b.sample_pos")) & (F.col("a.row_pos") < F.col("b.row_pos"))).groupBy(F.col("a.locus").alias("l1"), F.col("b.locus").alias("l2")).agg(F.sum("a.weight").alias("n11"))
-    i, j = m.alias("i"), m.alias("j")
-    grid = i.join(j, F.col("i.row_pos") < F.col("j.row_pos")).select(F.col("i.locus").alias("locus1"), F.col("j.locus").alias("locus2"), F.col("i.dp").alias("dp_i"), F.col("j.dp").alias("dp_j"), F.col("i.total").alias("total"))
-    scored = grid.join(joint, (F.col("locus1") == F.col("l1")) & (F.col("locus2") == F.col("l2")), "left").withColumn("v", pair_score(F.coalesce("n11", F.lit(0.0)), F.col("dp_i"), F.col("dp_j"), F.col("total")))
-    return scored.filter(F.col("v") >= threshold).select("locus1", "locus2", "v")
+def packed_rows(binary: DataFrame) -> DataFrame:
+    """(locus, row_pos, dp, bits) from rows of marginals(): 0/1 samples as bits, an eighth of a byte each."""
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column("x")
+            bits = [np.packbits(np.asarray(v.values, dtype=np.uint8)).tobytes() for v in x]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("locus", "row_pos", "dp")), pa.array(bits, pa.binary())], names=["locus", "row_pos", "dp", "bits"])
 
-def all_pairs(binary: DataFrame, weights: DataFrame, threshold: float = 0.3, tile: int = 1024, clip: float = CLIP, prune: bool = True) -> DataFrame:
+    return binary.select("locus", "row_pos", "dp", F.col("x").cast("array<tinyint>").alias("x")).mapInArrow(pack, "locus long, row_pos long, dp double, bits binary")
+
+
+def all_pairs(binary: DataFrame, weights: DataFrame, threshold: float = 0.3, tile: int = 1024, clip: float = CLIP, prune: bool = True, places: tuple[int, int] | None = None) -> DataFrame:
     """All pairs with v >= threshold, by matrix products on square tiles.
 
-    Loci are cut into blocks of about `tile` rows; every block is sent to each tile (bi <= bj) it takes part in, packed as one binary row,
-    and a tile is one task's product. With n loci the shuffle is n * n / tile packed rows of samples / 8 bytes, and tiles are many and equal, so
-    no task is larger than 2 * tile rows. Loci whose entropy is too low for the threshold are dropped first.
+    Rows are packed and written once. They are cut into blocks of about `tile` rows, each gathered to one row of bytes, and a block is sent to every
+    tile (bi <= bj) it takes part in: with n loci the shuffle is n * n / tile times samples / 8 bytes. Tiles are many and equal, no task holds
+    more than two blocks. Loci whose entropy is too low for the threshold are dropped first. `places` = (start, end) keeps the pairs
+    whose first locus has a row position in it, end excluded; blocks without such a row meet no tile of their own.
     """
+    scratch = Scratch(binary.sparkSession, "tiles")
     rows = marginals(binary, weights)
     if prune and threshold > 0:
         rows = entropy_bound(rows, threshold)
-    rows = rows.filter((F.col("dp") > 0) & (F.col("dp") < F.col("total")))
-    stats = rows.agg(F.count(F.lit(1)).alias("n")).first()
-    blocks = max(1, -(-stats.n // tile))
-    packed = rows.select("locus", "row_pos", "dp", F.pmod(F.xxhash64("row_pos"), F.lit(blocks)).cast("int").alias("b"), F.col("x").cast("array<tinyint>").alias("x"))
+    packed, seen = scratch.save_counting(packed_rows(rows.filter((F.col("dp") > 0) & (F.col("dp") < F.col("total")))), "packed", F.count(F.lit(1)).alias("n"))
+    blocks = max(1, -(-seen["n"] // tile))
+    w = weights.select("sample_pos", F.col("weight").cast("double").alias("weight")).orderBy("sample_pos").toPandas().weight.to_numpy()  # a weight per sample
+    total, samples = float(w.sum()), len(w)
+    start, end = places or (0, 2**62)
+
+    def gather(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("row_pos")
+        mine = pdf.row_pos.between(start, end - 1).any()
+        return pd.DataFrame({"b": [key[0]], "mine": [bool(mine)], **{c: [pdf[c].to_numpy().tobytes()] for c in ("locus", "row_pos", "dp")}, "bits": [b"".join(pdf.bits)]})
+
+    by_block = packed.withColumn("b", F.pmod(F.xxhash64("row_pos"), F.lit(blocks)).cast("int")).groupBy("b")
+    gathered = scratch.save(by_block.applyInPandas(gather, "b int, mine boolean, locus binary, row_pos binary, dp binary, bits binary"), "blocks")
     # a tile is keyed by its block pair; a diagonal tile gets its block once
     keys = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least(F.col("b"), o).cast("int").alias("bi"), F.greatest(F.col("b"), o).cast("int").alias("bj")))
-    sent = packed.withColumn("t", F.explode(keys)).select("t.bi", "t.bj", "b", "locus", "row_pos", "dp", "x")
-    w = weights.select("sample_pos", F.col("weight").cast("double").alias("weight")).orderBy("sample_pos").toPandas().weight.to_numpy()  # a weight per sample
-    total = float(w.sum())
+    sent = gathered.withColumn("t", F.explode(keys)).select("t.bi", "t.bj", "b", "mine", "locus", "row_pos", "dp", "bits")
+
+    def read(r: pd.Series) -> tuple[np.ndarray, ...]:
+        locus, pos, dp = np.frombuffer(r.locus, np.int64), np.frombuffer(r.row_pos, np.int64), np.frombuffer(r.dp, np.float64)
+        x = np.unpackbits(np.frombuffer(r.bits, np.uint8).reshape(len(locus), -1), axis=1)[:, :samples]
+        return locus, pos, dp, x.astype(np.float64)
 
     def score(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         bi, bj = key
-        one, two = pdf[pdf.b == bi].sort_values("row_pos"), pdf[pdf.b == bj].sort_values("row_pos")
-        if one.empty or two.empty:
+        by = {r.b: r for r in pdf.itertuples()}
+        if bi not in by or bj not in by or not pdf.mine.any():
             return pd.DataFrame({"locus1": [], "locus2": [], "v": []})
-        xi, xj = (np.stack(p.x.to_numpy()).astype(np.float64) for p in (one, two))
-        pi, pj = one.row_pos.to_numpy(), two.row_pos.to_numpy()
-        n11 = (xi * w) @ xj.T
+        (l1, p1, d1, x1), (l2, p2, d2, x2) = read(by[bi]), read(by[bj])
+        n11 = (x1 * w) @ x2.T
         # the reference of a pair is the locus that comes first, in either block
-        v = np.where(pi[:, None] < pj[None, :], tile_scores(n11, one.dp.to_numpy(), two.dp.to_numpy(), total, clip), tile_scores(n11.T, two.dp.to_numpy(), one.dp.to_numpy(), total, clip).T)
-        keep = v >= threshold
-        keep &= (pi[:, None] < pj[None, :]) if bi == bj else (pi[:, None] != pj[None, :])
+        first = p1[:, None] < p2[None, :]
+        v = np.where(first, tile_scores(n11, d1, d2, total, clip), tile_scores(n11.T, d2, d1, total, clip).T)
+        keep = (v >= threshold) & (first if bi == bj else p1[:, None] != p2[None, :])
+        if places is not None:
+            at = np.minimum(p1[:, None], p2[None, :])
+            keep &= (at >= start) & (at < end)
         r, c = np.nonzero(keep)
-        li, lj, first = one.locus.to_numpy()[r], two.locus.to_numpy()[c], pi[r] < pj[c]
-        return pd.DataFrame({"locus1": np.where(first, li, lj), "locus2": np.where(first, lj, li), "v": v[r, c]})
+        return pd.DataFrame({"locus1": np.where(first[r, c], l1[r], l2[c]), "locus2": np.where(first[r, c], l2[c], l1[r]), "v": v[r, c]})
 
     return sent.groupBy("bi", "bj").applyInPandas(score, PAIRS)
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lociloom.config import HighOrderConfig
 from lociloom.operators.gwes import kde_peak, quartiles
+from lociloom.operators.ranks import positions, quantiles
 
 
 def finite(c: str) -> Column:
@@ -21,14 +22,8 @@ def finite(c: str) -> Column:
 
 
 def numbered(df: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """(group, value columns, at): dense position from 0 within the group. Counted in parts of each group: sizes per part give offsets."""
-    parts = df.withColumn("__part", F.floor(F.col(order[0]) / F.lit(2**16)).cast("bigint"))
-    sizes = parts.groupBy(group, "__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(W.partitionBy(group).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select(F.col(group).alias("__g"), F.col("__part").alias("__p"), before.alias("__before"), F.sum("__n").over(W.partitionBy(group)).alias("n"))
-    j = parts.join(offsets, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__part") == F.col("__p")))
-    at = F.col("__before") + F.row_number().over(W.partitionBy(group, "__part").orderBy(*order)) - 1
-    return j.withColumn("at", at).drop("__part", "__g", "__p", "__before")
+    """(group, value columns, n, at): dense position from 0 within the group, and the group's size."""
+    return positions(df, [group], order, "at", "n")
 
 
 def draw(replicate: Column, i: Column, salt: str = "") -> Column:
@@ -99,8 +94,8 @@ def stable(boot: DataFrame, group: str, cfg: HighOrderConfig) -> DataFrame:
 
 
 def annotate_stability(df: DataFrame, thresholds: DataFrame, group: str, cfg: HighOrderConfig, inclusive: bool, column: str = "diff") -> DataFrame:
-    """Adds upper_stability, lower_stability, stability and direction. thresholds has a row per chromosome, so it is broadcast."""
-    t = F.broadcast(thresholds.select(F.col(group).alias("__g"), "stable_upper", "stable_lower", "uppers", "lowers"))
+    """Adds upper_stability, lower_stability, stability and direction. thresholds has a row per group."""
+    t = thresholds.select(F.col(group).alias("__g"), "stable_upper", "stable_lower", "uppers", "lowers")
     d = F.col(column)
     ok = finite(column)
     up = F.when(ok, F.size(F.filter("uppers", lambda x: x < d)) / F.size("uppers")).otherwise(0.0)
@@ -119,7 +114,7 @@ def histogram(df: DataFrame, group: str, column: str = "diff", bins: int = 128)
     """(group, bin, n): fixed-width bins over [min(-1, least), max(1, largest)], the last one closed; empty bins are 0."""
     ok = df.filter(finite(column) & F.col(group).isNotNull()).select(group, column)
     ends = ok.groupBy(group).agg(F.least(F.lit(-1.0), F.min(column)).alias("lo"), F.greatest(F.lit(1.0), F.max(column)).alias("hi"))
-    e = F.broadcast(ends.withColumnRenamed(group, "__g"))
+    e = ends.withColumnRenamed(group, "__g")
     b = F.least(F.lit(bins - 1), F.floor((F.col(column) - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins))).cast("int")
     counts = ok.join(e, F.col(group) == F.col("__g")).groupBy(group, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     frame = ends.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
@@ -143,7 +138,7 @@ def bimodality(df: DataFrame, group: str, column: str = "diff", bins: int = 128,
     s = smoothed(histogram(df, group, column, bins), group, bins)
     side = lambda cond: F.max_by(F.struct("centre", "height", "bin"), F.when(cond, F.struct("height", -F.col("bin"))))
     modes = s.groupBy(group).agg(side(F.col("centre") < 0).alias("l"), side(F.col("centre") > 0).alias("r"))
-    j = s.join(F.broadcast(modes.withColumnRenamed(group, "__g")), F.col(group) == F.col("__g"))
+    j = s.join(modes.withColumnRenamed(group, "__g"), F.col(group) == F.col("__g"))
     valley = j.filter(F.col("bin").between(F.col("l.bin"), F.col("r.bin"))).groupBy(group).agg(F.min("height").alias("valley"), F.first("l").alias("l"), F.first("r").alias("r"))
     sides = df.filter(finite(column)).groupBy(group).agg(F.avg((F.col(column) < 0).cast("double")).alias("negative"), F.avg((F.col(column) > 0).cast("double")).alias("positive"))
     peak = F.least("l.height", "r.height")
@@ -237,8 +232,7 @@ def kde_difference(df: DataFrame, column: str = "diff", margin: float = 0.15, tw
         both = (peak + width(ok), peak - width(ok))
     if not two_sided:
         return both
-    median = ok.agg(F.median(column)).first()[0] or 0.0
-    cut = max(0.0, median)
+    cut = max(0.0, (quantiles(ok, column, [0.5]) or [0.0])[0])
     high, low = ok.filter(F.col(column) > cut), ok.filter(F.col(column) <= cut)
     up, lo = kde_peak(high, column, 0.3), kde_peak(low, column, 0.3)
     return (both[0] if up is None else up + width(high)), (both[1] if lo is None else lo - width(low))

@@ -36,7 +36,7 @@ def epistasis_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 def weighted_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(P.all_pairs_sql(vector_matrix(spark, d), step_weights(spark, 64), GB_T))
+    return _rounded(P.all_pairs(vector_matrix(spark, d), step_weights(spark, 64), GB_T))
 
 
 def block_kernel_pairs(spark: SparkSession, d: str) -> DataFrame:

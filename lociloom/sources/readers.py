@@ -31,12 +31,6 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     return with_row_position(rows.select(F.col("c")[0].cast("bigint").alias("locus"), F.slice("c", 2, n - 1).alias("alleles"))).select("locus", "row_pos", "alleles")
 
 
-def check_unique(matrix: DataFrame) -> None:
-    twice = [r.locus for r in matrix.groupBy("locus").count().filter("count > 1").limit(5).collect()]
-    if twice:
-        raise ValueError(f"loci that occur twice: {twice}")
-
-
 def read_weights(spark: SparkSession, path: str, samples: list[str] | None = None) -> DataFrame:
     """(sample_pos, sample, weight) from a CSV: column wet, else the first after the name; by position if there are no names."""
     df = spark.read.csv(path, header=True)

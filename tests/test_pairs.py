@@ -6,7 +6,7 @@ import pytest
 from lociloom.functions.distance import gene_distance, gene_places, snp_distance
 from lociloom.operators import compare, patterns
 from lociloom.operators.matrix import marginals
-from lociloom.operators.pairs import all_pairs, all_pairs_sql, resolve_loci, selected_pairs
+from lociloom.operators.pairs import all_pairs, resolve_loci, selected_pairs
 from pyspark.sql import functions as F
 
 
@@ -38,13 +38,32 @@ def test_all_pairs_equal_the_naive_loop(data, t):
     x, w, df, weights = data
     want = {(1000 + i, 1000 + j): naive(x, w, i, j) for i in range(97) for j in range(i + 1, 97) if i != 5 and j != 5}
     want = {k: v for k, v in want.items() if v >= t}
-    for out in (all_pairs(df, weights, t, tile=16), all_pairs(df, weights, t, tile=4096), all_pairs_sql(df, weights, t)):
+    for out in (all_pairs(df, weights, t, tile=16), all_pairs(df, weights, t, tile=4096)):
         got = {(r.locus1, r.locus2): r.v for r in out.collect()}
         edge = {k for k in set(got) ^ set(want)}
         assert all(abs(naive(x, w, a - 1000, b - 1000) - t) < 1e-9 for a, b in edge)
         assert all(abs(got[k] - want[k]) < 2e-6 for k in set(got) & set(want))
 
 
+def test_a_range_of_rows_has_its_share_of_the_pairs(data):
+    _, _, df, weights = data
+    whole = {(r.locus1, r.locus2, r.v) for r in all_pairs(df, weights, 0.1, tile=16).collect()}
+    parts = [{(r.locus1, r.locus2, r.v) for r in all_pairs(df, weights, 0.1, tile=16, places=p).collect()} for p in ((0, 20), (20, 21), (21, 97))]
+    assert set.union(*parts) == whole and sum(map(len, parts)) == len(whole) and all(20 == a - 1000 for a, _, _ in parts[1])
+
+
+def test_blocks_carry_bits_not_numbers(data, spark):
+    """An eighth of a byte a sample: the scores of 8,192 and 4,096 rows a tile are those of any other size."""
+    from lociloom.operators.matrix import marginals
+    from lociloom.operators.pairs import packed_rows
+
+    x, _, df, weights = data
+    rows = packed_rows(marginals(df, weights)).collect()
+    assert all(len(r.bits) == 4 and (np.unpackbits(np.frombuffer(r.bits, np.uint8))[:31] == x[r.locus - 1000]).all() for r in rows)
+    one, two = ({(r.locus1, r.locus2): r.v for r in all_pairs(df, weights, 0.3, tile=n).collect()} for n in (4096, 8192))
+    assert one == two
+
+
 def test_selected_pairs(data, spark):
     x, w, df, weights = data
     ask = spark.createDataFrame([("1003", "1001"), ("1001", "1003"), ("1005", "1007"), ("1090", "1008")], "locus1 string, locus2 string")
@@ -64,7 +83,7 @@ def test_collapse_score_restore_equals_direct(data):
     between = patterns.restore_between(all_pairs(reps, weights, 0.2, tile=32), m)
     within = patterns.restore_within(m, 0.2)
     got = {(r.locus1, r.locus2): r.v for r in between.unionByName(within).collect()}
-    want = {(r.locus1, r.locus2): r.v for r in all_pairs_sql(df, weights, 0.2).collect()}
+    want = {(r.locus1, r.locus2): r.v for r in all_pairs(df, weights, 0.2, prune=False).collect()}
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-5 for k in got)
 
 
