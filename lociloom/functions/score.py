@@ -22,19 +22,22 @@ def pair_score(n11: Column, dp_i: Column, dp_j: Column, total: Column, clip: flo
     return F.when((dp_i > 0) & (dq_i > 0), F.sqrt(F.greatest(js, F.lit(0.0))))
 
 
-def tile_scores(n11: np.ndarray, dp_i: np.ndarray, dp_j: np.ndarray, total: float, clip: float = CLIP) -> np.ndarray:
-    """The same for a tile: n11 has a row per reference and a column per target. Rows with one state give NaN."""
+def scores(n11: np.ndarray, dp_i: np.ndarray, dp_j: np.ndarray, total: np.ndarray | float, clip: float = CLIP) -> np.ndarray:
+    """The same on arrays that broadcast to one shape. NaN where i has only one state."""
     with np.errstate(divide="ignore", invalid="ignore"):
         dq_i = total - dp_i
-        p = np.clip(n11 / dp_i[:, None], clip, 1 - clip)
-        q = np.clip((dp_j[None, :] - n11) / dq_i[:, None], clip, 1 - clip)
-        s = (dp_i / total)[:, None]
+        p = np.clip(n11 / dp_i, clip, 1 - clip)
+        q = np.clip((dp_j - n11) / dq_i, clip, 1 - clip)
+        s = dp_i / total
         p1, p0, q1, q0 = p + TINY, 1 - p + TINY, q + TINY, 1 - q + TINY
         m1, m0 = s * p1 + (1 - s) * q1, s * p0 + (1 - s) * q0
         js = s * (p1 * np.log2(p1 / m1) + p0 * np.log2(p0 / m0)) + (1 - s) * (q1 * np.log2(q1 / m1) + q0 * np.log2(q0 / m0))
-        v = np.sqrt(np.maximum(js, 0))
-    v[(dp_i <= 0) | (dq_i <= 0), :] = np.nan
-    return v
+        return np.where((dp_i > 0) & (dq_i > 0), np.sqrt(np.maximum(js, 0)), np.nan)
+
+
+def tile_scores(n11: np.ndarray, dp_i: np.ndarray, dp_j: np.ndarray, total: float, clip: float = CLIP) -> np.ndarray:
+    """scores() of a tile: n11 has a row per reference and a column per target."""
+    return scores(n11, dp_i[:, None], dp_j[None, :], total, clip)
 
 
 def entropy(p: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lociloom.config import GenomeConfig
 from lociloom.functions.distance import gene_distance, gwes_class, ld_flag, linear_distance, snp_distance
 from lociloom.operators.ranks import quantiles
+from lociloom.scratch import Scratch
 
 GRID = 512
 
@@ -88,8 +89,8 @@ def final_filter(pairs: DataFrame, threshold: float, ld_chr1: int = 5000, ld_chr
 
 
 def run_gwes(pairs: DataFrame, k: float = 1, ld_chr1: int = 5000, ld_chr2: int = 17500, margin: float | None = None, g: GenomeConfig = GenomeConfig(), places: DataFrame | None = None) -> tuple[DataFrame, DataFrame, float]:
-    """(filtered, annotated, threshold) of scored pairs on two chromosomes, with genes at the given places. pairs should be a written table."""
-    a = annotate(standard_columns(pairs), g, places)
+    """(filtered, annotated, threshold) of scored pairs on two chromosomes, with genes at the given places."""
+    a = Scratch(pairs.sparkSession, "gwes").save(annotate(standard_columns(pairs), g, places), "annotated")  # read by every pass
     t = iqr_threshold(beyond_ld(a, ld_chr1, ld_chr2), k) if margin is None else kde_threshold(a.filter("geno_dis >= 0"), margin)
     return final_filter(a, t, ld_chr1, ld_chr2), a, t
 

@@ -108,7 +108,8 @@ def selected_pairs(pairs: DataFrame, binary: DataFrame, weights: DataFrame, stri
     j = want.join(a, F.col("locus1") == F.col("locus_a")).join(b, F.col("locus2") == F.col("locus_b"))
     n11 = weighted_ones(F.zip_with("x_a", "x_b", lambda x, y: x * y), F.col("w_a"))
     first = F.col("row_pos_a") < F.col("row_pos_b")
-    v = pair_score(n11, F.when(first, F.col("dp_a")).otherwise(F.col("dp_b")), F.when(first, F.col("dp_b")).otherwise(F.col("dp_a")), F.col("total_a"))
+    j = j.withColumn("n11", n11)  # as a column, since the score uses it many times
+    v = pair_score(F.col("n11"), F.when(first, F.col("dp_a")).otherwise(F.col("dp_b")), F.when(first, F.col("dp_b")).otherwise(F.col("dp_a")), F.col("total_a"))
     return j.select("locus1", "locus2", F.coalesce(v, F.lit(0.0)).alias("v"))
 
 

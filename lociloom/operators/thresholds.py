@@ -1,7 +1,7 @@
 """Thresholds on score differences: fences, hash-resampled bootstraps, tails, bimodality and their combination.
 
 Resampling is by a hash of (replicate, draw): which row a draw takes depends on nothing else, so results are the same on any cluster and
-can be checked in SQL. Rows are numbered by (locus1, locus2) within a chromosome. A replicate takes at most `sample_size` draws.
+can be checked in SQL. Rows are numbered by (locus1, locus2, value) within a chromosome. A replicate takes at most `sample_size` draws.
 """
 
 from __future__ import annotations
@@ -62,7 +62,7 @@ def plain_fences(df: DataFrame, column: str, k_upper: float, k_lower: float, min
 
 def bootstrap_fences(df: DataFrame, group: str, cfg: HighOrderConfig, column: str = "diff") -> DataFrame:
     """(group, replicate, upper, lower): IQR fences of each resample."""
-    rows = numbered(df.filter(finite(column) & F.col(group).isNotNull()).select(group, "locus1", "locus2", column), group, ["locus1", "locus2"])
+    rows = numbered(df.filter(finite(column) & F.col(group).isNotNull()).select(group, "locus1", "locus2", column), group, ["locus1", "locus2", column])
     drawn = resample(rows, group, column, cfg.bootstrap, cfg.sample_size)
     q = drawn.groupBy(group, "replicate").agg(F.percentile(F.col(column), F.array(F.lit(0.25), F.lit(0.75)), F.col("times")).alias("q"))
     up, lo = fences(F.col("q")[0], F.col("q")[1], cfg)
@@ -75,7 +75,7 @@ def bootstrap_tails(df: DataFrame, group: str, cfg: HighOrderConfig, column: str
     A tail of fewer than min_tail rows gives null; a group with two such tails has no row.
     """
     def tail(rows: DataFrame, q: float, name: str, salt: str) -> DataFrame:
-        n = numbered(rows.filter(F.col(group).isNotNull()).select(group, "locus1", "locus2", column), group, ["locus1", "locus2"])
+        n = numbered(rows.filter(F.col(group).isNotNull()).select(group, "locus1", "locus2", column), group, ["locus1", "locus2", column])
         drawn = resample(n.filter(F.col("n") >= cfg.min_tail), group, column, cfg.bootstrap, cfg.sample_size, salt)
         return drawn.groupBy(group, "replicate").agg(F.percentile(F.col(column), F.lit(q), F.col("times")).alias(name))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from lociloom.functions.distance import highorder_class, snp_distance
+from lociloom.functions.distance import gene_places, highorder_class, snp_distance
 from lociloom.functions.encode import ALLELES
 from lociloom.queries.tables import table
 from lociloom.sources.readers import long_matrix
@@ -13,28 +13,20 @@ from lociloom.sources.readers import long_matrix
 KINDS = {"view": "A", "click": "T", "purchase": "C", "signup": "G"}
 
 
-def _event_rows(spark: SparkSession, d: str) -> DataFrame:
+def event_matrix(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """Users as loci and all their events as samples, gaps up to the longest user; and the number of samples."""
     e = table(spark, d, "events")
     k = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
     allele = F.coalesce(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])[F.col("event_type")], F.lit("-"))
-    return e.select(F.col("user_id").cast("bigint").alias("locus"), k.alias("k"), allele.alias("allele"))
-
-
-def _event_arrays(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("locus").agg(F.array_sort(F.collect_list(F.struct("k", "allele")))["allele"].alias("alleles")).select("locus", F.col("locus").alias("row_pos"), "alleles")
-
-
-def event_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """Users as loci, their first 40 events as samples, as in EVENTS; the kind of event as allele."""
-    return _event_arrays(_event_rows(spark, d).filter("k <= 40"))
-
-
-def padded_events(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
-    """Users as loci and all their events as samples, gaps up to the longest user; and the number of samples."""
-    rows = _event_rows(spark, d)
+    rows = e.select(F.col("user_id").cast("bigint").alias("locus"), k.alias("k"), allele.alias("allele"))
     width = rows.agg(F.coalesce(F.max("k"), F.lit(0))).first()[0]
+    alleles = F.array_sort(F.collect_list(F.struct("k", "allele")))["allele"]
     gaps = F.array_repeat(F.lit("-"), F.lit(width) - F.size("alleles"))
-    return _event_arrays(rows).withColumn("alleles", F.concat("alleles", gaps)), width
+    return rows.groupBy("locus").agg(alleles.alias("alleles")).select("locus", F.col("locus").alias("row_pos"), F.concat("alleles", gaps).alias("alleles")), width
+
+
+def uniform(spark: SparkSession, n: int) -> DataFrame:
+    return spark.range(n).select(F.col("id").cast("int").alias("sample_pos"), F.lit(1.0).alias("weight"))
 
 
 def vector_matrix(spark: SparkSession, d: str, dims: int = 64) -> DataFrame:
@@ -62,6 +54,19 @@ def weights(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "weights").select("sample_pos", "weight")
 
 
+def gene_table(spark: SparkSession, d: str, loci: DataFrame) -> DataFrame:
+    """Places of the gene ids among loci(locus), from a formula over part: two strands, both chromosomes, contigs only, and unknown ids."""
+    part = table(spark, d, "part").select(F.col("p_partkey").cast("bigint").alias("k"))
+    m = part.agg(F.max("k")).first()[0]
+    ids = loci.select(F.col("locus").alias("locus_id")).filter("locus_id >= 5165770").distinct()
+    genes = ids.select("locus_id", F.concat(F.lit("g"), F.pmod("locus_id", F.lit(m + 40)) + 1).alias("g"))
+    start, size = F.pmod(F.col("k") * 7919, F.lit(1_800_000)) + 1, F.pmod(F.col("k") * 31, F.lit(900)) + 100
+    forward = F.col("k") % 2 == 0
+    iv = part.filter("k % 10 < 8").select(F.concat(F.lit("g"), "k").alias("qacc"), F.when(forward, start).otherwise(start + size).cast("int").alias("sstart"), F.when(forward, start + size).otherwise(start).cast("int").alias("send"), F.when(F.col("k") % 3 == 0, "NC_004605").otherwise("NC_004603").alias("sacc"))
+    ct = part.filter("k % 10 = 8").select(F.concat(F.lit("g"), "k").alias("qacc"), F.concat(F.lit("contig"), F.col("k") % 4).alias("sacc"))
+    return gene_places(genes, iv, ct)
+
+
 def clean_pairs(spark: SparkSession, d: str) -> DataFrame:
     """One row per unordered pair of loci above 0 with a score in 0..1, the largest."""
     p = table(spark, d, "final_pairs").select("locus1", "locus2", "v")
@@ -85,8 +90,10 @@ CALLS = """calls AS (SELECT locus, sample_pos, min(upper(allele)) AS allele FROM
     AND sample_pos IN (SELECT sample_pos FROM weights) GROUP BY ALL),
   snp AS (SELECT l.locus, w.sample_pos, coalesce(c.allele, '-') AS allele FROM (SELECT DISTINCT locus FROM calls) l CROSS JOIN weights w
     LEFT JOIN calls c ON c.locus = l.locus AND c.sample_pos = w.sample_pos)"""
-EVENTS = """ge AS (SELECT locus, k - 1 AS sample_pos, allele FROM (SELECT user_id::BIGINT AS locus, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k,
-    CASE event_type WHEN 'view' THEN 'A' WHEN 'click' THEN 'T' WHEN 'purchase' THEN 'C' WHEN 'signup' THEN 'G' ELSE '-' END AS allele FROM events) WHERE k <= 40)"""
+EVENTS = """ge0 AS (SELECT user_id::BIGINT AS locus, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k,
+    CASE event_type WHEN 'view' THEN 'A' WHEN 'click' THEN 'T' WHEN 'purchase' THEN 'C' WHEN 'signup' THEN 'G' ELSE '-' END AS allele FROM events),
+  uw AS (SELECT i::INT AS sample_pos, 1.0::DOUBLE AS weight FROM range((SELECT max(k) FROM ge0)) t(i)),
+  ge AS (SELECT l.locus, w.sample_pos, coalesce(g.allele, '-') AS allele FROM (SELECT DISTINCT locus FROM ge0) l CROSS JOIN uw w LEFT JOIN ge0 g ON g.locus = l.locus AND g.k = w.sample_pos + 1)"""
 
 
 def binary_sql(source: str, name: str) -> str:
@@ -110,9 +117,41 @@ def distance_sql(a: str = "locus1", b: str = "locus2") -> str:
         WHEN {a} > 3288558 AND {b} > 3288558 THEN {circle(1877212)} ELSE -1 END)::BIGINT"""
 
 
-GWES_CLASS = """(CASE WHEN locus1 > 5165770 AND locus2 > 5165770 THEN NULL
+def gwes_class_sql(middle: str = "NULL") -> str:
+    """The chromosome of a pair; of two genes that of the first one's middle."""
+    return f"""(CASE WHEN locus1 > 5165770 AND locus2 > 5165770 THEN CASE WHEN {middle} < 3288558 THEN 'chr1' WHEN {middle} > 3288558 THEN 'chr2' END
     WHEN (locus1 < 3288558 AND (locus2 < 3288558 OR locus2 > 5165770)) OR (locus1 > 5165770 AND locus2 < 3288558) THEN 'chr1'
     WHEN locus1 > 3288558 AND locus2 > 3288558 AND (locus1 < 5165770 OR locus2 < 5165770) THEN 'chr2' END)"""
+
+
+def genes_sql(loci: str) -> str:
+    """CTEs up to pl, the places of the gene ids in a query of loci(x)."""
+    return f"""mk AS (SELECT max(p_partkey)::BIGINT AS m FROM part), ids AS (SELECT DISTINCT x AS locus_id FROM ({loci}) WHERE x >= 5165770),
+  gn AS (SELECT locus_id, locus_id % (m + 40) + 1 AS k FROM ids CROSS JOIN mk),
+  iv AS (SELECT p_partkey::BIGINT AS k, (p_partkey::BIGINT * 7919) % 1800000 + 1 AS st, (p_partkey::BIGINT * 31) % 900 + 100 AS sz FROM part),
+  pl AS (SELECT g.locus_id, CASE WHEN k % 10 < 8 THEN (2 * st + sz) // 2 + sh END AS mid, CASE WHEN k % 10 < 8 THEN CASE WHEN k % 2 = 0 THEN st ELSE st + sz END + sh END AS start,
+      CASE WHEN k % 10 < 8 THEN CASE WHEN k % 2 = 0 THEN st + sz ELSE st END + sh END AS "end", CASE WHEN k % 10 = 8 THEN 'contig' || (k % 4)::VARCHAR END AS contig
+    FROM (SELECT gn.locus_id, iv.k, st, sz, CASE WHEN iv.k % 3 = 0 THEN 3288558 ELSE 0 END AS sh FROM gn LEFT JOIN iv USING (k)) g)"""
+
+
+def _on_genome(a: str, b: str) -> str:
+    return f"CASE WHEN {a} > 5165770 OR {b} > 5165770 THEN -1 ELSE {distance_sql(a, b)} END"
+
+
+def annotated_sql(pairs: str, extra: str = "v") -> str:
+    """SELECT of pairs with geno_dis and chrom, genes looked up in pl."""
+    o = _on_genome
+    return f"""SELECT locus1, locus2, {extra}, {gwes_class_sql('m1')} AS chrom, (CASE WHEN locus1 < 5165770 AND locus2 < 5165770 THEN {distance_sql()}
+          WHEN locus1 < 5165770 AND locus2 >= 5165770 AND s2 IS NOT NULL THEN CASE WHEN locus1 BETWEEN least(s2, e2) AND greatest(s2, e2) THEN 0 ELSE least({o('locus1', 's2')}, {o('locus1', 'e2')}) END
+          WHEN locus1 >= 5165770 AND locus2 < 5165770 AND s1 IS NOT NULL THEN CASE WHEN locus2 BETWEEN least(s1, e1) AND greatest(s1, e1) THEN 0 ELSE least({o('locus2', 'm1')}, {o('locus2', 's1')}, {o('locus2', 'e1')}) END
+          WHEN locus1 >= 5165770 AND locus2 >= 5165770 AND s1 IS NOT NULL AND s2 IS NOT NULL THEN
+            CASE WHEN (m1 <= 3288558) <> (m2 <= 3288558) THEN -1 WHEN least(s1, e1) <= greatest(s2, e2) AND least(s2, e2) <= greatest(s1, e1) THEN 0
+              WHEN (m1, s1, e1) <= (m2, s2, e2) THEN least({o('e1', 's2')}, {o('s1', 'e2')}) ELSE least({o('e2', 's1')}, {o('s2', 'e1')}) END
+          WHEN locus1 >= 5165770 AND locus2 >= 5165770 AND c1 = c2 THEN 0 ELSE -1 END)::BIGINT AS geno_dis
+        FROM (SELECT p.*, x.mid AS m1, x.start AS s1, x."end" AS e1, x.contig AS c1, y.mid AS m2, y.start AS s2, y."end" AS e2, y.contig AS c2
+          FROM {pairs} p LEFT JOIN pl x ON x.locus_id = p.locus1 LEFT JOIN pl y ON y.locus_id = p.locus2)"""
+
+
 HIGH_CLASS = """(CASE WHEN geno_dis > 0 THEN CASE WHEN locus1 < 3288558 OR locus2 < 3288558 THEN 'chr1'
     WHEN locus1 > 3288558 AND locus2 > 3288558 AND (locus1 < 5165770 OR locus2 < 5165770) THEN 'chr2' END END)"""
 COMPARISON = f"""m0 AS (SELECT background, least(locus1, locus2) AS locus1, greatest(locus1, locus2) AS locus2, min({{'v_f': v_f, 'v_h': v_h, 'diff': diff}}) AS x FROM df_merged
@@ -130,12 +169,12 @@ def score_sql(source: str) -> str:
         SELECT *, least(greatest(n11 / dp_i, 1e-9), 1 - 1e-9) AS p, least(greatest((dp_j - n11) / (total - dp_i), 1e-9), 1 - 1e-9) AS q FROM {source})))"""
 
 
-def all_pairs_sql(binary: str, weights: str) -> str:
-    """CTE sc(locus1, locus2, v) of all pairs of loci with two states; loci in numeric order."""
-    return f"""tw AS (SELECT sum(weight)::DOUBLE AS total FROM {weights}),
-  mg AS (SELECT b.locus, sum(b.x * w.weight)::DOUBLE AS dp FROM {binary} b JOIN {weights} w USING (sample_pos) GROUP BY ALL),
-  jt AS (SELECT a.locus AS l1, b.locus AS l2, sum(w.weight)::DOUBLE AS n11 FROM {binary} a JOIN {binary} b ON a.sample_pos = b.sample_pos AND a.locus < b.locus AND a.x = 1 AND b.x = 1
+def all_pairs_sql(binary: str, weights: str, t: str = "") -> str:
+    """CTE sc(locus1, locus2, v) of all pairs of loci with two states; loci in numeric order. `t` is added to the CTEs' names."""
+    return f"""tw{t} AS (SELECT sum(weight)::DOUBLE AS total FROM {weights}),
+  mg{t} AS (SELECT b.locus, sum(b.x * w.weight)::DOUBLE AS dp FROM {binary} b JOIN {weights} w USING (sample_pos) GROUP BY ALL),
+  jt{t} AS (SELECT a.locus AS l1, b.locus AS l2, sum(w.weight)::DOUBLE AS n11 FROM {binary} a JOIN {binary} b ON a.sample_pos = b.sample_pos AND a.locus < b.locus AND a.x = 1 AND b.x = 1
     JOIN {weights} w ON w.sample_pos = a.sample_pos GROUP BY ALL),
-  pr AS (SELECT i.locus AS locus1, j.locus AS locus2, coalesce(n11, 0) AS n11, i.dp AS dp_i, j.dp AS dp_j, total FROM mg i JOIN mg j ON i.locus < j.locus CROSS JOIN tw
-    LEFT JOIN jt ON l1 = i.locus AND l2 = j.locus WHERE i.dp > 0 AND i.dp < total AND j.dp > 0 AND j.dp < total),
-  sc AS ({score_sql('pr')})"""
+  pr{t} AS (SELECT i.locus AS locus1, j.locus AS locus2, coalesce(n11, 0) AS n11, i.dp AS dp_i, j.dp AS dp_j, total FROM mg{t} i JOIN mg{t} j ON i.locus < j.locus CROSS JOIN tw{t}
+    LEFT JOIN jt{t} ON l1 = i.locus AND l2 = j.locus WHERE i.dp > 0 AND i.dp < total AND j.dp > 0 AND j.dp < total),
+  sc{t} AS ({score_sql('pr' + t)})"""

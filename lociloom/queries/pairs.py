@@ -9,30 +9,30 @@ from lociloom.functions import distance as D
 from lociloom.operators import compare, gwes, patterns, stability
 from lociloom.operators import pairs as P
 from lociloom.operators.matrix import binarise, marginals
-from lociloom.queries.fixtures import EVENTS, GWES_CLASS, PAIRS, STEPS, VECTORS, all_pairs_sql, binary_sql, clean_pairs, distance_sql, event_matrix, padded_events, score_sql, step_weights, vector_matrix, snp, weights
+from lociloom.functions.encode import keep_samples
+from lociloom.plans.batch import shard
+from lociloom.plans.highorder import background_mask, split_by_background
+from lociloom.queries.fixtures import CALLS, EVENTS, PAIRS, STEPS, VECTORS, all_pairs_sql, annotated_sql, binary_sql, clean_pairs, distance_sql, event_matrix, gene_table, genes_sql, gwes_class_sql, score_sql, snp, step_weights, uniform, vector_matrix, weights
 from lociloom.queries.tables import table
 from lociloom.scratch import Scratch
 
 GE_T, GB_T = 0.2, 0.3
+LEVELS = (0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 
 
 def _rounded(df: DataFrame) -> DataFrame:
     return df.select("locus1", "locus2", F.round("v", 6).alias("v"))
 
 
-def _uniform(spark: SparkSession, n: int = 40) -> DataFrame:
-    return spark.range(n).select(F.col("id").cast("int").alias("sample_pos"), F.lit(1.0).alias("weight"))
-
-
 def epistasis_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Flagship: encode, take the major alleles, score all pairs, keep the dependent ones."""
-    return _rounded(P.all_pairs(binarise(event_matrix(spark, d)), _uniform(spark), GE_T))
+    """Flagship: take the major alleles of the given matrix, score all pairs with the given weights, keep the dependent ones."""
+    return _rounded(P.all_pairs(binarise(snp(spark, d)), weights(spark, d), GE_T))
 
 
 def epistasis_all(spark: SparkSession, d: str) -> DataFrame:
-    """The flagship over all events."""
-    e, n = padded_events(spark, d)
-    return _rounded(P.all_pairs(binarise(e), _uniform(spark, n), GE_T))
+    """The same over the events of all users."""
+    e, n = event_matrix(spark, d)
+    return _rounded(P.all_pairs(binarise(e), uniform(spark, n), GE_T))
 
 
 def weighted_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -44,7 +44,7 @@ def block_kernel_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """Requested pairs: every vector with the next three of its label."""
+    """Requested pairs: every vector with those of the next three ids."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").cast("bigint").alias("locus1"))
     return e.withColumn("locus2", F.explode(F.array(*[(F.col("locus1") + k) for k in (1, 2, 3)]))).join(e.select(F.col("locus1").alias("locus2")), "locus2", "left_semi")
 
@@ -59,11 +59,18 @@ def score_survival(spark: SparkSession, d: str) -> DataFrame:
 
 
 def adaptive_threshold(spark: SparkSession, d: str) -> DataFrame:
-    m = Scratch(spark, "adaptive").save(vector_matrix(spark, d), "m")
-    r = stability.adaptive_threshold(m, step_weights(spark, 64), target=2000, sample=20_000, floor=0.2)
+    """By the default sample of pairs of the given matrix, for 2,000 pairs."""
+    m = Scratch(spark, "adaptive").save(binarise(snp(spark, d)), "m")
+    r = stability.adaptive_threshold(m, weights(spark, d), target=2000, floor=0.1)
     return spark.createDataFrame([(round(r["threshold"], 6), round(r["retained"], 6), r["total_pairs"])], "threshold double, retained double, total_pairs long")
 
 
+def adaptive_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Of the same sample, how many pairs to expect at and above 0.05, 0.1, .. 0.9."""
+    m = Scratch(spark, "summary").save(binarise(snp(spark, d)), "m")
+    return stability.threshold_summary(m, weights(spark, d), levels=LEVELS).select("threshold", F.round("retained", 6).alias("retained"), "expected_pairs")
+
+
 def snp_distance(spark: SparkSession, d: str) -> DataFrame:
     a, b = F.col("locus1"), F.col("locus2")
     dis = D.snp_distance(a, b)
@@ -71,16 +78,7 @@ def snp_distance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _genes(spark: SparkSession, d: str) -> DataFrame:
-    """Places of the gene ids in the pairs, from a formula over part: two strands, both chromosomes, contigs only, and unknown ids."""
-    part = table(spark, d, "part").select(F.col("p_partkey").cast("bigint").alias("k"))
-    m = part.agg(F.max("k")).first()[0]
-    ids = clean_pairs(spark, d).select(F.explode(F.array("locus1", "locus2")).alias("locus_id")).filter("locus_id >= 5165770").distinct()
-    genes = ids.select("locus_id", F.concat(F.lit("g"), F.pmod("locus_id", F.lit(m + 40)) + 1).alias("g"))
-    start, size = F.pmod(F.col("k") * 7919, F.lit(1_800_000)) + 1, F.pmod(F.col("k") * 31, F.lit(900)) + 100
-    forward = F.col("k") % 2 == 0
-    iv = part.filter("k % 10 < 8").select(F.concat(F.lit("g"), "k").alias("qacc"), F.when(forward, start).otherwise(start + size).cast("int").alias("sstart"), F.when(forward, start + size).otherwise(start).cast("int").alias("send"), F.when(F.col("k") % 3 == 0, "NC_004605").otherwise("NC_004603").alias("sacc"))
-    ct = part.filter("k % 10 = 8").select(F.concat(F.lit("g"), "k").alias("qacc"), F.concat(F.lit("contig"), F.col("k") % 4).alias("sacc"))
-    return D.gene_places(genes, iv, ct)
+    return gene_table(spark, d, clean_pairs(spark, d).select(F.explode(F.array("locus1", "locus2")).alias("locus")))
 
 
 def gene_places(spark: SparkSession, d: str) -> DataFrame:
@@ -106,8 +104,15 @@ def gwes_iqr_threshold(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gwes_filter(spark: SparkSession, d: str) -> DataFrame:
-    a = Scratch(spark, "gwes").save(clean_pairs(spark, d), "pairs")
-    kept, _, _ = gwes.run_gwes(a, 1)
+    """With genes at their places."""
+    s = Scratch(spark, "gwes")
+    kept, _, _ = gwes.run_gwes(s.save(clean_pairs(spark, d), "pairs"), 1, places=s.save(_genes(spark, d), "genes"))
+    return kept.select("locus1", "locus2", F.round("v", 6).alias("v"), "geno_dis", "chrom", F.col("LD").cast("int").alias("LD"))
+
+
+def gwes_bases_only(spark: SparkSession, d: str) -> DataFrame:
+    """Without a gene table: a pair with a gene has no distance and is dropped."""
+    kept, _, _ = gwes.run_gwes(Scratch(spark, "gwesb").save(clean_pairs(spark, d), "pairs"), 1)
     return kept.select("locus1", "locus2", F.round("v", 6).alias("v"), "geno_dis", F.col("LD").cast("int").alias("LD"))
 
 
@@ -146,94 +151,86 @@ def missing_pairs(spark: SparkSession, d: str) -> DataFrame:
     return compare.missing_pairs(two, one)
 
 
+def _first_background(spark: SparkSession, d: str, m: DataFrame) -> int:
+    return shard(table(spark, d, "backgrounds")).join(m.select("locus"), "locus", "left_semi").orderBy("ordinal").first().locus
+
+
 def complete_comparison(spark: SparkSession, d: str) -> DataFrame:
-    """Events' matrix against its first 20 samples as the subgroup."""
-    return _completed(spark, event_matrix(spark, d), 40)
+    """The given matrix against the samples in which its first background has the major state."""
+    m = Scratch(spark, "complete").save(snp(spark, d), "snp")
+    return _completed(spark, m, weights(spark, d), _first_background(spark, d, m))
 
 
 def complete_comparison_all(spark: SparkSession, d: str) -> DataFrame:
-    return _completed(spark, *padded_events(spark, d))
+    """The events of all users against those samples in which the first user has the major state."""
+    e, n = event_matrix(spark, d)
+    m = Scratch(spark, "complete").save(e, "events")
+    return _completed(spark, m, uniform(spark, n), m.agg(F.min("locus")).first()[0])
 
 
-def _completed(spark: SparkSession, events: DataFrame, n: int) -> DataFrame:
+def _completed(spark: SparkSession, m: DataFrame, w: DataFrame, background: int) -> DataFrame:
     s = Scratch(spark, "complete")
-    e = s.save(events, "events")
-    full, high = s.save(binarise(e), "full"), s.save(binarise(e.withColumn("alleles", F.slice("alleles", 1, 20))), "high")
-    wf, wh = _uniform(spark, n), _uniform(spark, n).filter("sample_pos < 20")
-    f, h = s.save(P.all_pairs(full, wf, 0.3), "pf"), s.save(P.all_pairs(high, wh, 0.4), "ph")
-    c = compare.complete_comparison(f, h, full, wf, high, wh)
+    full, high = s.save(binarise(m), "full"), s.save(binarise(split_by_background(m, background, 1)), "high")
+    row = w.agg(F.array_sort(F.collect_list(F.struct("sample_pos", "weight")))["weight"].alias("w"))  # a weight per sample
+    kept = row.crossJoin(background_mask(m, background)).select(F.posexplode(keep_samples(F.col("w"), F.col("mask"), 1)).alias("sample_pos", "weight"))
+    wh = s.save(kept, "weights")
+    f, h = s.save(P.all_pairs(full, w, 0.2), "pf"), s.save(P.all_pairs(high, wh, 0.25), "ph")
+    c = compare.complete_comparison(f, h, full, w, high, wh)
     return c.select("locus1", "locus2", F.round("v_f", 6).alias("v_f"), F.round("v_h", 6).alias("v_h"), F.round("diff", 6).alias("diff"))
 
 
-def _collapsed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Scratch]:
-    s = Scratch(spark, "restore")
-    x = s.save(vector_matrix(spark, d, 7), "x")
-    w = step_weights(spark, 7)
-    m = s.save(patterns.collapse(marginals(x, w)), "map")
-    return s.save(P.all_pairs(patterns.representatives(x, m), w, 0.5), "pairs"), m, s
-
-
-def _collapsed_snp(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _collapsed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Pairs of representatives and the pattern map of the given allele matrix with its weights."""
     s = Scratch(spark, "restore")
     x = s.save(binarise(snp(spark, d)).select("locus", "row_pos", "x"), "x")
     m = s.save(patterns.collapse(marginals(x, weights(spark, d))), "map")
-    return s.save(P.all_pairs(patterns.representatives(x, m), weights(spark, d), 0.5), "pairs"), m
-
-
-def restore_between_all(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(patterns.restore_between(*_collapsed_snp(spark, d)))
-
-
-def restore_within_all(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(patterns.restore_within(_collapsed_snp(spark, d)[1], 0.9))
+    return s.save(P.all_pairs(patterns.representatives(x, m), weights(spark, d), 0.1), "pairs"), m
 
 
 def restore_between(spark: SparkSession, d: str) -> DataFrame:
-    pairs, m, _ = _collapsed(spark, d)
-    return _rounded(patterns.restore_between(pairs, m))
+    return _rounded(patterns.restore_between(*_collapsed(spark, d)))
 
 
 def restore_within(spark: SparkSession, d: str) -> DataFrame:
-    _, m, _ = _collapsed(spark, d)
-    return _rounded(patterns.restore_within(m, 0.9))
+    return _rounded(patterns.restore_within(_collapsed(spark, d)[1], 0.1))
 
 
 def pair_bootstrap_stability(spark: SparkSession, d: str) -> DataFrame:
-    return _resampled(spark, event_matrix(spark, d), 40, 20)
+    """Pairs of the given matrix over 100 replicates, the default."""
+    return _resampled(spark, snp(spark, d), weights(spark, d), 0.2, 0.15)
 
 
 def pair_bootstrap_all(spark: SparkSession, d: str) -> DataFrame:
-    """All events and 100 replicates, the default."""
-    return _resampled(spark, *padded_events(spark, d), 100)
+    """Pairs of the events of all users."""
+    e, n = event_matrix(spark, d)
+    return _resampled(spark, e, uniform(spark, n), 0.2, 0.2)
 
 
-def _resampled(spark: SparkSession, events: DataFrame, n: int, replicates: int) -> DataFrame:
+def _resampled(spark: SparkSession, m: DataFrame, w: DataFrame, candidates: float, threshold: float) -> DataFrame:
     s = Scratch(spark, "boot")
-    x = s.save(binarise(events), "x")
-    c = s.save(P.all_pairs(x, _uniform(spark, n), 0.35), "pairs")
-    b = stability.pair_bootstrap(c, x, _uniform(spark, n), 0.3, n, replicates)
+    x = s.save(binarise(m), "x")
+    c = s.save(P.all_pairs(x, w, candidates), "pairs")
+    b = stability.pair_bootstrap(c, x, w, threshold, w.count())
     return b.select("locus1", "locus2", "bootstrap_pass_count", "bootstrap_valid_count", F.round("bootstrap_v_mean", 6).alias("mean"), F.round("bootstrap_v_std", 6).alias("std"), "stable")
 
 
-QUERIES = {q.__name__: q for q in (epistasis_pairs, epistasis_all, complete_comparison_all, restore_between_all, restore_within_all, pair_bootstrap_all, weighted_pairs, block_kernel_pairs, selected_pairs, score_survival, adaptive_threshold, snp_distance, gene_places, gene_distance, linear_circular_distance, chromosome_class_gwes, gwes_iqr_threshold, gwes_filter, gwes_single_chr, gwes_kde_threshold, plot_classes, merge_pairs_full_outer, missing_pairs, complete_comparison, restore_between, restore_within, pair_bootstrap_stability)}
+QUERIES = {q.__name__: q for q in (epistasis_pairs, epistasis_all, complete_comparison_all, pair_bootstrap_all, weighted_pairs, block_kernel_pairs, selected_pairs, score_survival, adaptive_threshold, adaptive_summary, snp_distance, gene_places, gene_distance, linear_circular_distance, chromosome_class_gwes, gwes_iqr_threshold, gwes_filter, gwes_bases_only, gwes_single_chr, gwes_kde_threshold, plot_classes, merge_pairs_full_outer, missing_pairs, complete_comparison, restore_between, restore_within, pair_bootstrap_stability)}
 
-_GE = f"{EVENTS}, {binary_sql('ge', 'gx')}, uw AS (SELECT i::INT AS sample_pos, 1.0::DOUBLE AS weight FROM range(40) t(i))"
+_GE = f"{EVENTS}, {binary_sql('ge', 'gx')}"
+_SNPB = f"{CALLS}, {binary_sql('snp', 'sb')}"
 _GB = f"{VECTORS}, {STEPS}"
 
 
 def _selected_sql(want: str, binary: str, weights: str, name: str) -> str:
     """CTE name(locus1, locus2, v) for pairs of want, 0 where the reference has one state."""
     return f"""{name}_t AS (SELECT sum(weight)::DOUBLE AS total FROM {weights}),
-  {name}_m AS (SELECT locus, sum(x * weight)::DOUBLE AS dp FROM {binary} JOIN {weights} USING (sample_pos) GROUP BY locus),
-  {name}_j AS (SELECT w.locus1, w.locus2, sum(a.x * b.x * s.weight)::DOUBLE AS n11 FROM {want} w JOIN {binary} a ON a.locus = w.locus1 JOIN {binary} b ON b.locus = w.locus2 AND b.sample_pos = a.sample_pos
-    JOIN {weights} s ON s.sample_pos = a.sample_pos GROUP BY ALL),
-  {name}_p AS (SELECT j.locus1, j.locus2, n11, i.dp AS dp_i, k.dp AS dp_j, total FROM {name}_j j JOIN {name}_m i ON i.locus = j.locus1 JOIN {name}_m k ON k.locus = j.locus2 CROSS JOIN {name}_t),
+  {name}_m AS (SELECT locus, sum(x * weight)::DOUBLE AS dp, list(x::DOUBLE ORDER BY sample_pos) AS xs, list((x * weight)::DOUBLE ORDER BY sample_pos) AS xw FROM {binary} JOIN {weights} USING (sample_pos) GROUP BY locus),
+  {name}_p AS (SELECT w.locus1, w.locus2, list_dot_product(a.xw, b.xs) AS n11, a.dp AS dp_i, b.dp AS dp_j, total FROM {want} w JOIN {name}_m a ON a.locus = w.locus1 JOIN {name}_m b ON b.locus = w.locus2 CROSS JOIN {name}_t),
   {name} AS (SELECT locus1, locus2, coalesce(v, 0) AS v FROM ({score_sql(name + '_p')}))"""
 
 
 _WANT = "want AS (SELECT a.vec_id::BIGINT AS locus1, b.vec_id::BIGINT AS locus2 FROM embeddings a JOIN embeddings b ON b.vec_id - a.vec_id BETWEEN 1 AND 3)"
-_ANN = f"{PAIRS}, an AS (SELECT locus1, locus2, v, {distance_sql()} AS geno_dis, {GWES_CLASS} AS chrom FROM fp), far AS (SELECT * FROM an WHERE (chrom = 'chr1' AND geno_dis > 5000) OR (chrom = 'chr2' AND geno_dis > 17500))"
+_ANN = f"{PAIRS}, an AS (SELECT locus1, locus2, v, {distance_sql()} AS geno_dis, {gwes_class_sql()} AS chrom FROM fp), far AS (SELECT * FROM an WHERE (chrom = 'chr1' AND geno_dis > 5000) OR (chrom = 'chr2' AND geno_dis > 17500))"
 _TH = "th AS (SELECT quantile_cont(v, 0.75) + 1.5 * (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) AS t FROM far)"
 _DRAW = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 _LIN = "abs(locus1 - locus2)"
@@ -241,51 +238,56 @@ _CIRC = f"CASE WHEN {_LIN} > 5165770 / 2 THEN 5165770 - {_LIN} ELSE {_LIN} END"
 _SIDES = f"""{PAIRS}, s1 AS (SELECT *, nullif({distance_sql()}, -1) AS d FROM fp),
   s2 AS (SELECT least(locus1, locus2) AS locus1, greatest(locus1, locus2) AS locus2, max(v_h) AS v, nullif(max(geno_dis), -1) AS d FROM df_merged
     WHERE v_h BETWEEN 0 AND 1 AND NOT isnan(v_h) AND locus1 IS NOT NULL AND locus2 IS NOT NULL GROUP BY ALL)"""
-_MAP = f"""{VECTORS}, {STEPS}, pt AS (SELECT locus, string_agg(x::VARCHAR, '' ORDER BY sample_pos) AS bits FROM gb WHERE sample_pos < 7 GROUP BY locus),
-  pm AS (SELECT locus, bits, min(locus) OVER (PARTITION BY bits) AS rep FROM pt),
-  g7 AS (SELECT locus, sample_pos, x FROM gb WHERE sample_pos < 7), s7 AS (SELECT * FROM sw WHERE sample_pos < 7)"""
-_GENES = f"""{PAIRS}, mk AS (SELECT max(p_partkey)::BIGINT AS m FROM part), ids AS (SELECT DISTINCT x AS locus_id FROM (SELECT locus1 AS x FROM fp UNION ALL SELECT locus2 FROM fp) WHERE x >= 5165770),
-  gn AS (SELECT locus_id, locus_id % (m + 40) + 1 AS k FROM ids CROSS JOIN mk),
-  iv AS (SELECT p_partkey::BIGINT AS k, (p_partkey::BIGINT * 7919) % 1800000 + 1 AS st, (p_partkey::BIGINT * 31) % 900 + 100 AS sz FROM part),
-  pl AS (SELECT g.locus_id, CASE WHEN k % 10 < 8 THEN (2 * st + sz) // 2 + sh END AS mid, CASE WHEN k % 10 < 8 THEN CASE WHEN k % 2 = 0 THEN st ELSE st + sz END + sh END AS start,
-      CASE WHEN k % 10 < 8 THEN CASE WHEN k % 2 = 0 THEN st + sz ELSE st END + sh END AS "end", CASE WHEN k % 10 = 8 THEN 'contig' || (k % 4)::VARCHAR END AS contig
-    FROM (SELECT gn.locus_id, iv.k, st, sz, CASE WHEN iv.k % 3 = 0 THEN 3288558 ELSE 0 END AS sh FROM gn LEFT JOIN iv USING (k)) g)"""
-_OG = "CASE WHEN {a} > 5165770 OR {b} > 5165770 THEN -1 ELSE {d} END"
-
-
-def _og(a: str, b: str) -> str:
-    return _OG.format(a=a, b=b, d=distance_sql(a, b))
+_GENES = f"{PAIRS}, {genes_sql('SELECT locus1 AS x FROM fp UNION ALL SELECT locus2 FROM fp')}"
+_MAP = f"""{_SNPB}, pt AS (SELECT locus, string_agg(x::VARCHAR, '' ORDER BY sample_pos) AS bits FROM sb GROUP BY locus), pm AS (SELECT locus, bits, min(locus) OVER (PARTITION BY bits) AS rep FROM pt)"""
+_SAMPLED = f"""{_SNPB}, k AS (SELECT locus, row_number() OVER (ORDER BY locus) - 1 AS at FROM (SELECT DISTINCT locus FROM sb)), n AS (SELECT count(*) AS n FROM k),
+        dr AS (SELECT i AS id, {_DRAW.format("'a:' || i || ':0'")} % n AS p, {_DRAW.format("'a:' || i || ':1'")} % n AS q FROM range(75064) t(i) CROSS JOIN n),
+        once AS (SELECT least(p, q) AS p, greatest(p, q) AS q, min(id) AS id FROM dr WHERE p <> q GROUP BY 1, 2 ORDER BY id LIMIT 50000),
+        want AS (SELECT a.locus AS locus1, b.locus AS locus2 FROM once JOIN k a ON a.at = p JOIN k b ON b.at = q), {_selected_sql('want', 'sb', 'weights', 'se')}"""
+
+
+def _completed_sql(snp: str, binary: str, weights: str, background: str) -> str:
+    """The comparison of a matrix with the samples in which a background has its major state."""
+    return f"""bm AS (SELECT sample_pos FROM {binary} WHERE locus = ({background}) AND x = 1), ga AS (SELECT s.* FROM {snp} s JOIN bm USING (sample_pos)), {binary_sql('ga', 'hx')},
+        hw AS (SELECT w.* FROM {weights} w JOIN bm USING (sample_pos)), {all_pairs_sql(binary, weights)}, {all_pairs_sql('hx', 'hw', '2')},
+        want AS (SELECT locus1, locus2 FROM sc WHERE v >= 0.2 UNION SELECT locus1, locus2 FROM sc2 WHERE v >= 0.25), {_selected_sql('want', binary, weights, 'sf')}, {_selected_sql('want', 'hx', 'hw', 'sh')}
+        SELECT locus1, locus2, round(sf.v, 6) AS v_f, round(sh.v, 6) AS v_h, round(sh.v - sf.v, 6) AS diff FROM sf JOIN sh USING (locus1, locus2)"""
+
+
+def _resampled_sql(binary: str, weights: str, candidates: float, threshold: float) -> str:
+    return f"""{all_pairs_sql(binary, weights)}, c AS (SELECT locus1, locus2 FROM sc WHERE v >= {candidates}), ns AS (SELECT count(*) AS ns FROM {weights}),
+        bag AS (SELECT r, {_DRAW.format("'s:' || r || ':' || i")} % ns AS sample_pos, count(*) AS m FROM ns, range(100) a(r), range(ns) b(i) GROUP BY ALL),
+        bw AS (SELECT r, sample_pos, m * weight AS m, sum(m * weight) OVER (PARTITION BY r) AS total FROM bag JOIN {weights} USING (sample_pos)),
+        j AS (SELECT c.locus1, c.locus2, r, sum(a.x * b.x * m)::DOUBLE AS n11, sum(a.x * m)::DOUBLE AS dp_i, sum(b.x * m)::DOUBLE AS dp_j, any_value(total)::DOUBLE AS total
+          FROM c JOIN {binary} a ON a.locus = c.locus1 JOIN {binary} b ON b.locus = c.locus2 AND b.sample_pos = a.sample_pos JOIN bw ON bw.sample_pos = a.sample_pos GROUP BY ALL),
+        v AS (SELECT locus1, locus2, coalesce(v, 0) AS v FROM ({score_sql('j')}))
+        SELECT locus1, locus2, count(*) FILTER (v >= {threshold}) AS bootstrap_pass_count, count(*) AS bootstrap_valid_count, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std,
+          count(*) FILTER (v >= {threshold}) / 100 >= 0.8 AS stable FROM v GROUP BY ALL"""
 
 
 ORACLES = {
-    "epistasis_pairs": f"WITH {_GE}, {all_pairs_sql('gx', 'uw')} SELECT locus1, locus2, round(v, 6) AS v FROM sc WHERE v >= {GE_T}",
+    "epistasis_pairs": f"WITH {_SNPB}, {all_pairs_sql('sb', 'weights')} SELECT locus1, locus2, round(v, 6) AS v FROM sc WHERE v >= {GE_T}",
+    "epistasis_all": f"WITH {_GE}, {all_pairs_sql('gx', 'uw')} SELECT locus1, locus2, round(v, 6) AS v FROM sc WHERE v >= {GE_T}",
     "weighted_pairs": f"WITH {_GB}, {all_pairs_sql('gb', 'sw')} SELECT locus1, locus2, round(v, 6) AS v FROM sc WHERE v >= {GB_T}",
     "block_kernel_pairs": f"WITH {_GB}, {all_pairs_sql('gb', 'sw')} SELECT locus1, locus2, round(v, 6) AS v FROM sc WHERE v >= {GB_T}",
     "selected_pairs": f"WITH {_GB}, {_WANT}, {_selected_sql('want', 'gb', 'sw', 'se')} SELECT locus1, locus2, round(v, 6) AS v FROM se",
     "score_survival": f"""WITH {_GB}, {_WANT}, {_selected_sql('want', 'gb', 'sw', 'se')}, c AS (SELECT round(v, 6) AS v, count(*) AS c FROM se GROUP BY 1)
         SELECT v, (sum(c) OVER (ORDER BY v DESC))::BIGINT AS n, round(sum(c) OVER (ORDER BY v DESC) / sum(c) OVER (), 6) AS survival FROM c""",
-    "adaptive_threshold": f"""WITH {_GB}, k AS (SELECT vec_id::BIGINT AS locus, row_number() OVER (ORDER BY vec_id) - 1 AS at FROM embeddings), n AS (SELECT count(*) AS n FROM k),
-        dr AS (SELECT i AS id, {_DRAW.format("'a:' || i || ':0'")} % n AS p, {_DRAW.format("'a:' || i || ':1'")} % n AS q FROM range(30064) t(i) CROSS JOIN n),
-        once AS (SELECT least(p, q) AS p, greatest(p, q) AS q, min(id) AS id FROM dr WHERE p <> q GROUP BY 1, 2 ORDER BY id LIMIT 20000),
-        want AS (SELECT a.locus AS locus1, b.locus AS locus2 FROM once JOIN k a ON a.at = p JOIN k b ON b.at = q), {_selected_sql('want', 'gb', 'sw', 'se')},
-        sv AS (SELECT v, count(*) OVER (ORDER BY v DESC RANGE UNBOUNDED PRECEDING) / count(*) OVER () AS s FROM se),
-        t AS (SELECT greatest(min(v) FILTER (s <= least(1, 2000 * 0.6 / (n * (n - 1) / 2))), 0.2) AS t FROM sv CROSS JOIN n)
+    "adaptive_threshold": f"""WITH {_SAMPLED}, sv AS (SELECT v, count(*) OVER (ORDER BY v DESC RANGE UNBOUNDED PRECEDING) / count(*) OVER () AS s FROM se),
+        t AS (SELECT greatest(min(v) FILTER (s <= least(1, 2000 * 0.6 / (n * (n - 1) / 2))), 0.1) AS t FROM sv CROSS JOIN n)
         SELECT round(any_value(t), 6) AS threshold, round(avg((v >= t)::INT), 6) AS retained, any_value(n * (n - 1) // 2) AS total_pairs FROM se CROSS JOIN t CROSS JOIN n""",
+    "adaptive_summary": f"""WITH {_SAMPLED} SELECT l.t::DOUBLE AS threshold, round(avg((v >= l.t)::INT), 6) AS retained, ceil(any_value(n * (n - 1) // 2) * avg((v >= l.t)::INT))::BIGINT AS expected_pairs
+        FROM se CROSS JOIN n CROSS JOIN (VALUES {', '.join(f'({t})' for t in LEVELS)}) l(t) GROUP BY l.t""",
     "snp_distance": f"WITH {PAIRS}, a AS (SELECT locus1, locus2, {distance_sql()} AS geno_dis FROM fp) SELECT *, (geno_dis >= 0 AND geno_dis < 3000)::INT AS \"LD\" FROM a",
     "gene_places": f"WITH {_GENES} SELECT * FROM pl",
-    "gene_distance": f"""WITH {_GENES}, j AS (SELECT fp.locus1 AS a, fp.locus2 AS b, x.mid AS m1, x.start AS s1, x."end" AS e1, x.contig AS c1, y.mid AS m2, y.start AS s2, y."end" AS e2, y.contig AS c2
-          FROM fp LEFT JOIN pl x ON x.locus_id = locus1 LEFT JOIN pl y ON y.locus_id = locus2)
-        SELECT a AS locus1, b AS locus2, (CASE WHEN a < 5165770 AND b < 5165770 THEN {distance_sql('a', 'b')}
-          WHEN a < 5165770 AND b >= 5165770 AND s2 IS NOT NULL THEN CASE WHEN a BETWEEN least(s2, e2) AND greatest(s2, e2) THEN 0 ELSE least({_og('a', 's2')}, {_og('a', 'e2')}) END
-          WHEN a >= 5165770 AND b < 5165770 AND s1 IS NOT NULL THEN CASE WHEN b BETWEEN least(s1, e1) AND greatest(s1, e1) THEN 0 ELSE least({_og('b', 'm1')}, {_og('b', 's1')}, {_og('b', 'e1')}) END
-          WHEN a >= 5165770 AND b >= 5165770 AND s1 IS NOT NULL AND s2 IS NOT NULL THEN
-            CASE WHEN (m1 <= 3288558) <> (m2 <= 3288558) THEN -1 WHEN least(s1, e1) <= greatest(s2, e2) AND least(s2, e2) <= greatest(s1, e1) THEN 0
-              WHEN (m1, s1, e1) <= (m2, s2, e2) THEN least({_og('e1', 's2')}, {_og('s1', 'e2')}) ELSE least({_og('e2', 's1')}, {_og('s2', 'e1')}) END
-          WHEN a >= 5165770 AND b >= 5165770 AND c1 = c2 THEN 0 ELSE -1 END)::BIGINT AS geno_dis FROM j""",
+    "gene_distance": f"WITH {_GENES} SELECT locus1, locus2, geno_dis FROM ({annotated_sql('fp')})",
     "linear_circular_distance": f"WITH {PAIRS} SELECT locus1, locus2, {_LIN} AS linear, {_CIRC} AS circular FROM fp",
-    "chromosome_class_gwes": f"WITH {PAIRS} SELECT locus1, locus2, {GWES_CLASS} AS chrom FROM fp",
+    "chromosome_class_gwes": f"WITH {PAIRS} SELECT locus1, locus2, {gwes_class_sql()} AS chrom FROM fp",
     "gwes_iqr_threshold": f"WITH {_ANN} SELECT k::INT AS k, round(quantile_cont(v, 0.75) + 1.5 * k * (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)), 6) AS threshold FROM far CROSS JOIN range(1, 4) t(k) GROUP BY k",
-    "gwes_filter": f"""WITH {_ANN}, {_TH} SELECT locus1, locus2, round(v, 6) AS v, geno_dis, (geno_dis >= 0 AND geno_dis < 3000)::INT AS "LD" FROM an CROSS JOIN th
+    "gwes_filter": f"""WITH {_GENES}, an AS ({annotated_sql('fp')}), far AS (SELECT * FROM an WHERE (chrom = 'chr1' AND geno_dis > 5000) OR (chrom = 'chr2' AND geno_dis > 17500)), {_TH}
+        SELECT locus1, locus2, round(v, 6) AS v, geno_dis, chrom, (geno_dis >= 0 AND geno_dis < 3000)::INT AS "LD" FROM an CROSS JOIN th
+        WHERE v > t AND ((chrom = 'chr1' AND geno_dis > 5000) OR (chrom = 'chr2' AND geno_dis > 17500) OR geno_dis = -1)""",
+    "gwes_bases_only": f"""WITH {_ANN}, {_TH} SELECT locus1, locus2, round(v, 6) AS v, geno_dis, (geno_dis >= 0 AND geno_dis < 3000)::INT AS "LD" FROM an CROSS JOIN th
         WHERE v > t AND ((chrom = 'chr1' AND geno_dis > 5000) OR (chrom = 'chr2' AND geno_dis > 17500) OR geno_dis = -1)""",
     "gwes_single_chr": f"""WITH {PAIRS}, far AS (SELECT locus1, locus2, v, {_CIRC} AS geno_dis FROM fp WHERE {_CIRC} > 5000), {_TH}
         SELECT locus1, locus2, round(v, 6) AS v, geno_dis FROM far CROSS JOIN th WHERE v >= t""",
@@ -297,20 +299,13 @@ ORACLES = {
     "merge_pairs_full_outer": f"""WITH {_SIDES} SELECT locus1, locus2, round(coalesce(s1.v, -1), 6) AS v1, round(coalesce(s2.v, -1), 6) AS v2, coalesce(greatest(s1.d, s2.d), -1) AS geno_dis
         FROM s1 FULL JOIN s2 USING (locus1, locus2)""",
     "missing_pairs": f"WITH {_SIDES} SELECT locus1, locus2 FROM s1 ANTI JOIN s2 USING (locus1, locus2)",
-    "complete_comparison": f"""WITH {_GE}, ga AS (SELECT * FROM ge WHERE sample_pos < 20), {binary_sql('ga', 'hx')}, hw AS (SELECT * FROM uw WHERE sample_pos < 20), {all_pairs_sql('gx', 'uw')},
-        pf AS (SELECT locus1, locus2 FROM sc WHERE v >= 0.3), {all_pairs_sql('hx', 'hw').replace('tw AS', 'tw2 AS').replace('mg AS', 'mg2 AS').replace('jt AS', 'jt2 AS').replace('pr AS', 'pr2 AS').replace('sc AS', 'sc2 AS').replace('FROM mg ', 'FROM mg2 ').replace('JOIN mg ', 'JOIN mg2 ').replace('JOIN tw', 'JOIN tw2').replace('JOIN jt', 'JOIN jt2').replace('FROM pr)', 'FROM pr2)')},
-        want AS (SELECT * FROM pf UNION SELECT locus1, locus2 FROM sc2 WHERE v >= 0.4), {_selected_sql('want', 'gx', 'uw', 'sf')}, {_selected_sql('want', 'hx', 'hw', 'sh')}
-        SELECT locus1, locus2, round(sf.v, 6) AS v_f, round(sh.v, 6) AS v_h, round(sh.v - sf.v, 6) AS diff FROM sf JOIN sh USING (locus1, locus2)""",
-    "restore_between": f"""WITH {_MAP}, {all_pairs_sql('g7', 's7')} SELECT least(a.locus, b.locus) AS locus1, greatest(a.locus, b.locus) AS locus2, round(v, 6) AS v
-        FROM sc JOIN pm a ON a.rep = locus1 JOIN pm b ON b.rep = locus2 WHERE v >= 0.5 AND locus1 IN (SELECT rep FROM pm) AND locus2 IN (SELECT rep FROM pm)""",
-    "restore_within": f"""WITH {_MAP}, f AS (SELECT locus, sum(x * weight) / sum(weight) AS p FROM g7 JOIN s7 USING (sample_pos) GROUP BY locus)
-        SELECT a.locus AS locus1, b.locus AS locus2, round(sqrt(-(p * log2(p) + (1 - p) * log2(1 - p))), 6) AS v FROM pm a JOIN pm b ON a.bits = b.bits AND a.locus < b.locus JOIN f ON f.locus = a.locus
-        WHERE p > 1e-12 AND p < 1 - 1e-12 AND sqrt(-(p * log2(p) + (1 - p) * log2(1 - p))) >= 0.9""",
-    "pair_bootstrap_stability": f"""WITH {_GE}, {all_pairs_sql('gx', 'uw')}, c AS (SELECT locus1, locus2 FROM sc WHERE v >= 0.35),
-        bag AS (SELECT r, {_DRAW.format("'s:' || r || ':' || i")} % 40 AS sample_pos, count(*) AS m FROM range(20) a(r), range(40) b(i) GROUP BY ALL),
-        j AS (SELECT c.locus1, c.locus2, r, sum(a.x * b.x * m)::DOUBLE AS n11, sum(a.x * m)::DOUBLE AS dp_i, sum(b.x * m)::DOUBLE AS dp_j, 40.0::DOUBLE AS total
-          FROM c JOIN gx a ON a.locus = c.locus1 JOIN gx b ON b.locus = c.locus2 AND b.sample_pos = a.sample_pos JOIN bag ON bag.sample_pos = a.sample_pos GROUP BY ALL),
-        v AS (SELECT locus1, locus2, coalesce(v, 0) AS v FROM ({score_sql('j')}))
-        SELECT locus1, locus2, count(*) FILTER (v >= 0.3) AS bootstrap_pass_count, count(*) AS bootstrap_valid_count, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std,
-          count(*) FILTER (v >= 0.3) / 20 >= 0.8 AS stable FROM v GROUP BY ALL""",
+    "complete_comparison": f"""WITH {_SNPB}, {_completed_sql('snp', 'sb', 'weights', 'SELECT arg_min(locus, ordinal) FROM backgrounds WHERE locus IN (SELECT locus FROM sb)')}""",
+    "complete_comparison_all": f"WITH {_GE}, {_completed_sql('ge', 'gx', 'uw', 'SELECT min(locus) FROM ge')}",
+    "restore_between": f"""WITH {_MAP}, {all_pairs_sql('sb', 'weights')} SELECT least(a.locus, b.locus) AS locus1, greatest(a.locus, b.locus) AS locus2, round(v, 6) AS v
+        FROM sc JOIN pm a ON a.rep = locus1 JOIN pm b ON b.rep = locus2 WHERE v >= 0.1 AND locus1 IN (SELECT rep FROM pm) AND locus2 IN (SELECT rep FROM pm)""",
+    "restore_within": f"""WITH {_MAP}, f AS (SELECT locus, sum(x * weight) / sum(weight) AS p FROM sb JOIN weights USING (sample_pos) GROUP BY locus)
+        SELECT a.locus AS locus1, b.locus AS locus2, round(sqrt(-(p * log2(p) + (1 - p) * log2(1 - p))), 6) AS v FROM pm a JOIN pm b ON a.bits = b.bits AND a.locus < b.locus JOIN f ON f.locus = a.rep
+        WHERE p > 1e-12 AND p < 1 - 1e-12 AND sqrt(-(p * log2(p) + (1 - p) * log2(1 - p))) >= 0.1""",
+    "pair_bootstrap_stability": f"WITH {_SNPB}, {_resampled_sql('sb', 'weights', 0.2, 0.15)}",
+    "pair_bootstrap_all": f"WITH {_GE}, {_resampled_sql('gx', 'uw', 0.2, 0.2)}",
 }

@@ -4,7 +4,7 @@ import pytest
 from lociloom.functions import encode as E
 from lociloom.operators import weights as wt
 from lociloom.operators.matrix import binarise, check_weights, minor_filter, with_row_position
-from lociloom.queries.fixtures import padded_events
+from lociloom.queries.fixtures import event_matrix
 from lociloom.queries.matrix import split_alleles
 from lociloom.plans.batch import fingerprint, load_full, run_batch, save_full, shard, signature
 from lociloom.scratch import Scratch
@@ -137,6 +137,6 @@ def test_alleles_of_all_subgroups(spark):
 def test_all_events_are_samples(spark, tmp_path):
     rows = [(u * 1000 + i, u, i, "click" if i < 40 else "signup") for u, n in ((1, 45), (2, 42)) for i in range(n)]
     spark.createDataFrame(rows, "event_id long, user_id long, ts long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
-    m, n = padded_events(spark, str(tmp_path))
+    m, n = event_matrix(spark, str(tmp_path))
     got = {r.locus: "".join(r.alleles) for r in m.collect()}
     assert n == 45 and got == {1: "T" * 40 + "G" * 5, 2: "T" * 40 + "G" * 2 + "-" * 3}
