@@ -63,14 +63,14 @@ _NOT = r"(?:cannot|can't|can not|could not|couldn't|did not|didn't|failed to|(?:
 _SHOW = r"(?:display|show|open|load|retrieve|deliver|fetch|find|locate|render|return|access|process) (?:the|this|that|your|any|sheet|page|document)\b"
 
 # Words of the notice grammar: what is to run, what it takes, and who is spoken to. A sentence with all three is a notice.
-_NOUN = r"(?<!\p{L})(?:java ?script|js|scripts|scripting|script execution|skripte)(?!\p{L})|javascript|スクリフ?゚?プ?ト|脚本"
+_NOUN = r"(?=[jsス-脚])(?:(?<!\p{L})(?:java ?script|js|scripts?|scripting|skripte)(?!\p{L})|javascript|スクリフ?゚?プ?ト|脚本)"
 _TAKES = r"(?:enabl|activ|allow|turn|switch|permit|unblock|block|disabl|requir|need|necess|must|without|aktivier|einschalt|eingeschaltet|erlaub|benotig|erforder|brauch|deaktiv|habilit|autoris|requi|necesit|desactiv|启用|开启|打开|禁用|需要|不支持|有効|必要|許可|無効)"
 _YOU = (
-    r"(?:[ \t]*+java ?script(?!\p{L})|[ \t]*+(?:in order )?(?:to|for full) |[^.!?。！？\n]*?(?:(?<!\p{L})(?:you|your|please|we're|sorry|this (?:web ?)?(?:site|page|app|application|document|viewer)"
+    r"(?:[ \t]*+java ?script(?!\p{L})|[ \t]*+(?:in order )?(?:to|for full) |[^.!?\n>]*?(?:(?<!\p{L})(?:you|your|please|we're|sorry|this (?:web ?)?(?:site|page|app|application|document|viewer)"
     r"|sie|ihr|ihrem|ihren|bitte|diese[rs]? (?:seite|anwendung|website|dokument)|vous|votre|veuillez|cette (?:page|application)|ce (?:site|document)|su navegador|por favor|esta (?:pagina|aplicacion)|este (?:sitio|documento)|necesita)(?!\p{L})"
     r"|[请您]|此页|本页|本网站|このヘ?゚?ペ?ーシ?゛?ジ?|このサイト|お使い|してくた?゛?だ?さい))"
 )
-NOTICE = rf"(?:^|[.!?。！？\n>])(?=[^.!?。！？\n]*?(?:{_NOUN}))(?=[^.!?。！？\n]*?{_TAKES})(?={_YOU})"
+NOTICE = rf"[.!?\n>](?=[^.!?\n>]*?(?:{_NOUN}))(?=[^.!?\n>]*?{_TAKES})(?={_YOU})"
 # Words of the message grammar: things of a web page, and how they fail.
 _THING = r"(?:(?:the|this|our|your|that) )?(?:requested |web |remote |document )*(?:page|site|website|document|file|url|server|servers|service|system|connection|request|session|app|application|viewer|publication|database|content)(?: you (?:requested|are looking for|asked for))?"
 _FAILS = (
@@ -99,7 +99,7 @@ STARTS = {
         r"(?:es ist )?ein (?:\w+ )?fehler (?:ist )?aufgetreten|(?:die|diese) (?:seite|datei|anfrage) (?:konnte|kann) (?:leider )?nicht|(?:der|unser) (?:server|dienst) (?:antwortet nicht|ist (?:uberlastet|in wartung))",
         r"une erreur (?:\w+ )?(?:est survenue|s'est produite)|(?:le|notre) (?:serveur|service|site) (?:est (?:en (?:cours de )?maintenance|indisponible|surcharge)|ne repond pas)|(?:la|cette) page (?:n'a pas pu|ne peut pas) etre",
         r"(?:se ha producido|ha ocurrido) un error|(?:el|nuestro) (?:servidor|servicio|sitio) (?:no (?:responde|esta disponible)|esta en mantenimiento)|(?:la|esta) pagina no (?:se puede|se pudo|esta disponible)",
-        r"(?:系统|网络|未知|内部)错误(?=[，。；！\s]|$)|请稍[后候]再试|(?:システム|サーハ?゛?バ?ー|予期しない|不明な|内部)エラー(?:か?゛?が?発生|て?゛?で?す)|しは?゛?ば?らくしてから",
+        r"(?:系统|网络|未知|内部)错误(?=[，.;!\s]|$)|请稍[后候]再试|(?:システム|サーハ?゛?バ?ー|予期しない|不明な|内部)エラー(?:か?゛?が?発生|て?゛?で?す)|しは?゛?ば?らくしてから",
         r"(?:http )?error \d{3}\b|status \d{3}\.|[45]\d\d (?:bad gateway|not found|internal server error|forbidden|service unavailable|gateway time-?out|unauthorized|bad request)",
         r"internal server error *(?=\n|$|[.<])",
         r"(?:the )?service (?:is )?(?:temporarily |currently )?(?:unavailable|not available) *(?=[.!<\n]|$)",
@@ -128,13 +128,11 @@ STARTS = {
         r"此处为示例|这里是填充|此处为占位|ここに(?:サンプル|本文|文章|テキスト)",
     ],
 }
-#: Phrases that count wherever they stand, outside quotes, and the lines of a web page's navigation.
-ANYWHERE = [
-    rf"(?=[,pnh])(?:, |\bplease |\bneed to |\bhave to ){_SWITCH} {_SCRIPT}",
-    r"(?=[bpn])(?:because (?:script execution|javascript|scripting) is (?:blocked|disabled|off)|page works only with script|not possible without js\b)",
-    r"javascript ?を有効に(?:して|する)|スクリ[プフ]゚?トの実行か?゛?が?必要|[タダ]゙?ミーテキスト[でて]|浏览器已?(?:禁用|不支持)|示例文字|填充文本|错误\d{3}：|页面(?:不存在|未找到)。",
-    r"(?:^|\n)[ \t]*+(?:\p{L}++(?: \| \p{L}++){2,3}|< ?\p{L}++ \| \p{L}++ ?>|back to results|\(c\) document service)[ \t]*+(?=\n|$)",
-]
+#: Phrases that count wherever they stand, outside quotes: those with a script in them, and others.
+ANYWHERE_SCRIPT = rf"(?=[,pnhb])(?:(?:, |\bplease |\bneed to |\bhave to ){_SWITCH} {_SCRIPT}|because (?:script execution|javascript|scripting) is (?:blocked|disabled|off)|page works only with script|not possible without js\b)"
+ANYWHERE = r"(?:javascript ?を有効に(?:して|する)|スクリ[プフ]゚?トの実行か?゛?が?必要|[タダ]゙?ミーテキスト[でて]|浏览器已?(?:禁用|不支持)|示例文字|填充文本|错误\d{3}:|页面(?:不存在|未找到)。)"
+#: Lines of a web page's navigation.
+NAVIGATION = r"(?:\p{L}++(?: \| \p{L}++){2,3}|< ?\p{L}++ \| \p{L}++ ?>|back to results|\(c\) document service)[ \t]*+(?=\n|$)"
 _ACCENTS = ("áàâäãéèêëíìîïóòôöúùûüçñ’", "aaaaaeeeeiiiioooouuuucn'")
 _CODE = r"(?s)```.*?```|<pre\b.*?</pre>|<code\b.*?</code>"
 _QUOTED = r"\"[^\"\n]++\"|“[^”\n]++”|「[^」\n]++」|(?<!\p{L})'[^'\n]++'(?!\p{L})"
@@ -147,20 +145,38 @@ def _spaced(pattern: str) -> str:
 
 
 def _phrases() -> str:
-    begin = r"(?:(?:^|\n)(?:[ \t]*+(?:</?\w+>|\d{1,3}[.)]|\[\d{1,6}\]|\(\d{1,3}\)|[\-*•]))*+[ \t]*+(?:[a-z .]{1,24}[:\-] ?|ref\. )?|[.!?;:。！？；：…|>)\]#}】〕]\s*+)"
-    starts = "|".join(p for ps in STARTS.values() for p in ps)
-    return f"{begin}(?:{_spaced(starts)})|{_spaced('|'.join(ANYWHERE))}"
+    """Phrases behind the end of a sentence, a mark or a label, and lines of navigation, of a folded text.
+
+    One class of characters tells where a branch can begin; it has few parts, for a class of many single signs is slow.
+    """
+    starts = _spaced("|".join(p for ps in STARTS.values() for p in ps))
+    sentence = rf"[\n.!?;:|>)\]#}}]\s*+(?:[\-*•]\s*+)?(?:{starts})"
+    line = rf"\n[ \t]*+(?:(?:[a-z .]{{1,24}}\- ?|ref\. )(?:{starts})|{_spaced(NAVIGATION)})"
+    return rf"(?=[\n.!?;:|>)\]#}}jス-页])(?:{sentence}|{line}|{_spaced(ANYWHERE)})"
 
 
 def _notice(folded: Column) -> Column:
-    """The notice grammar where its noun occurs at all, as the grammar demands."""
-    return F.when(folded.rlike(_NOUN), folded.rlike(_spaced(NOTICE))).otherwise(False)
+    """The notice grammar and the phrases with a script, where a script is named at all, as both demand.
+
+    The words are looked for first without those that begin with "descript", which every text has and no noun of the grammar does.
+    """
+    bare = F.replace(folded, F.lit("descript"), F.lit(""))
+    named = reduce(or_, [bare.contains(w) for w in ("script", "js", "skript", "スクリ", "脚本")])
+    return F.when(named, F.when(folded.rlike(_NOUN), folded.rlike(_spaced(f"{NOTICE}|{ANYWHERE_SCRIPT}")))).otherwise(False)
+
+
+def _ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
 
 
 def _folded(text: Column) -> Column:
-    """Lower case without accents, invisible characters, soft hyphens and hyphenated line breaks."""
-    plain = F.translate(F.lower(text), _ACCENTS[0] + "\u00a0\u3000\u2009\u202f", _ACCENTS[1] + "    ")
-    return F.regexp_replace(plain, "[\u00ad\u200b-\u200f\u2060\ufeff\u0300-\u036f]|(?<=\\p{L})-\n(?=\\p{Ll})", "")
+    """A line break and the text in lower case, without accents, wide punctuation, invisible characters, soft hyphens and hyphenated line breaks."""
+
+    def fold(t: Column) -> Column:
+        plain = F.translate(t, _ACCENTS[0] + "\u00a0\u3000\u2009\u202f。！？；：…】〕", _ACCENTS[1] + "    .!?;:.]]")
+        return F.regexp_replace(plain, "[\u00ad\u200b-\u200f\u2060\ufeff\u0300-\u036f]|(?<=\\p{L})-\n(?=\\p{Ll})", "")
+
+    return F.transform(F.array(F.lower(F.concat(F.lit("\n"), text))), lambda t: F.when(_ascii(t) & ~t.contains("-\n"), t).otherwise(fold(t)))[0]
 
 
 def _content(text: Column) -> Column:
@@ -176,7 +192,7 @@ def _content(text: Column) -> Column:
 
 def _repaired(text: Column) -> Column:
     """UTF-8 that was read as Latin-1, read rightly, with marks for what isn't UTF-8; other texts as they are."""
-    wrong = text.rlike("[\u00c2-\u00f4][\u0080-\u00bf]") & ~text.rlike("[^\\x00-\u00ff]")
+    wrong = ~_ascii(text) & text.rlike("[\u00c2-\u00f4][\u0080-\u00bf]") & ~text.rlike("[^\\x00-\u00ff]")
     return F.when(wrong, F.make_valid_utf8(F.encode(F.when(wrong, text), "ISO-8859-1").cast("string"))).otherwise(text)
 
 
