@@ -22,26 +22,34 @@ def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def major_allele(alleles: Column, symbols: tuple = ALLELES) -> Column:
-    """The most frequent symbol; on a tie the one that occurs first. The gap competes like any other."""
+def major_allele(alleles: Column) -> Column:
+    """The most frequent symbol, whatever the symbols are; on a tie the one that occurs first. The gap competes like any other."""
     def most(a: Column) -> Column:
-        def count(symbol: str) -> Column:
-            return F.size(F.filter(a, lambda x: x == F.lit(symbol)))
-
-        seen = F.array(*[F.struct(count(s).alias("n"), (-F.array_position(a, F.lit(s))).alias("at"), F.lit(s).alias("s")) for s in symbols])
-        return F.array_max(F.filter(seen, lambda t: t["n"] > 0))["s"]
+        seen = F.transform(F.array_distinct(a), lambda s: F.struct(F.size(F.filter(a, lambda x: x == s)).alias("n"), (-F.array_position(a, s)).alias("at"), s.alias("s")))
+        return F.array_max(seen)["s"]
 
     return _bind(alleles, most)
 
 
-def major_indicator(alleles: Column, symbols: tuple = ALLELES) -> Column:
+def major_indicator(alleles: Column) -> Column:
     """1 where the major allele stands."""
     def mark(a: Column) -> Column:
-        return _bind(major_allele(a, symbols), lambda m: F.transform(a, lambda x: (x == m).cast("tinyint")))
+        return _bind(major_allele(a), lambda m: F.transform(a, lambda x: (x == m).cast("tinyint")))
 
     return _bind(alleles, mark)
 
 
+def one_symbol_each(alleles: Column) -> Column:
+    """The alleles, or an error where one of them is missing or isn't one character."""
+    bad = F.exists(alleles, lambda a: F.coalesce(F.length(a) != 1, F.lit(True)))
+    return F.when(bad, F.raise_error(F.concat(F.lit("alleles that aren't one symbol: "), F.substring(F.to_json(alleles), 1, 80)))).otherwise(alleles)
+
+
+def numeric_codes(values: Column) -> Column:
+    """Numbers from 0 to 255 as codes; others, also null and NaN, are an error."""
+    return F.transform(values, lambda v: F.when((v >= 0) & (v <= 255) & (v == F.floor(v)), v.cast("smallint")).otherwise(F.raise_error(F.concat(F.lit("not a code from 0 to 255: "), F.coalesce(v.cast("string"), F.lit("null"))))))
+
+
 def is_binary(x: Column) -> Column:
     return F.forall(x, lambda v: v.isin(0, 1))
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociloom.config import GenomeConfig
-from lociloom.functions.distance import gene_distance, gwes_class, ld_flag, linear_distance, snp_distance
+from lociloom.functions.distance import gene_distance, gwes_class, highorder_class, ld_flag, linear_distance, snp_distance
 from lociloom.operators.ranks import quantiles
 from lociloom.scratch import Scratch
 
@@ -112,3 +112,16 @@ def run_gwes_single(pairs: DataFrame, length: int, k: float = 1, ld: int = 1) ->
     far = a.filter("LD = 0")
     t = 0.0 if k < -1 else iqr_threshold(far, min(max(int(k), 1), 3)) if k >= 1 else float(k)
     return far.filter(F.col("v") >= t), t
+
+
+def by_chromosome(pairs: DataFrame, g: GenomeConfig = GenomeConfig(), places: DataFrame | None = None) -> DataFrame:
+    """Scored pairs with a positive distance and the chromosome of the comparison with subgroups; for the tables of both sides alike."""
+    a = annotate(standard_columns(pairs), g, places).drop("chrom")
+    return a.withColumn("chrom", highorder_class(F.col("locus1"), F.col("locus2"), F.col("geno_dis"), g)).filter("chrom is not null")
+
+
+def gene_pair_chromosome(pairs: DataFrame, places: DataFrame, g: GenomeConfig = GenomeConfig()) -> DataFrame:
+    """Pairs of two genes with the chromosome on which both have their middle, null where they differ or one has no place."""
+    side = lambda n: places.select(F.col("locus_id").alias(f"__l{n}"), F.when(F.col("mid") <= g.chr1_len, "chr1").when(F.col("mid").isNotNull(), "chr2").alias(f"__c{n}"))
+    j = pairs.filter((F.col("locus1") > g.total) & (F.col("locus2") > g.total)).join(side(1), F.col("locus1") == F.col("__l1"), "left").join(side(2), F.col("locus2") == F.col("__l2"), "left")
+    return j.select(*pairs.columns, F.when(F.col("__c1") == F.col("__c2"), F.col("__c1")).alias("gene_chrom"))

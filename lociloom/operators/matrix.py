@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lociloom.functions import encode as E
 
@@ -21,9 +22,23 @@ def to_long(matrix: DataFrame, values: str = "x") -> DataFrame:
     return matrix.select("locus", "row_pos", F.posexplode(values).alias("sample_pos", values))
 
 
+def is_numeric(matrix: DataFrame, column: str = "alleles") -> bool:
+    """Whether the matrix holds numbers instead of letters."""
+    return not isinstance(matrix.schema[column].dataType.elementType, T.StringType)
+
+
 def binarise(matrix: DataFrame, alleles: str = "alleles") -> DataFrame:
-    """(locus, row_pos, x): 1 where the major allele stands."""
-    return matrix.select("locus", "row_pos", E.major_indicator(F.col(alleles)).alias("x"))
+    """(locus, row_pos, x): 1 where the major allele stands.
+
+    Letters must be one symbol each, of any alphabet. Numbers that are all 0 or 1 keep their own coding, in which 1 need not be major;
+    other numbers are recoded by their major value.
+    """
+    a = F.col(alleles)
+    if is_numeric(matrix, alleles):
+        if matrix.filter(~E.is_binary(a)).isEmpty():
+            return matrix.select("locus", "row_pos", a.cast("array<tinyint>").alias("x"))
+        return matrix.select("locus", "row_pos", E.major_indicator(E.numeric_codes(a)).alias("x"))
+    return matrix.select("locus", "row_pos", E.major_indicator(E.one_symbol_each(a)).alias("x"))
 
 
 def minor_filter(binary: DataFrame, maf: float = 0.02, min_mac: int = 5, one_sided: bool = False) -> DataFrame:
@@ -69,6 +84,3 @@ def entropy_bound(rows: DataFrame, threshold: float, slack: float = 1e-6) -> Dat
 
     return rows.filter(entropy(F.col("dp") / F.col("total")) >= threshold - slack)
 
-
-def valid_column(condition: Column, message: str) -> Column:
-    return F.when(condition, True).otherwise(F.raise_error(F.lit(message)))

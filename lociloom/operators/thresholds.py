@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lociloom.config import HighOrderConfig
 from lociloom.operators.gwes import kde_peak, quartiles
 from lociloom.operators.ranks import positions, quantiles
+from lociloom.scratch import Scratch
 
 
 def finite(c: str) -> Column:
@@ -193,6 +194,7 @@ def select_auto(df: DataFrame, group: str, cfg: HighOrderConfig) -> Selection:
         require_tails(df, group, cfg)
         t = stable(bootstrap_tails(df, group, cfg), group, cfg).withColumn("threshold_method", F.lit("quantile_bootstrap"))
         return Selection(annotate_stability(df, t, group, cfg, inclusive=True), t)
+    require_spread(df, group)
     iqr = stable(bootstrap_fences(df, group, cfg), group, cfg)
     ends = extremes(df, group)
     if few := [r[0] for r in ends.filter(F.col("n") < cfg.min_rows).select(group).collect()]:
@@ -217,6 +219,27 @@ def select_auto(df: DataFrame, group: str, cfg: HighOrderConfig) -> Selection:
     return Selection(rows, t)
 
 
+def require_spread(df: DataFrame, group: str, column: str = "diff") -> None:
+    """An error if the middle half of a group's differences, a chromosome's, is one value: its fences would mean nothing."""
+    rows = df.filter(finite(column) & F.col(group).isNotNull()).select(group, column)
+    at = positions(rows, [group], [column], "__at", "__n")
+    inner = at.filter((F.col("__at") >= F.floor(0.25 * (F.col("__n") - 1))) & (F.col("__at") <= F.ceil(0.75 * (F.col("__n") - 1)))).groupBy(group).agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
+    if flat := [r[0] for r in inner.filter("lo = hi").select(group).limit(10).collect()]:
+        raise ValueError(f"no spread of the differences: {flat}")
+
+
+def changes(df: DataFrame, outlier: str = "iqr", k: float = 2, margin: float = 0.1, fixed: tuple[float, float] | None = None) -> tuple[DataFrame, tuple[float, float]]:
+    """(rows with diff and direction, (upper, lower)) from v_h and v_f: fixed thresholds, fences of k times 1.5 IQR, or around the density's peak.
+
+    direction is strengthened above upper, weakened below lower, else null; a threshold that isn't finite selects nothing.
+    """
+    num = lambda c: F.expr(f"try_cast({c} as double)")
+    rows = Scratch(df.sparkSession, "changes").save(df.withColumn("diff", num("v_h") - num("v_f")), "rows")
+    up, lo = fixed if fixed is not None else kde_difference(rows, margin=margin) if outlier == "kde" else plain_fences(rows, "diff", k, k, 0.0)
+    way = F.when(finite("diff") & F.lit(math.isfinite(up)) & (F.col("diff") > up), "strengthened").when(finite("diff") & F.lit(math.isfinite(lo)) & (F.col("diff") < lo), "weakened")
+    return rows.withColumn("direction", way), (float(up), float(lo))
+
+
 def kde_difference(df: DataFrame, column: str = "diff", margin: float = 0.15, two_sided: bool = False) -> tuple[float, float]:
     """(upper, lower) around density peaks: margin is 1.5 IQR kept within [margin, 0.55]; two_sided takes a peak on either side of the median."""
     def width(x: DataFrame) -> float:

@@ -131,11 +131,11 @@ def highorder_pipeline(spark: SparkSession, d: str) -> DataFrame:
 
 
 def highorder_batch(spark: SparkSession, d: str) -> DataFrame:
-    """All backgrounds that the matrix has, in both states, at default settings."""
+    """All backgrounds in both states, at default settings."""
     s = Scratch(spark, "batch")
     m = s.save(snp(spark, d), "snp")
-    loci = [r.locus for r in shard(table(spark, d, "backgrounds")).join(m.select("locus"), "locus", "left_semi").orderBy("ordinal").collect()]  # a list of chosen loci is small
-    return H.run_backgrounds(m, loci, VpConfig(), HighOrderConfig(), f"{s.root}/runs", s)
+    loci = [r.locus for r in shard(table(spark, d, "backgrounds")).orderBy("ordinal").collect()]  # a list of chosen loci is small
+    return H.run_backgrounds(m, loci, VpConfig(), HighOrderConfig(), f"{s.root}/runs", s.save(gene_table(spark, d, m), "genes"), parallel=8)
 
 
 QUERIES = {q.__name__: q for q in (chromosome_class_highorder, diff_iqr_filter, diff_histogram, smoothed_histogram, bimodality, bootstrap_iqr_thresholds, tail_quantile_bootstrap, directional_combine, stability_annotate, select_auto, kde_difference, first_known_scores, vp_pipeline, vp_restored, highorder_pipeline, highorder_batch)}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociloom.operators.matrix import with_row_position
+from lociloom.sources.sinks import exists
 
 
 def header(spark: SparkSession, path: str) -> list[str]:
@@ -58,9 +59,10 @@ def long_matrix(calls: DataFrame, samples: DataFrame, missing: str = "-") -> Dat
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """(locus1, locus2, v) from a headerless TSV, or from Parquet beside it."""
-    if path.endswith(".parquet"):
-        return spark.read.parquet(path).select("locus1", "locus2", "v")
+    """(locus1, locus2, v) from Parquet, else from a headerless TSV or from the Parquet of the same name with .parquet added, if it is there."""
+    for known in (path, f"{path}.parquet"):
+        if known.endswith(".parquet") and exists(spark, known):
+            return spark.read.parquet(known).select("locus1", "locus2", "v")
     return spark.read.schema("locus1 long, locus2 long, v float").csv(path, sep="\t")
 
 

@@ -22,6 +22,22 @@ def test_tie_goes_to_the_first_occurrence(spark):
     assert got == [[1, 0, 1, 0], [1, 0, 0, 1], [1, 0, 1, 0], [1, 1, 0, 0]]
 
 
+def test_numbers_and_other_letters(spark):
+    """Numbers 0 and 1 keep their coding, others are recoded; letters of any alphabet have a major one."""
+    nums = lambda rows: spark.createDataFrame([(i, i, r) for i, r in enumerate(rows)], "locus long, row_pos long, alleles array<int>")
+    got = lambda m: [r.x for r in binarise(m).orderBy("locus").collect()]
+    assert got(nums([[0, 0, 0, 1], [1, 1, 0, 0]])) == [[0, 0, 0, 1], [1, 1, 0, 0]]
+    assert got(nums([[0, 0, 0, 1], [7, 2, 7, 255]])) == [[1, 1, 1, 0], [1, 0, 1, 0]]
+    assert got(matrix(spark, ["GGNN", "XYYX", "ZZZZ"])) == [[1, 1, 0, 0], [1, 0, 0, 1], [1, 1, 1, 1]]
+    for bad in ([[0, 256]], [[-1, 0]], [[None, 2]]):
+        with pytest.raises(Exception, match="not a code"):
+            binarise(nums(bad)).collect()
+    with pytest.raises(Exception, match="one symbol"):
+        binarise(spark.createDataFrame([(1, 1, ["A", "AT"])], "locus long, row_pos long, alleles array<string>")).collect()
+    sim = wt.similarity(nums([[3, 3, 1], [0, 0, 0]])).orderBy("s1", "s2").collect()
+    assert [r.same for r in sim] == [2, 1, 1]
+
+
 def test_encode_rejects_other_symbols(spark):
     assert matrix(spark, ["ATCG-"]).select(E.encode_alleles(F.col("alleles")).alias("c")).first().c == [0, 1, 2, 3, 4]
     with pytest.raises(Exception, match="unknown allele: N"):
@@ -62,6 +78,28 @@ def test_complete_linkage_keeps_diameters(spark):
             assert got[i] != got[j] or d[i, j] <= 0.9 + 1e-9
 
 
+def test_complete_linkage_equals_merging_the_nearest_pair(spark):
+    rng = np.random.default_rng(11)
+    n = 24
+    x = rng.random((n, 3))
+    s = 1 / (1 + np.linalg.norm(x[:, None] - x[None], axis=2))
+    d = np.round(np.sqrt(((s[:, None] - s[None]) ** 2).sum(-1)), 9)
+    label, t = list(range(n)), 0.6
+    while True:
+        near = sorted((max(d[i, j] for i in range(n) for j in range(n) if label[i] == a and label[j] == b), a, b) for a in set(label) for b in set(label) if a < b)
+        if not near or near[0][0] > t:
+            break
+        label = [near[0][1] if c == near[0][2] else c for c in label]
+    rows = [(i, j, float(s[i, j])) for i in range(n) for j in range(i + 1, n)]
+    out = wt.hcc(spark.createDataFrame(rows, "s1 int, s2 int, sim double"), n, t)
+    assert [r.cluster for r in out.orderBy("sample").collect()] == label and 1 < len(set(label)) < n
+    index = {r.sample: r.label for r in wt.cluster_index(out).collect()}
+    order = sorted(set(label), reverse=True)
+    assert index == {i: order.index(c) for i, c in enumerate(label)}
+    tiles = wt.profile_distances(spark.createDataFrame(rows, "s1 int, s2 int, sim double"), n, tile=5).collect()
+    assert len(tiles) == n * (n - 1) // 2 and all(abs(r.d - d[r.a, r.b]) < 1e-6 for r in tiles)
+
+
 def test_sizes_of_samples():
     assert wt.ess_minima(1550, "hybrid") == (78, 31)
     assert wt.ess_minima(None) == (40, 25)
@@ -106,7 +144,7 @@ def test_long_matrix_fills_gaps(spark):
 def test_batch_resumes_and_isolates_failures(spark, tmp_path):
     calls = []
 
-    def run(locus, state):
+    def run(locus, state, scratch):
         calls.append((locus, state))
         if locus == 2:
             raise RuntimeError("no such background")

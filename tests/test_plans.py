@@ -2,10 +2,14 @@ import numpy as np
 import pytest
 
 from lociloom.config import HighOrderConfig, VpConfig
-from lociloom.operators import gwes, stability, thresholds
-from lociloom.plans.highorder import compare, restore_selected, run_backgrounds, split_by_background
-from lociloom.plans.vp import restore_physical, run_vp
+from lociloom.operators import gwes, patterns, ranks, stability, thresholds
+from lociloom.operators.pairs import all_pairs
+from lociloom.plans.files import analysis_from_files, pairs_from_files
+from lociloom.plans.highorder import PAIRS, changed_pairs, compare, restore_selected, run_backgrounds, split_by_background
+from lociloom.plans.vp import VpResult, restore_physical, run_vp
 from lociloom.scratch import Scratch
+from lociloom.sources.readers import read_pairs
+from lociloom.sources.sinks import delete
 from lociloom.streaming.backgrounds import run_stream
 from pyspark.sql import functions as F
 
@@ -50,11 +54,119 @@ def test_all_backgrounds_in_both_states(spark, matrix, tmp_path):
     s = Scratch(spark, "t")
     few = matrix.withColumn("alleles", F.when(F.col("locus") == 1000, F.expr("transform(sequence(1, 60), i -> if(i <= 50, 'A', 'T'))")).otherwise(F.col("alleles")))
     ho = HighOrderConfig(method="iqr", bootstrap=20, sample_size=1000, min_rows=1, k_upper=0, k_lower=0)
-    out = run_backgrounds(few, [1000, 121_000], VpConfig(k=0.1, threshold=0.1, weight_model="NW"), ho, f"file://{tmp_path}/runs", s).collect()
+    folder, calls = f"file://{tmp_path}/runs", []
+    loci = [1000, 121_000, 7]
+
+    def analyse(m, cfg, scratch, **more):
+        calls.append("subgroup" if "least_ess" in more else "full")
+        return run_vp(m, cfg, scratch, **more)
+
+    def compare_with(*a):
+        calls.append("comparison")
+        return changed_pairs(*a)
+
+    run = lambda: run_backgrounds(few, loci, VpConfig(k=0.1, threshold=0.1, weight_model="NW"), ho, folder, parallel=3, final_only=False, analyse=analyse, compare_with=compare_with).collect()
+    out = run()
     status = {(r.background, r.state): r.status for r in out}
-    assert status == {(1000, 1): "done", (1000, 0): "too_few", (121_000, 1): "done", (121_000, 0): "done"}
+    assert status == {(1000, 1): "done", (1000, 0): "too_few", (121_000, 1): "done", (121_000, 0): "done", (7, 1): "failed", (7, 0): "failed"}
     assert {(r.background, r.state) for r in out if r.locus1 is not None} == {(1000, 1), (121_000, 1), (121_000, 0)}
     assert all("10 samples" in r.message for r in out if r.background == 1000)
+    assert {c: calls.count(c) for c in set(calls)} == {"full": 1, "subgroup": 4, "comparison": 3}
+    assert spark.read.parquet(f"{folder}/121000/0/comparison").count() >= spark.read.parquet(f"{folder}/121000/0/filtered_pairs").count() > 0
+    again = run()
+    assert len(calls) == 8 and {(r.background, r.locus1, r.locus2) for r in again} == {(r.background, r.locus1, r.locus2) for r in out}
+
+
+def test_one_full_run_six_subgroups_six_comparisons(spark, tmp_path):
+    """Four letters' rows, three backgrounds: a second call runs nothing, a third one with a mark gone runs that state alone."""
+    m = spark.createDataFrame([(10, 0, list("AACC")), (11, 1, list("ACCA")), (12, 2, list("CCTT")), (100, 3, list("GGAA"))], "locus long, row_pos long, alleles array<string>")
+    pairs = spark.createDataFrame([(10, 100, 0.5)], "locus1 long, locus2 long, v double")
+    calls = {"full": 0, "subgroup": 0, "comparison": 0}
+
+    def analyse(matrix, cfg, scratch, **more):
+        calls["subgroup" if "least_ess" in more else "full"] += 1
+        return VpResult(pairs, pairs, matrix.select("locus"), matrix.select("locus"), pairs, 0.3, 0.3, {"loci": 4})
+
+    def compare_with(full, high, cfg, scratch, places, folder):
+        calls["comparison"] += 1
+        assert full.counts == {"loci": 4} and full.pairs.count() == 1
+        return spark.createDataFrame([(10, 100, 0.1, 0.5, 7, 0.4, "chr1", "strengthened")], PAIRS)
+
+    run = lambda: run_backgrounds(m, [10, 11, 12], VpConfig(), HighOrderConfig(), f"file://{tmp_path}/b", analyse=analyse, compare_with=compare_with)
+    assert run().count() == 6 and calls == {"full": 1, "subgroup": 6, "comparison": 6}
+    assert run().filter("status = 'skipped' and locus1 = 10").count() == 6 and calls == {"full": 1, "subgroup": 6, "comparison": 6}
+    delete(spark, f"file://{tmp_path}/b/12/0/marker.json")
+    assert run().count() == 6 and calls == {"full": 1, "subgroup": 7, "comparison": 7}
+
+
+def test_files_to_files(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    base = rng.choice(list("AT"), (12, 40))
+    base[1::2] = np.where(rng.random((6, 40)) < 0.1, base[1::2], base[::2])
+    (tmp_path / "m.tsv").write_text("\n".join(["\t".join(["locus", *[f"s{i}" for i in range(40)]]), *["\t".join([str(1000 + 90_000 * i), *r]) for i, r in enumerate(base)]]) + "\n")
+    (tmp_path / "w.csv").write_text("sample,wet\n" + "".join(f"s{i},{1 + i % 2}\n" for i in range(40)))
+    m, w = str(tmp_path / "m.tsv"), str(tmp_path / "w.csv")
+    whole = pairs_from_files(spark, m, w, 0.2, str(tmp_path / "p.parquet")).count()
+    assert whole > 0 and read_pairs(spark, str(tmp_path / "p")).count() == whole  # the Parquet beside the name
+    assert sum(pairs_from_files(spark, m, w, 0.2, places=p).count() for p in ((0, 5), (5, 12))) == whole
+    r = analysis_from_files(spark, m, str(tmp_path / "out"), VpConfig(k=0.2, threshold=0.2), w)
+    assert r.counts["loci"] == 12 and r.counts["samples"] == 40 and r.counts["final_pairs"] == spark.read.parquet(str(tmp_path / "out/final_pairs")).count() > 0
+    assert spark.read.parquet(str(tmp_path / "out/restored_pairs")).count() >= r.counts["final_pairs"]
+
+
+def test_genes_are_annotated_by_their_places(spark):
+    total = 5_165_770
+    places = spark.createDataFrame([(total + 5, 150, 100, 200, None), (total + 6, 450, 400, 500, None), (total + 7, 4_000_050, 4_000_000, 4_000_100, None)], "locus_id long, mid long, start long, end long, contig string")
+    pairs = spark.createDataFrame([(90, total + 5, 0.5), (total + 5, total + 6, 0.6), (total + 5, total + 7, 0.7), (10, 20_000, 0.4), (5, total + 9, 0.9)], "locus1 long, locus2 long, v double")
+    got = {(r.locus1, r.locus2): (r.geno_dis, r.chrom, r.LD) for r in gwes.annotate(pairs, places=places).collect()}
+    assert got == {(90, total + 5): (10, "chr1", 1), (total + 5, total + 6): (200, "chr1", 1), (total + 5, total + 7): (-1, "chr1", 0), (10, 20_000): (19_990, "chr1", 0), (5, total + 9): (-1, "chr1", 0)}
+    assert {r.locus2: r.gene_chrom for r in gwes.gene_pair_chromosome(pairs, places).collect()} == {total + 6: "chr1", total + 7: None}
+    assert gwes.annotate(pairs).filter("geno_dis = -2").count() == 4
+    assert {r.locus1 for r in gwes.by_chromosome(pairs.toDF("a", "b", "c"), places=places).collect()} == {90, 10}
+
+
+def test_outliers_with_resampling_and_another_scorer(spark):
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 2, (40, 50))
+    x[1] = x[0]
+    df = spark.createDataFrame([(10_000 * i + 1, i, [int(v) for v in r]) for i, r in enumerate(x)], "locus long, row_pos long, x array<tinyint>")
+    w = spark.range(50).select(F.col("id").cast("int").alias("sample_pos"), F.lit(1.0).alias("weight"))
+    scored = all_pairs(df, w, 0.0)
+    kept, tried, t = stability.gwes_bootstrap(scored, df, w, 50, replicates=20)
+    assert (1, 10_001) in {(r.locus1, r.locus2) for r in kept.collect()} and tried.count() >= kept.count() and t < 1
+    never = lambda p, *a: p.select("locus1", "locus2", F.lit(False).alias("stable"))
+    assert stability.gwes_bootstrap(scored, df, w, 50, scorer=never)[0].count() == 0
+
+
+def test_changes_from_scores(spark):
+    df = spark.createDataFrame([(str(0.5 + i / 1000), "0.5", 1) for i in range(-50, 51)] + [("0.9", "0.1", 1), ("0.1", "0.9", 1), ("x", "0.1", 1)], "v_h string, v_f string, geno_dis long")
+    rows, (up, lo) = thresholds.changes(df)
+    assert [r.direction for r in rows.orderBy("diff").collect() if r.direction] == ["weakened", "strengthened"] and lo < -0.1 < 0.1 < up
+    assert thresholds.changes(df, fixed=(float("inf"), -0.04))[0].filter("direction = 'strengthened'").count() == 0
+    assert thresholds.changes(df, outlier="kde")[0].filter("direction is not null").count() >= 2
+    flat = spark.createDataFrame([(i, i + 7000, 0.2, "chr1") for i in range(30)], "locus1 long, locus2 long, diff double, chrom string")
+    with pytest.raises(ValueError, match="no spread"):
+        thresholds.require_spread(flat, "chrom")
+
+
+def test_positions_of_a_hot_order_column_and_quantiles(spark):
+    rows = [(1, 5, i, float(v)) for i, v in enumerate(np.random.default_rng(1).permutation(3000))] + [(None, 5, 1, 0.5), (2, 9, 1, 0.1)]
+    df = spark.createDataFrame(rows, "g long, locus1 long, locus2 long, x double")
+    got = ranks.positions(df, ["g"], ["locus1", "locus2"], "at", "n").collect()
+    assert all(r.at == (r.locus2 if r.g == 1 else 0) and r.n == (3000 if r.g == 1 else 1) for r in got)
+    v = np.array([r[3] for r in rows])
+    for cells in (2, 1024):
+        assert ranks.quantiles(df, "x", (0.0, 0.25, 0.5, 0.99, 1.0), cells) == pytest.approx(list(np.quantile(v, (0.0, 0.25, 0.5, 0.99, 1.0))))
+    assert ranks.quantiles(df.limit(0), "x", (0.5,)) is None
+
+
+def test_salted_restoration_of_a_hot_pattern(spark, monkeypatch):
+    parts = ranks.bounded_parts
+    monkeypatch.setattr(patterns, "bounded_parts", lambda m, key: parts(m, key, rows_per_task=7, hot_keys=100))
+    rows = [(i, i, 0, 60) for i in range(60)] + [(100 + i, 100 + i, 100, 3) for i in range(3)]
+    m = spark.createDataFrame([(*r, 0.5) for r in rows], "locus long, row_position long, representative long, pattern_size long, within_pattern_v double")
+    pairs = spark.createDataFrame([(0, 100, 0.5)], "locus1 long, locus2 long, v double")
+    assert patterns.restore_between(pairs, m).distinct().count() == 180 and patterns.restore_within(m, 0.4).distinct().count() == 60 * 59 // 2 + 3
 
 
 def comparison(spark, bimodal):
