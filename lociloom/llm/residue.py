@@ -176,7 +176,8 @@ def _folded(text: Column) -> Column:
         plain = F.translate(t, _ACCENTS[0] + "\u00a0\u3000\u2009\u202f。！？；：…】〕", _ACCENTS[1] + "    .!?;:.]]")
         return F.regexp_replace(plain, "[\u00ad\u200b-\u200f\u2060\ufeff\u0300-\u036f]|(?<=\\p{L})-\n(?=\\p{Ll})", "")
 
-    return F.transform(F.array(F.lower(F.concat(F.lit("\n"), text))), lambda t: F.when(_ascii(t) & ~t.contains("-\n"), t).otherwise(fold(t)))[0]
+    changes = lambda t: t.contains("-\n") | t.rlike(f"[\u00a0\u00ad{_ACCENTS[0][:-1]}\u0300-\u036f\u2009-\uffff]")
+    return F.transform(F.array(F.lower(F.concat(F.lit("\n"), text))), lambda t: F.when(changes(t), fold(t)).otherwise(t))[0]
 
 
 def _content(text: Column) -> Column:
