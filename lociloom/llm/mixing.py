@@ -109,7 +109,7 @@ class Mix:
 
     def documents(self) -> DataFrame:
         """(doc_id, source, n_tokens, copies) of each document in the mix."""
-        rows = self.sized.join(self.plan, ["source", "n_tokens"])
+        rows = self.sized.join(self.plan.hint("merge"), ["source", "n_tokens"])  # a row per distinct length, which no bound limits
         bits = 2.0**53
         u = (F.pmod(F.xxhash64("doc_id", F.lit(self.seed)), F.lit(int(bits))) + F.lit(0.5)) / F.lit(bits)
         chosen = pick(rows.withColumn("u", u), self.plan, ["source", "n_tokens"], "extra", "n", "u", self.scratch).select("uid", F.lit(1).alias("more"))

@@ -10,11 +10,13 @@ encode to themselves as a pair; ids of which all neighbours do are the ids of th
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import regex
 import tiktoken
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,9 +40,9 @@ class Bpe:
 
     @classmethod
     def load(cls, path: str) -> "Bpe":
-        """One per Python worker."""
+        """One per Python worker, from the path or, where an executor lacks it, from the file that the driver sent."""
         if path not in _LOADED:
-            _LOADED[path] = cls(path)
+            _LOADED[path] = cls(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
         return _LOADED[path]
 
     def encode(self, text: str) -> list[int]:
@@ -134,6 +136,8 @@ def encode(df: DataFrame, text: str, keep: Sequence[str], vocabulary: str = VOCA
     Null and empty texts have no ids; blank texts are encoded as they are; strings of special tokens are ordinary text. Texts may be of any
     length. Rows are told apart by their place, so repeated or null ids of documents don't matter, nor do other columns.
     """
+    if os.path.exists(vocabulary):
+        df.sparkSession.sparkContext.addFile(vocabulary)
     name, kind = ("n_tokens", T.LongType()) if count_only else ("ids", T.ArrayType(T.IntegerType(), True))
     slim = df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keep)], F.col(text).cast("string").alias("body"))
     ks = [f"k{i}" for i in range(len(keep))]
