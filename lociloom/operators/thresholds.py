@@ -23,8 +23,8 @@ def finite(c: str) -> Column:
 
 
 def numbered(df: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """(group, value columns, n, at): dense position from 0 within the group, and the group's size."""
-    return positions(df, [group], order, "at", "n")
+    """(group, value columns, n, at): dense position from 0 within the group, and the group's size; written, so that its size is known to joins."""
+    return Scratch(df.sparkSession, "numbered").save(positions(df, [group], order, "at", "n"))
 
 
 def draw(replicate: Column, i: Column, salt: str = "") -> Column:
@@ -35,15 +35,18 @@ def draw(replicate: Column, i: Column, salt: str = "") -> Column:
 def resample(rows: DataFrame, group: str, value: str, replicates: int, sample_size: int, salt: str = "b") -> DataFrame:
     """(group, replicate, value): draws with replacement. rows needs at and n of numbered().
 
-    Only the draws' addresses are made, replicates * min(n, sample_size) per group, and joined to the rows by position.
+    Only the draws' addresses are made, replicates * min(n, sample_size) per group, spread over all tasks, and meet the rows by position in a
+    shuffle. The values of a replicate, at most sample_size, come together for what is computed of it.
     """
+    tasks = 4 * rows.sparkSession.sparkContext.defaultParallelism
     sizes = rows.groupBy(group).agg(F.max("n").alias("n"))
-    reps = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    take = F.least(F.col("n"), F.lit(sample_size)).cast("int")
-    draws = reps.withColumn("i", F.explode(F.sequence(F.lit(0), take - 1))).select(F.col(group).alias("__g"), "replicate", F.pmod(draw(F.col("replicate"), F.col("i"), salt), F.col("n")).alias("__at"))
-    # a row drawn often is sent once with its count
-    counted = draws.groupBy("__g", "replicate", "__at").agg(F.count(F.lit(1)).alias("times"))
-    return rows.join(counted, F.col(group).eqNullSafe(F.col("__g")) & (F.col("at") == F.col("__at"))).select(group, "replicate", value, "times")
+    reps = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).select(F.col(group).alias("__g"), "replicate", F.col("n").alias("__n"))
+    take = F.least(F.col("__n"), F.lit(sample_size)).cast("int")
+    addressed = reps.repartition(tasks, "__g", "replicate").withColumn("i", F.explode(F.sequence(F.lit(0), take - 1)))
+    draws = addressed.select("__g", "replicate", F.pmod(draw(F.col("replicate"), F.col("i"), salt), F.col("__n")).alias("__at"))
+    # the hint keeps Spark from broadcasting the draws, whose number it can't estimate
+    met = draws.join(rows.select(group, "at", value).hint("shuffle_hash"), F.col(group).eqNullSafe(F.col("__g")) & (F.col("at") == F.col("__at")))
+    return met.select(F.col("__g").alias(group), "replicate", value).repartition(tasks, group, "replicate")
 
 
 def fences(q1: Column, q3: Column, cfg: HighOrderConfig, anchored: bool = True) -> tuple[Column, Column]:
@@ -65,7 +68,7 @@ def bootstrap_fences(df: DataFrame, group: str, cfg: HighOrderConfig, column: st
     """(group, replicate, upper, lower): IQR fences of each resample."""
     rows = numbered(df.filter(finite(column) & F.col(group).isNotNull()).select(group, "locus1", "locus2", column), group, ["locus1", "locus2", column])
     drawn = resample(rows, group, column, cfg.bootstrap, cfg.sample_size)
-    q = drawn.groupBy(group, "replicate").agg(F.percentile(F.col(column), F.array(F.lit(0.25), F.lit(0.75)), F.col("times")).alias("q"))
+    q = drawn.groupBy(group, "replicate").agg(F.percentile(F.col(column), F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
     up, lo = fences(F.col("q")[0], F.col("q")[1], cfg)
     return q.select(group, "replicate", up.alias("upper"), lo.alias("lower"))
 
@@ -78,7 +81,7 @@ def bootstrap_tails(df: DataFrame, group: str, cfg: HighOrderConfig, column: str
     def tail(rows: DataFrame, q: float, name: str, salt: str) -> DataFrame:
         n = numbered(rows.filter(F.col(group).isNotNull()).select(group, "locus1", "locus2", column), group, ["locus1", "locus2", column])
         drawn = resample(n.filter(F.col("n") >= cfg.min_tail), group, column, cfg.bootstrap, cfg.sample_size, salt)
-        return drawn.groupBy(group, "replicate").agg(F.percentile(F.col(column), F.lit(q), F.col("times")).alias(name))
+        return drawn.groupBy(group, "replicate").agg(F.percentile(F.col(column), F.lit(q)).alias(name))
 
     ok = df.filter(finite(column))
     up, lo = tail(ok.filter(F.col(column) > 0), cfg.upper_q, "upper", "p"), tail(ok.filter(F.col(column) < 0), cfg.lower_q, "lower", "n")

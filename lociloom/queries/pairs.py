@@ -12,7 +12,7 @@ from lociloom.operators.matrix import binarise, marginals
 from lociloom.functions.encode import keep_samples
 from lociloom.plans.batch import shard
 from lociloom.plans.highorder import background_mask, split_by_background
-from lociloom.queries.fixtures import CALLS, EVENTS, PAIRS, STEPS, VECTORS, all_pairs_sql, annotated_sql, binary_sql, clean_pairs, distance_sql, event_matrix, gene_table, genes_sql, gwes_class_sql, score_sql, snp, step_weights, uniform, vector_matrix, weights
+from lociloom.queries.fixtures import CALLS, EVENTS, HIGH_CLASS, PAIRS, STEPS, VECTORS, all_pairs_sql, annotated_sql, binary_sql, clean_pairs, distance_sql, event_matrix, gene_table, genes_sql, gwes_class_sql, score_sql, snp, step_weights, uniform, vector_matrix, weights
 from lociloom.queries.tables import table
 from lociloom.scratch import Scratch
 
@@ -116,6 +116,25 @@ def gwes_bases_only(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("locus1", "locus2", F.round("v", 6).alias("v"), "geno_dis", F.col("LD").cast("int").alias("LD"))
 
 
+def gwes_by_chromosome(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs with a positive distance by the chromosome of comparisons, genes at their places."""
+    out = gwes.by_chromosome(clean_pairs(spark, d), places=_genes(spark, d))
+    return out.select("locus1", "locus2", F.round("v", 6).alias("v"), "geno_dis", "chrom")
+
+
+def gene_pair_chromosome(spark: SparkSession, d: str) -> DataFrame:
+    return gwes.gene_pair_chromosome(clean_pairs(spark, d).select("locus1", "locus2"), _genes(spark, d))
+
+
+def gwes_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """Outliers of the given matrix's pairs that last over 100 resamples of its samples."""
+    s = Scratch(spark, "gwesboot")
+    m = s.save(snp(spark, d), "snp")
+    x, w, genes = s.save(binarise(m), "x"), weights(spark, d), s.save(gene_table(spark, d, m), "genes")
+    _, tried, _ = stability.gwes_bootstrap(s.save(P.all_pairs(x, w, 0.1), "pairs"), x, w, w.count(), places=genes)
+    return tried.select("locus1", "locus2", F.round("v", 6).alias("v"), "geno_dis", "bootstrap_pass_count", F.round("bootstrap_v_mean", 6).alias("mean"), "stable")
+
+
 def gwes_single_chr(spark: SparkSession, d: str) -> DataFrame:
     a = Scratch(spark, "gwes1").save(clean_pairs(spark, d), "pairs")
     kept, _ = gwes.run_gwes_single(a, 5_165_770, 1, 5000)
@@ -146,6 +165,16 @@ def merge_pairs_full_outer(spark: SparkSession, d: str) -> DataFrame:
     return compare.merge_pairs(*_sides(spark, d)).select("locus1", "locus2", F.round("v1", 6).alias("v1"), F.round("v2", 6).alias("v2"), "geno_dis")
 
 
+def first_per_pair(spark: SparkSession, d: str) -> DataFrame:
+    """Where each unordered pair of df_merged occurs first, by background and piece."""
+    m = table(spark, d, "df_merged").filter(F.col("locus1").isNotNull() & F.col("locus2").isNotNull() & F.col("background").isNotNull() & F.col("batch_no").isNotNull())
+    return compare.first_per_pair(P.normalised(m.select("locus1", "locus2", "background", "batch_no")), ["background", "batch_no"])
+
+
+def loci_labels(spark: SparkSession, d: str) -> DataFrame:
+    return compare.loci_labels(clean_pairs(spark, d))
+
+
 def missing_pairs(spark: SparkSession, d: str) -> DataFrame:
     one, two = _sides(spark, d)
     return compare.missing_pairs(two, one)
@@ -214,7 +243,7 @@ def _resampled(spark: SparkSession, m: DataFrame, w: DataFrame, candidates: floa
     return b.select("locus1", "locus2", "bootstrap_pass_count", "bootstrap_valid_count", F.round("bootstrap_v_mean", 6).alias("mean"), F.round("bootstrap_v_std", 6).alias("std"), "stable")
 
 
-QUERIES = {q.__name__: q for q in (epistasis_pairs, epistasis_all, complete_comparison_all, pair_bootstrap_all, weighted_pairs, block_kernel_pairs, selected_pairs, score_survival, adaptive_threshold, adaptive_summary, snp_distance, gene_places, gene_distance, linear_circular_distance, chromosome_class_gwes, gwes_iqr_threshold, gwes_filter, gwes_bases_only, gwes_single_chr, gwes_kde_threshold, plot_classes, merge_pairs_full_outer, missing_pairs, complete_comparison, restore_between, restore_within, pair_bootstrap_stability)}
+QUERIES = {q.__name__: q for q in (epistasis_pairs, epistasis_all, complete_comparison_all, pair_bootstrap_all, weighted_pairs, block_kernel_pairs, selected_pairs, score_survival, adaptive_threshold, adaptive_summary, snp_distance, gene_places, gene_distance, linear_circular_distance, chromosome_class_gwes, gwes_iqr_threshold, gwes_filter, gwes_bases_only, gwes_by_chromosome, gene_pair_chromosome, gwes_bootstrap, first_per_pair, loci_labels, gwes_single_chr, gwes_kde_threshold, plot_classes, merge_pairs_full_outer, missing_pairs, complete_comparison, restore_between, restore_within, pair_bootstrap_stability)}
 
 _GE = f"{EVENTS}, {binary_sql('ge', 'gx')}"
 _SNPB = f"{CALLS}, {binary_sql('snp', 'sb')}"
@@ -254,15 +283,19 @@ def _completed_sql(snp: str, binary: str, weights: str, background: str) -> str:
         SELECT locus1, locus2, round(sf.v, 6) AS v_f, round(sh.v, 6) AS v_h, round(sh.v - sf.v, 6) AS diff FROM sf JOIN sh USING (locus1, locus2)"""
 
 
-def _resampled_sql(binary: str, weights: str, candidates: float, threshold: float) -> str:
-    return f"""{all_pairs_sql(binary, weights)}, c AS (SELECT locus1, locus2 FROM sc WHERE v >= {candidates}), ns AS (SELECT count(*) AS ns FROM {weights}),
-        bag AS (SELECT r, {_DRAW.format("'s:' || r || ':' || i")} % ns AS sample_pos, count(*) AS m FROM ns, range(100) a(r), range(ns) b(i) GROUP BY ALL),
+def _replicates_sql(binary: str, weights: str) -> str:
+    """CTE rv(locus1, locus2, r, v): scores of the pairs of c in 100 resamples of the samples."""
+    return f"""ns AS (SELECT count(*) AS ns FROM {weights}), bag AS (SELECT r, {_DRAW.format("'s:' || r || ':' || i")} % ns AS sample_pos, count(*) AS m FROM ns, range(100) a(r), range(ns) b(i) GROUP BY ALL),
         bw AS (SELECT r, sample_pos, m * weight AS m, sum(m * weight) OVER (PARTITION BY r) AS total FROM bag JOIN {weights} USING (sample_pos)),
         j AS (SELECT c.locus1, c.locus2, r, sum(a.x * b.x * m)::DOUBLE AS n11, sum(a.x * m)::DOUBLE AS dp_i, sum(b.x * m)::DOUBLE AS dp_j, any_value(total)::DOUBLE AS total
           FROM c JOIN {binary} a ON a.locus = c.locus1 JOIN {binary} b ON b.locus = c.locus2 AND b.sample_pos = a.sample_pos JOIN bw ON bw.sample_pos = a.sample_pos GROUP BY ALL),
-        v AS (SELECT locus1, locus2, coalesce(v, 0) AS v FROM ({score_sql('j')}))
+        rv AS (SELECT locus1, locus2, coalesce(v, 0) AS v FROM ({score_sql('j')}))"""
+
+
+def _resampled_sql(binary: str, weights: str, candidates: float, threshold: float) -> str:
+    return f"""{all_pairs_sql(binary, weights)}, c AS (SELECT locus1, locus2 FROM sc WHERE v >= {candidates}), {_replicates_sql(binary, weights)}
         SELECT locus1, locus2, count(*) FILTER (v >= {threshold}) AS bootstrap_pass_count, count(*) AS bootstrap_valid_count, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std,
-          count(*) FILTER (v >= {threshold}) / 100 >= 0.8 AS stable FROM v GROUP BY ALL"""
+          count(*) FILTER (v >= {threshold}) / 100 >= 0.8 AS stable FROM rv GROUP BY ALL"""
 
 
 ORACLES = {
@@ -287,6 +320,17 @@ ORACLES = {
     "gwes_filter": f"""WITH {_GENES}, an AS ({annotated_sql('fp')}), far AS (SELECT * FROM an WHERE (chrom = 'chr1' AND geno_dis > 5000) OR (chrom = 'chr2' AND geno_dis > 17500)), {_TH}
         SELECT locus1, locus2, round(v, 6) AS v, geno_dis, chrom, (geno_dis >= 0 AND geno_dis < 3000)::INT AS "LD" FROM an CROSS JOIN th
         WHERE v > t AND ((chrom = 'chr1' AND geno_dis > 5000) OR (chrom = 'chr2' AND geno_dis > 17500) OR geno_dis = -1)""",
+    "gwes_by_chromosome": f"WITH {_GENES}, an AS (SELECT * EXCLUDE (chrom) FROM ({annotated_sql('fp')})), hc AS (SELECT *, {HIGH_CLASS} AS chrom FROM an) SELECT locus1, locus2, round(v, 6) AS v, geno_dis, chrom FROM hc WHERE chrom IS NOT NULL",
+    "gene_pair_chromosome": f"""WITH {_GENES} SELECT locus1, locus2, CASE WHEN (x.mid <= 3288558) = (y.mid <= 3288558) THEN CASE WHEN x.mid <= 3288558 THEN 'chr1' ELSE 'chr2' END END AS gene_chrom
+        FROM fp LEFT JOIN pl x ON x.locus_id = locus1 LEFT JOIN pl y ON y.locus_id = locus2 WHERE locus1 > 5165770 AND locus2 > 5165770""",
+    "gwes_bootstrap": f"""WITH {_SNPB}, {genes_sql('SELECT DISTINCT locus AS x FROM snp')}, {all_pairs_sql('sb', 'weights')}, sk AS (SELECT * FROM sc WHERE v >= 0.1), an AS ({annotated_sql('sk')}),
+        th AS (SELECT quantile_cont(v, 0.75) + 3 * (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) AS t FROM an WHERE (chrom = 'chr1' AND geno_dis > 5000) OR (chrom = 'chr2' AND geno_dis > 17500)),
+        c AS (SELECT an.*, t FROM an CROSS JOIN th WHERE v > t AND ((chrom = 'chr1' AND geno_dis > 5000) OR (chrom = 'chr2' AND geno_dis > 17500) OR geno_dis = -1)), {_replicates_sql('sb', 'weights')}
+        SELECT locus1, locus2, round(any_value(c.v), 6) AS v, any_value(geno_dis) AS geno_dis, count(*) FILTER (rv.v >= t) AS bootstrap_pass_count, round(avg(rv.v), 6) AS mean, count(*) FILTER (rv.v >= t) / 100 >= 0.8 AS stable
+        FROM rv JOIN c USING (locus1, locus2) GROUP BY ALL""",
+    "first_per_pair": """SELECT least(locus1, locus2) AS locus1, greatest(locus1, locus2) AS locus2, min({'b': background, 'n': batch_no}).b AS background, min({'b': background, 'n': batch_no}).n AS batch_no FROM df_merged
+        WHERE locus1 IS NOT NULL AND locus2 IS NOT NULL AND background IS NOT NULL AND batch_no IS NOT NULL GROUP BY 1, 2""",
+    "loci_labels": f"WITH {PAIRS} SELECT DISTINCT x::VARCHAR AS label FROM (SELECT locus1 AS x FROM fp UNION ALL SELECT locus2 FROM fp)",
     "gwes_bases_only": f"""WITH {_ANN}, {_TH} SELECT locus1, locus2, round(v, 6) AS v, geno_dis, (geno_dis >= 0 AND geno_dis < 3000)::INT AS "LD" FROM an CROSS JOIN th
         WHERE v > t AND ((chrom = 'chr1' AND geno_dis > 5000) OR (chrom = 'chr2' AND geno_dis > 17500) OR geno_dis = -1)""",
     "gwes_single_chr": f"""WITH {PAIRS}, far AS (SELECT locus1, locus2, v, {_CIRC} AS geno_dis FROM fp WHERE {_CIRC} > 5000), {_TH}
