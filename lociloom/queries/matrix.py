@@ -9,8 +9,8 @@ from lociloom.functions import encode as E
 from lociloom.operators import patterns
 from lociloom.operators import weights as wt
 from lociloom.operators.matrix import binarise, marginals, minor_filter
+from lociloom.operators.subgroups import subgroup_majors
 from lociloom.plans.batch import shard
-from lociloom.plans.highorder import split_by_background
 from lociloom.queries.fixtures import CALLS, EVENTS, binary_sql, event_matrix, snp, weights
 from lociloom.queries.tables import table
 from lociloom.scratch import Scratch
@@ -88,16 +88,7 @@ def background_split(spark: SparkSession, d: str) -> DataFrame:
 
 def subgroup_alleles(spark: SparkSession, d: str) -> DataFrame:
     """Major allele of every locus among the samples of each background's both states; a state without samples has no rows."""
-    m = Scratch(spark, "splits").save(snp(spark, d), "snp")
-    return split_alleles(m, shard(table(spark, d, "backgrounds")))
-
-
-def split_alleles(m: DataFrame, backgrounds: DataFrame) -> DataFrame:
-    masks = m.join(backgrounds.select("locus"), "locus").select(F.col("locus").alias("background"), E.major_indicator(F.col("alleles")).alias("mask"))
-    both = masks.withColumn("state", F.explode(F.array(F.lit(1), F.lit(0)))).filter(F.exists("mask", lambda v: v == F.col("state")))
-    kept = F.filter(F.zip_with("alleles", "mask", lambda v, k: F.when(k == F.col("state"), v)), lambda v: v.isNotNull())
-    sub = m.crossJoin(both).select("background", "state", "locus", kept.alias("alleles"))
-    return sub.select("background", "state", "locus", E.major_allele(F.col("alleles")).alias("major"), F.size("alleles").alias("n"))
+    return subgroup_majors(Scratch(spark, "splits").save(snp(spark, d), "snp"), shard(table(spark, d, "backgrounds")))
 
 
 def shard_backgrounds(spark: SparkSession, d: str) -> DataFrame:

@@ -5,7 +5,7 @@ from lociloom.functions import encode as E
 from lociloom.operators import weights as wt
 from lociloom.operators.matrix import binarise, check_weights, minor_filter, with_row_position
 from lociloom.queries.fixtures import event_matrix
-from lociloom.queries.matrix import split_alleles
+from lociloom.operators.subgroups import subgroup_majors
 from lociloom.plans.batch import fingerprint, load_full, run_batch, save_full, shard, signature
 from lociloom.scratch import Scratch
 from lociloom.sources.readers import header, long_matrix, read_backgrounds, read_matrix, read_pairs, read_weights
@@ -168,10 +168,24 @@ def test_batch_resumes_and_isolates_failures(spark, tmp_path):
 
 def test_alleles_of_all_subgroups(spark):
     m = spark.createDataFrame([(1, 0, list("AATT")), (2, 1, list("CGGG")), (3, 2, list("AAAA"))], "locus long, row_pos long, alleles array<string>")
-    out = {(r.background, r.state, r.locus): (r.major, r.n) for r in split_alleles(m, m.filter("locus <> 2").select("locus")).collect()}
+    out = {(r.background, r.state, r.locus): (r.major, r.n) for r in subgroup_majors(m, m.filter("locus <> 2").select("locus")).collect()}
     assert out == {(1, 1, 1): ("A", 2), (1, 1, 2): ("C", 2), (1, 1, 3): ("A", 2), (1, 0, 1): ("T", 2), (1, 0, 2): ("G", 2), (1, 0, 3): ("A", 2), (3, 1, 1): ("A", 4), (3, 1, 2): ("G", 4), (3, 1, 3): ("A", 4)}
 
 
+def test_subgroups_in_blocks_equal_a_loop(spark):
+    rng = np.random.default_rng(9)
+    a = rng.choice(list("ATC-"), (23, 11))
+    m = matrix(spark, ["".join(r) for r in a])
+    major = lambda r: max(sorted(set(r), key=list(r).index), key=list(r).count)
+    want = {}
+    for b in range(23):
+        hit = a[b] == major(a[b])
+        for state, keep in ((1, hit), (0, ~hit)):
+            want |= {(b + 1, state, i + 1): (major(a[i][keep]), int(keep.sum())) for i in range(23) if keep.any()}
+    got = {(r.background, r.state, r.locus): (r.major, r.n) for r in subgroup_majors(m, m.select("locus"), tile=7, masks=5).collect()}
+    assert got == want
+
+
 def test_all_events_are_samples(spark, tmp_path):
     rows = [(u * 1000 + i, u, i, "click" if i < 40 else "signup") for u, n in ((1, 45), (2, 42)) for i in range(n)]
     spark.createDataFrame(rows, "event_id long, user_id long, ts long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
