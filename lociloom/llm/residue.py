@@ -5,18 +5,21 @@ ended, and a line's end or a new sentence follows. Inside a sentence it is spoke
 spoken of for each that stands explains them. Code blocks and quoted strings are blanked first, so that tutorials and cited messages don't count. Filler, messages and notices are phrases per language that
 stand as a sentence of their own.
 
-Everything is a built-in expression over whole texts. The phrase patterns are tried on every text.
+Every pattern is tried on every text, first in a form for the text as it is that needs no backtracking (`unfolded`, derived from the same
+patterns). Where one of those matches, or the text holds what isn't folded sign by sign, built-in expressions fold the whole text and judge it.
 """
 
 from __future__ import annotations
 
 import re
-from functools import reduce
+from functools import cache, reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lociloom.llm.unfolded import unfolded
+
 # a name of any length on one line
 _ID = r"[\p{L}\p{N}_][\p{L}\p{N} _.\-]*+"
 
@@ -134,6 +137,7 @@ ANYWHERE = r"(?:javascript ?を有効に(?:して|する)|スクリ[プフ]゚?
 #: Lines of a web page's navigation.
 NAVIGATION = r"(?:\p{L}++(?: \| \p{L}++){2,3}|< ?\p{L}++ \| \p{L}++ ?>|back to results|\(c\) document service)[ \t]*+(?=\n|$)"
 _ACCENTS = ("áàâäãéèêëíìîïóòôöúùûüçñ’", "aaaaaeeeeiiiioooouuuucn'")
+_WIDE = ("\u00a0\u3000\u2009\u202f。！？；：…】〕", "    .!?;:.]]")
 _CODE = r"(?s)```.*?```|<pre\b.*?</pre>|<code\b.*?</code>"
 _QUOTED = r"\"[^\"\n]++\"|“[^”\n]++”|「[^」\n]++」|(?<!\p{L})'[^'\n]++'(?!\p{L})"
 
@@ -165,6 +169,54 @@ def _notice(folded: Column) -> Column:
     return F.when(named, F.when(folded.rlike(_NOUN), folded.rlike(_spaced(f"{NOTICE}|{ANYWHERE_SCRIPT}")))).otherwise(False)
 
 
+def _fold(c: str) -> str:
+    """What _folded() makes of a single character."""
+    return c.lower().translate(str.maketrans(_ACCENTS[0] + _WIDE[0], _ACCENTS[1] + _WIDE[1])).replace("\u0307", "")
+
+
+#: What isn't folded sign by sign, or is not looked for in a text that isn't folded: what is left out, white space, code blocks and lines of
+#: navigation. Quotes don't count, as no phrase has a quotation mark or reaches into one.
+_NOT_BY_SIGN = "[\u00a0\u00ad\u0130\u0300-\u036f\u2009\u200b-\u200f\u202f\u2060\u3000\ufeff|]|-\n|```|(?i:<pre|<code)"
+
+
+@cache
+def _screens() -> dict[str, list[str]]:
+    """Patterns one of which matches a text that isn't folded wherever it has a placeholder, a phrase or a script by name, or can't be told.
+
+    They are many, as each has its own table of states: one for all would outgrow it and be tried slowly.
+    """
+    before = unfolded([r"[\n.!?;:|>)\]#}\-]"], _fold)
+    said = [("navigation", [r"back to results|\(c\) document service"]), *((k, ps[i : i + 8]) for k, ps in STARTS.items() for i in range(0, len(ps), 8))]
+    out = {
+        "placeholder": [unfolded([p]) for ps in PLACEHOLDERS.values() for p in ps],
+        "odd": [_NOT_BY_SIGN],
+        "anywhere": [unfolded([ANYWHERE], _fold)],
+        "script": [rf"(?:^|[^\p{{L}}]){unfolded(['js|scripts?|scripting|skripte'], _fold)}(?:$|[^\p{{L}}])|{unfolded(['java ?script|スクリ|脚本'], _fold)}"],
+    }
+    for kind, patterns in said:
+        out.setdefault(kind, []).append(rf"(?:^|{before})[\s\x0b]*(?:[\-*•][\s\x0b]*)?{unfolded(patterns, _fold)}")
+    return out
+
+
+def _may_have(text: Column) -> tuple[Column, Column]:
+    """Whether a text may have a placeholder, and whether it may say a phrase or a notice; true at least where it does. Null texts give null."""
+    screens = _screens()
+    spots, said = screens["placeholder"], [p for k, ps in screens.items() if k != "placeholder" for p in ps]
+
+    def screen(texts):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        out = pa.nulls(len(texts), pa.int32()).fill_null(0)
+        for bit, patterns in ((1, spots), (2, said)):
+            for p in patterns:
+                out = pc.bit_wise_or(out, pc.multiply(pc.match_substring_regex(texts, p).cast(pa.int32()), bit))
+        return out
+
+    found = F.arrow_udf(screen, "int")(text)
+    return tuple((found.bitwiseAND(bit) > 0) | ~F.is_valid_utf8(text) for bit in (1, 2))
+
+
 def _ascii(text: Column) -> Column:
     return F.octet_length(text) == F.char_length(text)
 
@@ -173,7 +225,7 @@ def _folded(text: Column) -> Column:
     """A line break and the text in lower case, without accents, wide punctuation, invisible characters, soft hyphens and hyphenated line breaks."""
 
     def fold(t: Column) -> Column:
-        plain = F.translate(t, _ACCENTS[0] + "\u00a0\u3000\u2009\u202f。！？；：…】〕", _ACCENTS[1] + "    .!?;:.]]")
+        plain = F.translate(t, _ACCENTS[0] + _WIDE[0], _ACCENTS[1] + _WIDE[1])
         return F.regexp_replace(plain, "[\u00ad\u200b-\u200f\u2060\ufeff\u0300-\u036f]|(?<=\\p{L})-\n(?=\\p{Ll})", "")
 
     changes = lambda t: t.contains("-\n") | t.rlike(f"[\u00a0\u00ad{_ACCENTS[0][:-1]}\u0300-\u036f\u2009-\uffff]")
@@ -208,12 +260,14 @@ def has_residue(text: Column) -> Column:
     exists() over one element binds a value that is used many times, so that it is computed once.
     """
 
-    def judge(t: Column) -> Column:
-        spot = t.rlike(SPOT) & F.exists(F.split(_content(t), "\n"), _stands)
-        said = F.exists(F.array(_content(_folded(t))), lambda x: x.rlike(_phrases()) | _notice(x))
-        return spot | said
+    def spot(t: Column) -> Column:
+        return t.rlike(SPOT) & F.exists(F.split(_content(t), "\n"), _stands)
+
+    def said(t: Column) -> Column:
+        return F.exists(F.array(_content(_folded(t))), lambda x: x.rlike(_phrases()) | _notice(x))
 
-    return F.coalesce(F.exists(F.array(text), judge), F.lit(False))
+    found = [F.coalesce(F.when(may, F.exists(F.array(text), judge)), F.lit(False)) for may, judge in zip(_may_have(text), (spot, said))]
+    return found[0] | found[1]
 
 
 def with_residue(docs: DataFrame, text: str = "text") -> DataFrame:

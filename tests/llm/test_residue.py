@@ -1,3 +1,10 @@
+import random
+import re
+import time
+
+from pyspark.sql import functions as F
+
+from lociloom.llm import residue
 from lociloom.llm.residue import with_residue, without_residue
 
 FILL = "The frame is made of steel and has a width of 5 mm. "
@@ -130,3 +137,48 @@ def test_sentences_without_any_other_content(spark):
     alone = ["Bitte versuchen Sie es.", "Este es un texto de ejemplo.", "Texto de muestra", "Vuelva a intentarlo", "Veuillez réessayer.", "This is example text.", "bla bla bla bla", "Hier steht später", "jkl jkl jkl jkl"]
     df = spark.createDataFrame(list(enumerate(alone)), "doc_id long, text string")
     assert sorted(r.doc_id for r in with_residue(df).collect()) == list(range(len(alone)))
+
+
+def _sample(nodes, rnd):
+    """A text that a parsed pattern matches, but for what it looks for around."""
+    out = ""
+    for kind, value in nodes:
+        kind = str(kind)
+        if kind == "LITERAL":
+            out += chr(value)
+        elif kind == "IN":
+            k, v = rnd.choice(value)
+            out += chr(v) if str(k) == "LITERAL" else chr(rnd.randint(*v)) if str(k) == "RANGE" else {"CATEGORY_DIGIT": "7", "CATEGORY_WORD": "w"}.get(str(v), " ")
+        elif kind == "BRANCH":
+            out += _sample(rnd.choice(value[1]), rnd)
+        elif kind == "SUBPATTERN":
+            out += _sample(value[3], rnd)
+        elif kind.endswith("REPEAT"):
+            out += "".join(_sample(value[2], rnd) for _ in range(rnd.randint(value[0], min(int(value[1]), value[0] + 2))))
+    return out
+
+
+def test_every_phrase_passes_the_screen(spark):
+    rnd, rows = random.Random(5), []
+    accents = str.maketrans("aeiouc", "\u00e0\u00c9\u00ee\u00d6\u00fa\u00c7")
+    for p in [*(p for ps in residue.STARTS.values() for p in ps), residue.ANYWHERE, "please enable javascript", "this site needs js, sorry"]:
+        for _ in range(60):
+            said = re.sub(" ", lambda m: rnd.choice([" ", "  ", "\n"]), _sample(re._parser.parse(p), rnd))
+            said = rnd.choice([said, said.upper(), said.title(), said.translate(accents), said.replace("'", "\u2019")])
+            rows.append((len(rows), rnd.choice(["", "Abstract\n", "A pump\u2026 ", "Ende. ", "\u7d42\u3002", "Abstract - ", "1) \u2022 "]) + said + rnd.choice(["", ".", "\n", " \u300c"])))
+    df = spark.createDataFrame(rows, "i long, text string")
+    x, (_, may) = residue._content(residue._folded(F.col("text"))), residue._may_have(F.col("text"))
+    got = df.select("text", (x.rlike(residue._phrases()) | residue._notice(x)).alias("said"), may.alias("may")).collect()
+    assert sum(r.said for r in got) > len(rows) / 2 and [r.text for r in got if r.said and not r.may] == []
+
+
+def test_plain_text_costs_less_than_the_phrases(spark):
+    df = spark.createDataFrame([(i, FILL * 1_000 + "Es l\u00e4uft.") for i in range(160)], "doc_id long, text string").repartition(4).cache()
+    full = residue._content(residue._folded(F.col("text"))).rlike(residue._phrases())
+    took = []
+    for find in (lambda: with_residue(df).count(), lambda: df.filter(full).count()):
+        find()
+        began = time.time()
+        assert find() == 0
+        took.append(time.time() - began)
+    assert took[0] < took[1]
